@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,89 +45,107 @@ def str_field(c: Column) -> Column:
     return strip(text_or_empty(c))
 
 
-def _url(link: Column) -> Column:
-    """Line breaks and tabs inside are ignored, as is anything up to a blank at the start."""
-    return F.regexp_replace(F.regexp_replace(text_or_empty(link), r"[\t\r\n]+", ""), r"^[\x00-\x20]+", "")
-
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _after_scheme(link: Column) -> Column:
-    return F.regexp_replace(_url(link), SCHEME, "")
 
+def url_parts(link: Column) -> Column:
+    """Scheme, host part, path and query of a link as a struct.
 
-def url_netloc(link: Column) -> Column:
-    """What stands between ``//`` and the path: user, host and port as written; empty if its brackets are wrong."""
-    netloc = F.regexp_extract(_after_scheme(link), r"^//([^/?#]*)", 1)
-    bracketed = F.contains(netloc, F.lit("[")) | F.contains(netloc, F.lit("]"))
-    return F.when(bracketed & ~netloc.rlike(IPV6_HOST), F.lit("")).otherwise(netloc)
+    Line breaks and tabs inside are ignored, as is anything up to a blank at the start. The host part is all that
+    stands between ``//`` and the path: user, host and port as written. ``broken`` marks one with wrong brackets.
+    """
+    clean = F.regexp_replace(F.regexp_replace(text_or_empty(link), r"[\t\r\n]+", ""), r"^[\x00-\x20]+", "")
 
+    def split(url: Column) -> Column:
+        rest = F.regexp_replace(url, SCHEME, "")
+        netloc = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+        return F.struct(
+            F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"),
+            netloc.alias("netloc"),
+            F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+            F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+            (netloc.rlike(r"[\[\]]") & ~netloc.rlike(IPV6_HOST)).alias("broken"),
+        )
 
-def url_is_broken(link: Column) -> Column:
-    raw = F.regexp_extract(_after_scheme(link), r"^//([^/?#]*)", 1)
-    return (raw != "") & (url_netloc(link) == "")
+    return bind(clean, split)
 
 
-def url_path(link: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(_url(link), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    path = F.regexp_extract(_after_scheme(link), r"^(?://[^/?#]*)?([^?#]*)", 1)
-    return F.when(scheme.isin(*SCHEMES_WITH_PARAMS), F.regexp_replace(path, ";[^/]*$", "")).otherwise(path)
+def path_without_params(parts: Column) -> Column:
+    path = parts["path"]
+    return F.when(parts["scheme"].isin(*SCHEMES_WITH_PARAMS), F.regexp_replace(path, ";[^/]*$", "")).otherwise(path)
 
 
-def url_query(link: Column) -> Column:
-    return F.regexp_extract(_after_scheme(link), r"^[^?#]*\?([^#]*)", 1)
+def domain_of(parts: Column) -> Column:
+    first = F.split_part(path_without_params(parts), F.lit("/"), F.lit(1))
+    named = (
+        F.when(parts["broken"], F.lit(""))
+        .when(parts["netloc"] != "", parts["netloc"])
+        .when(F.contains(first, F.lit(".")), first)
+        .otherwise("")
+    )
+    return F.regexp_replace(strip(F.lower(named)), r"^www\.", "")
 
 
 def url_domain(link: Column) -> Column:
     """Lower-cased host part without one leading ``www.``; a link without scheme gives its first path segment."""
-    netloc, first = url_netloc(link), F.split_part(url_path(link), F.lit("/"), F.lit(1))
-    named = F.when(netloc != "", netloc).when(F.contains(first, F.lit(".")), first).otherwise("")
-    domain = F.regexp_replace(strip(F.lower(named)), r"^www\.", "")
-    return F.when(url_is_broken(link), F.lit("")).otherwise(domain)
+    return bind(url_parts(link), domain_of)
 
 
 def clean_author(c: Column) -> Column:
     """Hyphens and underscores part the names; fewer than two characters are no name."""
     name = strip(F.regexp_replace(F.translate(c, "-_", "  "), f"{SPACE_CHAR}+", " "))
-    return F.when(F.length(name) < 2, F.lit("")).otherwise(name)
+    return bind(name, lambda n: F.when(F.length(n) < 2, F.lit("")).otherwise(n))
+
+
+def author_of(parts: Column) -> Column:
+    path = F.trim(path_without_params(parts), F.lit("/"))
+    in_path = F.regexp_extract(path, f"(?i)(?:^|/)(?:{AUTHOR_WORDS})/([^/]+)", 1)
+    in_query = F.regexp_extract(parts["query"], f"(?i)(?:^|&)(?:{AUTHOR_WORDS})=([^&]+)", 1)
+    return clean_author(F.when(parts["broken"], F.lit("")).when(in_path != "", in_path).otherwise(in_query))
 
 
 def url_author(link: Column) -> Column:
     """From an author path segment, else from an author query key. A path hit decides, even if it cleans to nothing."""
-    in_path = F.regexp_extract(
-        F.trim(url_path(link), F.lit("/")), f"(?i)(?:^|/)(?:{AUTHOR_WORDS})/([^/]+)", 1
-    )
-    in_query = F.regexp_extract(url_query(link), f"(?i)(?:^|&)(?:{AUTHOR_WORDS})=([^&]+)", 1)
-    found = F.when(in_path != "", in_path).otherwise(in_query)
-    return F.when(url_is_broken(link), F.lit("")).otherwise(clean_author(found))
+    return bind(url_parts(link), author_of)
 
 
-def author(link: Column, column: Column | None = None) -> Column:
-    """A given author wins over what the link says."""
+def author(parts: Column, column: Column | None = None) -> Column:
+    """A given author wins over what the parts of a link say."""
     if column is None:
-        return url_author(link)
+        return author_of(parts)
     given = str_field(column)
-    return F.when(given != "", given).otherwise(url_author(link))
+    return F.when(given != "", given).otherwise(author_of(parts))
 
 
-def parse_date(c: Column) -> Column:
-    """Epoch digits, ISO 8601, then the fixed date forms; a time without zone is UTC; null if nothing fits."""
-    s = str_field(c)
+def _epoch(s: Column) -> Column:
     seconds = F.when(F.length(s) == 13, F.substring(s, 1, 10)).otherwise(s).cast("long")
-    epoch = F.when(seconds <= LAST_SECOND, F.timestamp_seconds(seconds))
+    return F.when(seconds <= LAST_SECOND, F.timestamp_seconds(seconds))
 
+
+def _iso(s: Column) -> Column:
     def part(i: int, default: str) -> Column:
-        found = F.regexp_extract(s, ISO, i)
-        return F.when(found == "", F.lit(default)).otherwise(found)
+        return F.coalesce(F.nullif(F.regexp_extract(s, ISO, i), F.lit("")), F.lit(default))
 
-    zone = F.regexp_replace(part(6, "Z"), r"^([+\-]\d{2}):?(\d{2})?$", "$1:$2")
-    zone = F.when(F.length(zone) == 4, F.concat(zone, F.lit("00"))).otherwise(zone)
-    iso = F.concat(
+    offset = F.regexp_replace(part(6, "Z"), r"^([+\-]\d{2})$", "$1:00")
+    zone = F.regexp_replace(offset, r"^([+\-]\d{2})(\d{2})$", "$1:$2")
+    return F.concat(
         part(1, ""), F.lit("T"), part(2, "00"), F.lit(":"), part(3, "00"), F.lit(":"), part(4, "00"),
         F.lit("."), part(5, "0"), zone,
     ).try_cast("timestamp")
 
-    out = F.when(s.rlike(r"^\d{10,13}$"), epoch).when(s.rlike(ISO), iso)
-    forms = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(form))) for shape, form in DATE_FORMS]
-    return F.coalesce(out, *forms)
+
+def parse_date(c: Column) -> Column:
+    """Epoch digits, ISO 8601, then the fixed date forms; a time without zone is UTC; null if nothing fits."""
+
+    def parse(s: Column) -> Column:
+        forms = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(form))) for shape, form in DATE_FORMS]
+        return F.when(s.rlike(r"^\d{10,13}$"), _epoch(s)).otherwise(
+            F.coalesce(F.when(s.rlike(ISO), _iso(s)), *forms)
+        )
+
+    return bind(str_field(c), parse)
 
 
 def age_days(
@@ -134,9 +154,13 @@ def age_days(
     """Days from the date to ``as_of``, negative for a date after it."""
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(parse_date(date))
     days = micros / F.lit(1e6) / F.lit(SECONDS_PER_DAY)
-    if cap is not None:
-        days = F.greatest(F.least(days, F.lit(float(cap))), F.lit(-float(cap)))
-    return F.coalesce(days, F.lit(float(missing)))
+
+    def clipped(d: Column) -> Column:
+        # least() and greatest() skip nulls, which would turn a date that cannot be read into a very old one.
+        return F.when(d.isNotNull(), F.greatest(F.least(d, F.lit(float(cap))), F.lit(-float(cap))))
+
+    known = days if cap is None else bind(days, clipped)
+    return F.coalesce(known, F.lit(float(missing)))
 
 
 def hash_key(value: Column, field: str, j: int) -> Column:

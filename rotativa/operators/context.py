@@ -58,43 +58,43 @@ def hash_embed(
 ) -> DataFrame:
     """Add one ``array<double>`` per field; ``fields`` maps a field name to its value column and dimension.
 
-    Three projections: the few (index, sign) pairs of a value, their length-normalised weights, and the vector as
-    plain codegen'd arithmetic. A value is hashed once per row. Empty values give zeros, and so do signs that cancel.
+    Two projections: the few (index, sign) pairs of a value, hashed once per row, and the vector with those pairs at
+    their places, divided by its norm. Empty values give zeros, and so do signs that cancel.
     """
     hashes = range(max(n_hashes, 1))
-    pairs, weights, vectors = {}, {}, {}
+    pairs, vectors = {}, {}
     for field, (column, dim) in fields.items():
         if dim <= 0:
             vectors[f"{field}{suffix}"] = F.array().cast("array<double>")
             continue
         keys = [ctx.hash_key(F.col(column), field, j) for j in hashes]
+        given = ctx.str_field(F.col(column)) != ""
         pairs |= {f"_hx_{field}_i{j}": ctx.hash_index(keys[j], dim) for j in hashes}
-        pairs |= {f"_hx_{field}_s{j}": ctx.hash_sign(keys[j], signed) for j in hashes}
-        pairs[f"_hx_{field}_on"] = ctx.str_field(F.col(column)) != ""
+        pairs |= {
+            f"_hx_{field}_s{j}": F.when(given, ctx.hash_sign(keys[j], signed)).otherwise(0.0) for j in hashes
+        }
         index = [F.col(f"_hx_{field}_i{j}") for j in hashes]
         sign = [F.col(f"_hx_{field}_s{j}") for j in hashes]
+        vectors[f"{field}{suffix}"] = _placed(index, sign, dim, l2_normalize)
+    return df.withColumns(pairs).withColumns(vectors).drop(*pairs) if pairs else df.withColumns(vectors)
 
-        square = F.lit(0.0)
-        for a in hashes:
-            for b in hashes:
-                square = square + F.when(index[a] == index[b], sign[a] * sign[b]).otherwise(0.0)
-        norm = F.sqrt(square) if l2_normalize else F.lit(1.0)
-        weights |= {
-            f"_hx_{field}_w{j}": F.when(F.col(f"_hx_{field}_on") & (square > 0), sign[j] / norm).otherwise(0.0)
-            for j in hashes
-        }
 
-        def element(i: int, field: str = field) -> Column:
-            out = F.lit(0.0)
-            for j in hashes:
-                out = out + F.when(F.col(f"_hx_{field}_i{j}") == i, F.col(f"_hx_{field}_w{j}")).otherwise(0.0)
-            return out
+def _placed(index: list[Column], sign: list[Column], dim: int, l2_normalize: bool) -> Column:
+    """Signs summed at their indexes. Norm and sums are only worked out at the places that are hit."""
+    square = F.lit(0.0)
+    for i, s in zip(index, sign):
+        for j, r in zip(index, sign):
+            square = square + F.when(i == j, s * r).otherwise(0.0)
 
-        vectors[f"{field}{suffix}"] = F.array(*map(element, range(dim)))
-    return (
-        df.withColumns(pairs).withColumns(weights).withColumns(vectors).drop(*pairs, *weights)
-        if pairs else df.withColumns(vectors)
-    )
+    def element(k: Column) -> Column:
+        total = F.lit(0.0)
+        for i, s in zip(index, sign):
+            total = total + F.when(i == k, s).otherwise(0.0)
+        if l2_normalize:
+            total = total / F.when(square > 0, F.sqrt(square)).otherwise(1.0)
+        return F.when(k.isin(*index), total).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), element)
 
 
 def with_context_fields(df: DataFrame, config: ContextConfig) -> DataFrame:
@@ -110,9 +110,10 @@ def with_context_fields(df: DataFrame, config: ContextConfig) -> DataFrame:
     age = F.lit(float(config.missing_age))
     if config.date:
         age = ctx.age_days(F.col("_cx_date"), F.lit(config.as_of), config.age_cap_days, config.missing_age)
-    return df.withColumns(fields).withColumns({
-        "_cx_domain": ctx.url_domain(F.col("_cx_link")),
-        "_cx_author": ctx.author(F.col("_cx_link"), given_author),
+    linked = df.withColumns(fields).withColumn("_cx_parts", ctx.url_parts(F.col("_cx_link")))
+    return linked.withColumns({
+        "_cx_domain": ctx.domain_of(F.col("_cx_parts")),
+        "_cx_author": ctx.author(F.col("_cx_parts"), given_author),
         "_cx_age": age,
     })
 

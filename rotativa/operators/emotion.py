@@ -89,7 +89,7 @@ def emotion_features(
     """
     keep = [id_col, LABEL] if LABEL in with_label(df).columns else [id_col]
     signals = emotion_signals(with_label(df), text, config, keep)
-    rows = signals.select(*keep, F.array(*map(safe, config.names)).alias("_signals"))
+    rows = signals.select(*keep, F.array(*[safe(F.col(n)) for n in config.names]).alias("_signals"))
     joined = (
         rows.join(emotions.select(id_col, F.col("probas").alias("_emo")), id_col, "left")
         .join(sentiments.select(id_col, F.col("probas").alias("_sent")), id_col, "left")
