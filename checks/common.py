@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotativa.functions.chars import EMOJI, SPACE, SPACE_CHARS, WORD, digit_class
-from rotativa.session import read_table
+from rotativa.session import read_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,13 @@ TAIL_END = (
 )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A derived input as a user would have it: written once, in the shared folder, and read as often as needed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "text", *more).withColumnRenamed("doc_id", "Id")
 

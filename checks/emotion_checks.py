@@ -11,7 +11,7 @@ from rotativa.operators import scoring
 
 from .common import (
     NEWS, PLAIN, QUOTES, S_DIGITS, S_EMOJI, S_PUNCT_CLASS, S_SPACE, TAILED, documents, news, q, register, rounded,
-    s_count, s_hits, s_inside, s_lower_words, s_ratio, s_round, s_runs, s_words, tailed,
+    s_count, s_hits, s_inside, s_lower_words, s_ratio, s_round, s_runs, s_words, stored, tailed,
 )
 
 NAMES = BASE_NAMES + EXTRA_NAMES
@@ -64,7 +64,7 @@ FREQUENT = 40
 def lexicon(spark, sf, classes):
     counts = lx.zipf_lexicon(documents(spark, sf), "text").filter((F.col("n") >= FREQUENT) & (F.length("word") > 2))
     kind = F.get(F.array(*map(F.lit, classes)), (F.length("word") % len(classes)).cast("int"))
-    return counts.select("word", kind.alias("class"), (1.0 / F.length("word")).alias("weight"))
+    return stored(counts.select("word", kind.alias("class"), (1.0 / F.length("word")).alias("weight")), "emotions")
 
 
 def scores_sql(name: str, classes) -> str:

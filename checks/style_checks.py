@@ -10,7 +10,7 @@ from rotativa.operators import style as sty
 
 from .common import (
     PLAIN, QUOTES, S_DIGITS, S_PUNCT_CLASS, TAILED, W, documents, q, register, rounded, s_count, s_hits, s_inside,
-    s_lower_words, s_ratio, s_round, s_runs, s_sentences, s_strip, s_words, tailed,
+    s_lower_words, s_ratio, s_round, s_runs, s_sentences, s_strip, s_words, stored, tailed,
 )
 
 CORE_ONLY = StyleConfig(extra_signals=False)
@@ -158,7 +158,7 @@ TRAIN = "(SELECT doc_id AS Id, text AS Text FROM documents WHERE lang <> 'es')"
 
 def lexicon(spark, sf):
     """Frequencies of the texts that are not Spanish, so that many Spanish words are unknown to it."""
-    return lx.zipf_lexicon(documents(spark, sf, "lang").filter("lang <> 'es'"), "text")
+    return stored(lx.zipf_lexicon(documents(spark, sf, "lang").filter("lang <> 'es'"), "text"), "zipf")
 
 
 RARE_SQL = f"""words AS (SELECT Id, unnest({s_lower_words('Text')}) AS word FROM @SOURCE d),
@@ -202,12 +202,13 @@ def annotated(spark, sf):
     words = documents(spark, sf).select("Id", F.posexplode(tokens.words(F.col("text"))).alias("pos", "text"))
     sent, tok = F.floor(F.col("pos") / SENTENCE), F.col("pos") % SENTENCE
     tag = F.get(F.array(*map(F.lit, TAGS)), (F.col("pos") % len(TAGS)).cast("int"))
-    return words.select(
+    annotations = words.select(
         "Id", sent.cast("int").alias("sent_id"), tok.cast("int").alias("tok_id"), "text",
         F.when(F.col("pos") % 17 != 0, tag).alias("upos"),
         F.when(sent % 3 == 0, F.greatest(tok - 1, F.lit(0))).otherwise(F.floor(tok / 2)).cast("int").alias("head_id"),
         (F.col("pos") % 11 == 10).alias("is_space"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
     )
+    return stored(annotations, "tokens")
 
 
 TOKENS_SQL = f"""tokens AS (SELECT Id, CAST(pos // {SENTENCE} AS INT) AS sent_id, CAST(pos % {SENTENCE} AS INT) AS tok_id,
@@ -322,3 +323,13 @@ def one_tag_feature(name):
 
 for feature in TAG_FEATURES:
     one_tag_feature(feature)
+
+
+SLICE = ("len_sent", "ttr", "sig_stopword_ratio", "sig_punct_ratio", "sig_uppercase_ratio", "sig_repeated_char_ratio",
+         "sig_burstiness")
+
+
+@register("style_slice", style_sql(PLAIN, SLICE, CORE_SQL | SIGNALS_SQL))
+def style_slice(spark, sf):
+    """Seven features: words, distinct words, stopwords, sentences, punctuation, upper case, repeated characters."""
+    return exact(sty.style_features(documents(spark, sf), "text").select("Id", *SLICE))

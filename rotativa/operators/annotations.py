@@ -40,8 +40,8 @@ def pos_counts(tokens: DataFrame, id_col: str = ID) -> DataFrame:
 def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col: str = ID) -> DataFrame:
     """One row of counts per text.
 
-    The only distinct count is that of words: Spark aggregates by (id, word) first and so splits a huge text over
-    many tasks. Sentences are counted by their first tokens.
+    Plain counts shrink to a row per text before the shuffle. Distinct words take a narrow path of their own, by
+    (id, word) first, so that a huge text is split over many tasks. Sentences are counted by their first tokens.
     """
     require_columns(tokens, [id_col, *COLUMNS])
     c = F.col
@@ -56,7 +56,6 @@ def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col:
         "n_tokens": count(real),
         "n_sents": count(c("tok_id") == 0),
         "n_words": count(is_word),
-        "n_distinct": F.count_distinct(F.when(is_word, word)),
         "word_chars": F.coalesce(F.sum(F.when(is_word, F.length(word))), F.lit(0)),
         "n_long": count(is_word & (F.length(word) >= lexicons.LONG_WORD)),
         "n_stop": count(is_word & word.isin(*config.stopwords)),
@@ -68,7 +67,10 @@ def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col:
             for name in sorted({*FORMAL, *INFORMAL, "SCONJ"})
         },
     }
-    return tokens.groupBy(id_col).agg(*[expr.alias(name) for name, expr in counted.items()])
+    counts = tokens.groupBy(id_col).agg(*[expr.alias(name) for name, expr in counted.items()])
+    vocabulary = tokens.filter(is_word).select(id_col, word.alias("_word")).distinct()
+    distinct = vocabulary.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_distinct"))
+    return counts.join(distinct, id_col, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
 
 def _array_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:

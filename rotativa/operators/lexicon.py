@@ -9,7 +9,7 @@ from ..functions import tokens
 from ..functions.numeric import ratio
 from ..functions.text import normalize_text
 from .corpus import ID
-from .skew import BROADCAST_ROWS, join_unique
+from .skew import BROADCAST_ROWS, is_small, salted_join
 
 PER_BILLION = 1e9
 
@@ -44,9 +44,11 @@ def rare_share(
     """
     known = lexicon.filter(F.col("zipf") >= F.lit(float(below))).select(F.col("word").alias(word), "zipf")
     per_word = words.select(id_col, word, F.lit(1).cast("long").alias("_n"))
-    if known.limit(broadcast_rows + 1).count() > broadcast_rows:
+    if is_small(known, broadcast_rows):
+        joined = per_word.join(F.broadcast(known), word, "left")
+    else:
         per_word = per_word.groupBy(id_col, word).agg(F.sum("_n").alias("_n"))
-    joined = join_unique(per_word, known, [word], "left", [id_col], broadcast_rows)
+        joined = salted_join(per_word, known, [word], "left", [id_col])
     w = F.col(word)
     n_words = F.coalesce(F.sum(F.when(w.isNotNull(), F.col("_n"))), F.lit(0))
     n_rare = F.coalesce(F.sum(F.when(is_rare(w, F.col("zipf"), below), F.col("_n"))), F.lit(0))

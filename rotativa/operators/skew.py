@@ -25,25 +25,33 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return sorted(hashed.stat.freqItems(["h"], support).first()[0] or [])
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Counted, not guessed: whether a side of a join may be broadcast."""
+    return rows > 0 and df.limit(rows + 1).count() <= rows
+
+
 def join_unique(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
     salt_by: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join to a side with at most one row per key; how is ``left`` or ``inner``.
 
-    A small right side is counted and broadcast. Beyond that rows of heavy keys on the left are spread by a hash of
-    ``salt_by`` (columns in which they differ), and only those keys are repeated on the right. The salt comes from the
-    row itself, so a task that runs again after a lost executor sends each row to the same place.
+    A small right side is broadcast, beyond that rows of heavy keys are spread.
     """
-    keys = list(on)
-    if broadcast_rows and right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how, salt_by)
+    if is_small(right, broadcast_rows):
+        return left.join(F.broadcast(right), list(on), how)
+    return salted_join(left, right, on, how, salt_by)
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salt_by: Sequence[str] = ()
 ) -> DataFrame:
+    """The same for a right side of any size.
+
+    Rows of heavy keys on the left are spread by a hash of ``salt_by`` (columns in which they differ), and only those
+    keys are repeated on the right. The salt comes from the row itself, so a task that runs again after a lost
+    executor sends each row to the same place.
+    """
     keys = list(on)
     heavy = heavy_hitters(left, keys) if salt_by else []
     if not heavy:

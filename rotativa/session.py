@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", app: str = "rotativa", **extra: str) -
     settings = SETTINGS | {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Recording a Python call site for every column function takes longer than planning does.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
     } | extra
     for key, value in settings.items():
