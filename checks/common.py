@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import rotativa
 from rotativa.functions.chars import EMOJI, SPACE, SPACE_CHARS, WORD, digit_class
-from rotativa.session import read_table, scratch_path
+from rotativa.session import read_table, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def with_workers(spark: SparkSession) -> None:
+    """Stand-in models live in this package, so the Python workers need it."""
+    import checks
+
+    ship(spark, rotativa, checks)
+
+
 def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "text", *more).withColumnRenamed("doc_id", "Id")
 

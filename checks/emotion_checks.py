@@ -11,7 +11,7 @@ from rotativa.operators import scoring
 
 from .common import (
     NEWS, PLAIN, QUOTES, S_DIGITS, S_EMOJI, S_PUNCT_CLASS, S_SPACE, TAILED, documents, news, q, register, rounded,
-    s_count, s_hits, s_inside, s_lower_words, s_ratio, s_round, s_runs, s_words, stored, tailed,
+    s_count, s_hits, s_inside, s_lower_words, s_ratio, s_round, s_runs, s_words, stored, tailed, with_workers,
 )
 
 NAMES = BASE_NAMES + EXTRA_NAMES
@@ -187,5 +187,6 @@ class CountingModel:
   CAST(len(list_filter(string_split(text, ' '), lambda w: length(w) > 5)) AS DOUBLE) / len(string_split(text, ' ')) AS n
   FROM documents)""")
 def score_documents(spark, sf):
+    with_workers(spark)
     found = scoring.score_documents(documents(spark, sf), "text", CountingModel)
     return found.select("Id", F.col("probas")["long"].alias("long_share"), F.col("probas")["short"].alias("short_share"))

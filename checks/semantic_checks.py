@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rotativa.operators import scoring
 from rotativa.operators import semantic as sem
 
-from .common import NEWS, documents, news, register, s_round, table
+from .common import NEWS, documents, news, register, s_round, table, with_workers
 
 DIM = 64
 WEIGHTS = [((i * 7) % 5 - 2) / 10 for i in range(DIM)]
@@ -77,6 +77,7 @@ ENCODED = """(SELECT doc_id AS Id, length(text) AS a, length(text) - length(repl
 
 
 def encoded(spark, sf):
+    with_workers(spark)
     return scoring.embed_documents(documents(spark, sf), "text", CountingEncoder)
 
 

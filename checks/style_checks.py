@@ -195,7 +195,7 @@ TAGS = ("NOUN", "PROPN", "VERB", "AUX", "ADJ", "ADV", "PRON", "DET", "ADP", "SCO
 SENTENCE = 120
 
 
-def annotated(spark, sf):
+def annotated(spark, sf, store=True):
     """Annotations derived from the words of all documents: sentences of 120 tokens, every third one chain of heads,
     the others binary trees; some tokens without tag, some marked as spaces.
     """
@@ -208,7 +208,7 @@ def annotated(spark, sf):
         F.when(sent % 3 == 0, F.greatest(tok - 1, F.lit(0))).otherwise(F.floor(tok / 2)).cast("int").alias("head_id"),
         (F.col("pos") % 11 == 10).alias("is_space"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
     )
-    return stored(annotations, "tokens")
+    return stored(annotations, "tokens") if store else annotations
 
 
 TOKENS_SQL = f"""tokens AS (SELECT Id, CAST(pos // {SENTENCE} AS INT) AS sent_id, CAST(pos % {SENTENCE} AS INT) AS tok_id,
@@ -230,13 +230,13 @@ DEPTH_SQL = """depth(Id, sent_id, tok_id, cur, d) AS (
 @register("token_table", f"""WITH {TOKENS_SQL} SELECT Id, sent_id, tok_id, text, coalesce(upos, 'X') AS upos, head_id, is_alpha
   FROM tokens WHERE NOT is_space""")
 def token_table(spark, sf):
-    return ann.token_table(annotated(spark, sf)).drop("is_space")
+    return ann.token_table(annotated(spark, sf, store=False)).drop("is_space")
 
 
 @register("pos_counts", f"""WITH {TOKENS_SQL} SELECT Id, coalesce(upos, 'X') AS upos, count(*) AS n FROM tokens
   WHERE NOT is_space GROUP BY ALL""")
 def pos_counts(spark, sf):
-    return ann.pos_counts(annotated(spark, sf))
+    return ann.pos_counts(annotated(spark, sf, store=False))
 
 
 @register("dep_depth", f"WITH RECURSIVE {TOKENS_SQL}, {DEPTH_SQL} SELECT Id, sent_id, tok_id, depth FROM deepest")

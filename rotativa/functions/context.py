@@ -140,7 +140,9 @@ def parse_date(c: Column) -> Column:
     """Epoch digits, ISO 8601, then the fixed date forms; a time without zone is UTC; null if nothing fits."""
 
     def parse(s: Column) -> Column:
-        forms = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(form))) for shape, form in DATE_FORMS]
+        # The zone is spelled out, so that the session's own time zone does not matter.
+        in_utc = F.concat(s, F.lit("Z"))
+        forms = [F.when(s.rlike(shape), F.try_to_timestamp(in_utc, F.lit(f"{form}X"))) for shape, form in DATE_FORMS]
         return F.when(s.rlike(r"^\d{10,13}$"), _epoch(s)).otherwise(
             F.coalesce(F.when(s.rlike(ISO), _iso(s)), *forms)
         )

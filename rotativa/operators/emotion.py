@@ -13,7 +13,7 @@ from ..functions.emotion import SignalConfig
 from ..functions.numeric import safe
 from ..functions.text import text_or_empty
 from .corpus import ID, LABEL, require_columns, with_label
-from .skew import BROADCAST_ROWS, join_unique
+from .skew import BROADCAST_ROWS, is_small, salted_join
 
 NAMES_KEY = "names"
 
@@ -33,16 +33,24 @@ def lexicon_scores(
 ) -> DataFrame:
     """``id`` and a map of class to probability: weights of the words found, normalised; uniform if none is found.
 
-    The lexicon ``word, class, weight`` is turned to one row per word first. Words of a text lie in one partition, so
-    the sums shrink to one row per text before the shuffle.
+    The lexicon ``word, class, weight`` is turned to one row per word first. Beside a broadcast lexicon the sums shrink
+    to one row per text before the shuffle; beside a bigger one words are counted per text before they are joined.
     """
     classes = sorted(classes)
     weights = (
         lexicon.groupBy(F.col("word").alias("_word")).pivot("class", classes).agg(F.sum("weight"))
     )
-    words = df.select(id_col, F.explode_outer(tokens.signal_words(text_or_empty(F.col(text)))).alias("_word"))
-    scored = join_unique(words, weights, ["_word"], "left", [id_col], broadcast_rows)
-    sums = [F.coalesce(F.sum(f"`{name}`"), F.lit(0.0)).alias(f"_c{i}") for i, name in enumerate(classes)]
+    words = df.select(
+        id_col, F.explode_outer(tokens.signal_words(text_or_empty(F.col(text)))).alias("_word"), F.lit(1).alias("_n")
+    )
+    if is_small(weights, broadcast_rows):
+        scored = words.join(F.broadcast(weights), "_word", "left")
+    else:
+        counted = words.groupBy(id_col, "_word").agg(F.sum("_n").alias("_n"))
+        scored = salted_join(counted, weights, ["_word"], "left", [id_col])
+    sums = [
+        F.coalesce(F.sum(F.col("_n") * F.col(f"`{name}`")), F.lit(0.0)).alias(f"_c{i}") for i, name in enumerate(classes)
+    ]
     total = sum((F.col(f"_c{i}") for i in range(1, len(classes))), F.col("_c0"))
     pairs = []
     for i, name in enumerate(classes):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: ModuleType) -> None:
+    """Give Python workers the packages a model hook needs, once per application, where they are not installed."""
+    for package in packages:
+        key = (spark.sparkContext.applicationId, package.__name__)
+        if key not in _shipped:
+            folder = Path(package.__file__).resolve().parent
+            target = f"{tempfile.mkdtemp(prefix='spark-')}/{package.__name__}"
+            spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", folder.parent, folder.name))
+            _shipped.add(key)
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

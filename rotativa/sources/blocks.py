@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timezone
 from typing import Any
 
@@ -75,6 +76,17 @@ def read_block(spark: SparkSession, path: str, order: str | None = None, vector:
     return Block(meta[0]["block"], spark.read.parquet(f"{root}/data"), tuple(r["name"] for r in meta), order, vector)
 
 
+def save_bucketed(block: Block, table: str, path: str, buckets: int) -> Block:
+    """Store a block as a table bucketed and sorted by id, and return it as read back.
+
+    Blocks with the same number of buckets are merged without moving a row: the one shuffle per block that a merge
+    needs is paid here, once, however often the block is merged afterwards.
+    """
+    writer = block.df.repartition(buckets, block.id_col).write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, block.id_col).sortBy(block.id_col).saveAsTable(table)
+    return replace(block, df=block.df.sparkSession.table(table))
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     """The first path that exists: a block may go by an alternate name."""
     for path in paths:

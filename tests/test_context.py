@@ -82,9 +82,14 @@ DATES = {
 }
 
 
-def test_dates(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/Mexico_City"])
+def test_dates(spark, zone):
     df = spark.createDataFrame([(k,) for k in DATES], "d string")
-    rows = df.select("d", F.unix_seconds(ctx.parse_date(F.col("d"))).alias("s")).collect()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = df.select("d", F.unix_seconds(ctx.parse_date(F.col("d"))).alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert {r.d: r.s for r in rows} == DATES
 
 

@@ -82,6 +82,24 @@ def test_block_round_trip(spark, corpus):
         bl.write_block(short, path + "-short")
 
 
+def test_bucketed_blocks_merge_without_shuffle(spark):
+    root = scratch_path(spark, "buckets")
+    parts = []
+    for name in plans.BLOCKS:
+        df = spark.range(200).select(F.col("id").alias("Id"), F.array(F.col("id").cast("double")).alias("features"))
+        parts.append(bl.save_bucketed(mg.Block(name, df, ("x",)), f"block_{name}", f"{root}/{name}", 4))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = mg.merge_blocks(parts, flags=False)
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert {r.Id: r.features for r in merged.collect()} == {i: [float(i)] * 4 for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in plans.BLOCKS:
+            spark.sql(f"DROP TABLE block_{name}")
+
+
 def test_whole_run(spark, corpus):
     root = scratch_path(spark, "run")
     part = F.when(F.col("Id") % 10 < 8, "train").when(F.col("Id") % 10 == 8, "dev").otherwise("test")
