@@ -1,7 +1,7 @@
 """Headline queries on whole tables; one JSON line on standard output.
 
 ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose data and cores. Each query is planned anew and run to the end into a sink
-that discards rows; the better of two runs counts, so that compiling a plan for the first time does not.
+that discards rows; the best of three runs counts, so that compiling a plan for the first time does not.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ HEADLINE = (
 
 def run(spark, name: str, sf: str) -> float:
     best = float("inf")
-    for _ in range(2):
+    for _ in range(3):
         started = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         best = min(best, time.perf_counter() - started)

@@ -71,6 +71,10 @@ def _hits(words: Column, wanted) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*wanted)))
 
 
+def is_long(word: Column) -> Column:
+    return F.length(word) >= lexicons.LONG_WORD
+
+
 def syllables(c: Column) -> Column:
     """Vowel groups, counted by the length of a string of marks."""
     return chars.count_char(F.regexp_replace(F.lower(c), SYLLABLE, "\x01"), "\x01")
@@ -94,8 +98,8 @@ def with_style_counts(df: DataFrame, text: str, config: StyleConfig = StyleConfi
             "_st_n_words": chars.count_char(skeleton, "w"),
             "_st_n_distinct": F.size(F.array_distinct("_st_words")),
             "_st_word_chars": F.length(F.array_join("_st_words", "")),
-            "_st_n_long": F.size(F.filter("_st_words", lambda w: F.length(w) >= lexicons.LONG_WORD)),
-            "_st_listed": F.filter("_st_words", lambda w: w.isin(*listed)),
+            # One pass over all words; lists and lengths are then told apart among the few that are left.
+            "_st_notable": F.filter("_st_words", lambda w: is_long(w) | w.isin(*listed)),
             "_st_upper": chars.count_upper(t),
             "_st_repeats": F.regexp_count(t, F.lit(r"(?d)(.)\1\1+")),
             "_st_letters": chars.count_letters(t, skeleton, numbers),
@@ -139,7 +143,7 @@ def core_features(config: StyleConfig = StyleConfig(), error_rate: Column | None
     found = {
         "ifsz": readability(config),
         "len_sent": n_words / sentence_count(),
-        "sconj_per_sent": _hits(F.col("_st_listed"), lexicons.SUBORDINATORS) / sentence_count(),
+        "sconj_per_sent": _hits(F.col("_st_notable"), lexicons.SUBORDINATORS) / sentence_count(),
         **diversity(F.col("_st_n_distinct"), n_words, config),
     }
     if error_rate is not None:
@@ -175,15 +179,15 @@ def text_signals(n_sentences: Column) -> dict[str, Column]:
 
 def signal_features(config: StyleConfig = StyleConfig()) -> dict[str, Column]:
     n_words = F.col("_st_n_words")
-    listed = F.col("_st_listed")
+    notable = F.col("_st_notable")
     found = {
         **text_signals(sentence_count()),
         "sig_avg_word_len": ratio(F.col("_st_word_chars"), n_words),
-        "sig_long_word_ratio": ratio(F.col("_st_n_long"), n_words),
-        "sig_stopword_ratio": ratio(_hits(listed, config.stopwords), n_words),
-        "sig_intensifier_ratio": ratio(_hits(listed, config.intensifiers), n_words),
-        "sig_se_per_sent": _hits(listed, [lexicons.IMPERSONAL]) / sentence_count(),
-        "sig_hedge_ratio": ratio(_hits(listed, lexicons.HEDGES), n_words),
+        "sig_long_word_ratio": ratio(F.size(F.filter(notable, is_long)), n_words),
+        "sig_stopword_ratio": ratio(_hits(notable, config.stopwords), n_words),
+        "sig_intensifier_ratio": ratio(_hits(notable, config.intensifiers), n_words),
+        "sig_se_per_sent": _hits(notable, [lexicons.IMPERSONAL]) / sentence_count(),
+        "sig_hedge_ratio": ratio(_hits(notable, lexicons.HEDGES), n_words),
         "sig_proper_like_ratio": F.lit(0.0),
     }
     return {name: found[name] for name in SIGNAL_NAMES}

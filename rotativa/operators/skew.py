@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side with at most this many (narrow) rows is broadcast, whatever the other side weighs.
+# A side with at most this many rows and bytes is broadcast, whatever the other side weighs.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 256
 MIN_SUPPORT = 1e-4  # the smallest share freqItems takes
 
@@ -25,9 +27,16 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return sorted(hashed.stat.freqItems(["h"], support).first()[0] or [])
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Counted, not guessed: whether a side of a join may be broadcast."""
-    return rows > 0 and df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a side of a join may be broadcast: its rows and the bytes of its strings are counted, not guessed."""
+    if rows <= 0:
+        return False
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    width = F.lit(8 * len(df.columns))
+    for name in strings:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= size
 
 
 def join_unique(

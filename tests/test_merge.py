@@ -113,6 +113,13 @@ def test_salted_join_equals_plain_join(spark, how):
     assert spread.select("_salt").distinct().count() > 200
 
 
+def test_broadcast_needs_few_rows_and_bytes(spark):
+    df = spark.createDataFrame([("a" * 100,), ("b",), (None,)], "w string")
+    assert skew.is_small(df)
+    assert not skew.is_small(df, rows=2) and not skew.is_small(df, rows=0)
+    assert not skew.is_small(df, size=100) and skew.is_small(df, size=125)
+
+
 def test_merge_with_a_hot_base_id(spark):
     base = spark.range(900).select(
         F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("Id"), F.col("id").alias("ord"),
