@@ -10,9 +10,16 @@ import rotativa
 from ..session import scratch_path, shared_folder, ship
 
 
+BATCH_BYTES = 4 << 20
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Python workers import this package; where it isn't installed on them, it is sent along once."""
+    """Python workers import this package; where it isn't installed on them, it is sent along once.
+
+    Texts go to them in batches of about ``BATCH_BYTES``: long texts would otherwise come ten thousand at a time.
+    """
     ship(spark, rotativa)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
