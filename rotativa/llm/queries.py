@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import fold_of, span_digest, table, whole_text
+from . import bpe, langid, pii, secrets
+from .common import fold_of, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,45 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("secrets")["base"]
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(span_digest(base).cast("binary"), 256).alias("base_sha256"),
+        span_digest(F.col("secrets")["spans"]).alias("spans"),
+    )
+
+
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(fold_of("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT))
+
+
+@register("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, language_model(docs)).select(
+        "doc_id", (fold_of("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT).alias("held_out"),
+        F.col("language")["lang"].alias("lang_pred"), F.col("language")["score"].alias("score"),
+    )
+
+
+@register("op6_personal")
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kinds(F.col("personal"), [k])).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(span_digest(pii.of_kinds(F.col("personal"), pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        span_digest(F.col("personal")).alias("spans"),
+    )

@@ -1,0 +1,178 @@
+"""Secret scan: entropy of sliding windows over candidate strings, beside three fixed kinds, as column expressions.
+
+Candidates are runs of one character class (hexadecimal, base64) of at least one window. A window of fixed width slides
+over each; its character counts change by one in and one out per step, and the Shannon entropy follows from the sum of
+``c log2 c`` over the counts, kept in whole millionths so that no rounding gathers. Windows at or above the bits of
+their class become spans, touching windows one span. An allow list of shapes (identifiers, words, digits, examples) and
+of words before the candidate (digests, commits) suppresses candidates; the fixed kinds are never suppressed.
+
+Everything stays in the row: no Python, no shuffle, and time in proportion to the text. Positions are code points, the
+end exclusive. Null text counts as empty: no spans. Other columns are left alone; a column of the result's name is
+replaced.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import whole_text
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LEAST = 8
+ACCESS = "AKIA[A-Z0-9]{12,}"  # a whole run of 16 or more
+HEX = "[0-9a-f]{32,}"  # a whole run of 32 or more
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+
+SLOT_0, SLOTS = ord("+"), ord("z") - ord("+") + 1  # a count for every character a candidate can have
+SPAN = "array<struct<start:int,end:int,kind:string>>"
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    kind: str
+    characters: str  # inside a regular-expression class
+    bits: float  # entropy of a window from which it counts
+
+
+@dataclass(frozen=True)
+class EntropyConfig:
+    window: int = 20
+    classes: Sequence[CharacterClass] = (
+        CharacterClass("entropy_hex", "0-9A-Fa-f", 3.0),
+        CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", 3.75),
+    )
+    #: Whole candidates that are no secrets: no digit at all, no letter at all, UUIDs, alphabets, marked examples.
+    allowed: str = (
+        r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+        r"|(?i:0123456789abcdef|abcdefghijklmnop|example)"
+    )
+    #: What stands right before a candidate that is no secret.
+    allowed_before: str = r"(?i:sha(?:1|256|384|512)[-:=]\x20?|md5[:=]\x20?|commit\x20|checksum[:=]?\x20)$"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches as (start, end, hit, before): the pieces between matches add up to the positions."""
+    pairs = F.arrays_zip(
+        F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+    )
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["piece"])
+        end = start + F.length(pair["hit"])
+        found = F.struct(
+            start.alias("start"), end.alias("end"), pair["hit"].alias("hit"), F.right(pair["piece"], F.lit(16)).alias("before")
+        )
+        return F.struct(
+            F.coalesce(end, state["at"]).alias("at"),
+            F.when(pair["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(found))).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    walked = F.aggregate(pairs, start, step, lambda state: state["found"])
+    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+
+def spans_of(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def assignments(text: Column) -> Column:
+    whole = F.filter(located(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    return spans_of(whole, "assign")
+
+
+def entropy_windows(hit: Column, window: int, bits: float) -> Column:
+    """Spans inside one candidate: the union of its windows of at least ``bits``."""
+    millionths = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, window + 1)]
+    weight = F.array(*[F.lit(x) for x in millionths])
+    most = math.floor((math.log2(window) - bits) * window * 1e6)
+    codes = F.transform(F.split(hit, ""), lambda c: F.ascii(c) - SLOT_0)
+    steps = F.transform(codes, lambda c, i: F.struct(
+        c.alias("into"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("out"), i.alias("i"),
+    ))
+
+    def step(state: Column, x: Column) -> Column:
+        counts, same = state["counts"], x["into"] == x["out"]
+        less, more = F.get(counts, x["out"]), F.get(counts, x["into"])
+        left = F.when(same | (x["out"] < 0), 0).otherwise(F.get(weight, less - 1) - F.get(weight, less))
+        came = F.when(same, 0).otherwise(F.get(weight, more + 1) - F.get(weight, more))
+        total = state["total"] + left + came
+        moved = F.when(same, counts).otherwise(F.transform(counts, lambda n, slot: (
+            n + F.when(slot == x["into"], 1).when(slot == x["out"], -1).otherwise(0)
+        )))
+        start, end = x["i"] - (window - 1), x["i"] + 1
+        touching = F.get(state["spans"], F.size(state["spans"]) - 1)
+        joined = F.concat(
+            F.slice(state["spans"], F.lit(1), F.size(state["spans"]) - 1), F.array(F.struct(touching["start"].alias("start"), end.alias("end")))
+        )
+        spans = (
+            F.when((start < 0) | (total > most), state["spans"])
+            .when((F.size(state["spans"]) > 0) & (touching["end"] >= start), joined)
+            .otherwise(F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))))
+        )
+        return F.struct(moved.alias("counts"), total.cast("int").alias("total"), spans.alias("spans"))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    first = F.struct(F.array_repeat(F.lit(0), SLOTS).alias("counts"), F.lit(0).alias("total"), none.alias("spans"))
+    return F.aggregate(steps, first, step, lambda state: state["spans"])
+
+
+def entropy_spans(text: Column, cls: CharacterClass, config: EntropyConfig) -> Column:
+    candidates = F.filter(located(text, f"[{cls.characters}]{{{config.window},}}"), lambda s: ~(
+        s["hit"].rlike(config.allowed) | s["before"].rlike(config.allowed_before)
+    ))
+    return F.flatten(F.transform(candidates, lambda c: F.transform(
+        entropy_windows(c["hit"], config.window, cls.bits),
+        lambda w: F.struct(
+            (c["start"] + w["start"]).alias("start"), (c["start"] + w["end"]).alias("end"), F.lit(cls.kind).alias("kind")
+        ),
+    )))
+
+
+def in_order(spans: Column, kinds: Sequence[str] = KINDS) -> Column:
+    """By start, then kind as listed."""
+    rank = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def scan(df: DataFrame, text: str = "text", result: str = "secrets", config: EntropyConfig = EntropyConfig()) -> DataFrame:
+    """Adds ``result``: struct of ``base`` and ``spans``, arrays of (start, end, kind) by start and kind.
+
+    ``spans`` holds the base spans and the entropy spans that no base span covers.
+    """
+    whole = whole_text(text)
+    base = F.concat(
+        assignments(whole), spans_of(located(whole, ACCESS), "access"), spans_of(located(whole, HEX), "hex")
+    )
+    windows = F.concat(*[entropy_spans(whole, cls, config) for cls in config.classes])
+    found = df.withColumn(result, F.struct(base.alias("base"), windows.alias("windows")))
+    more = F.filter(F.col(result)["windows"], lambda w: ~F.exists(
+        F.col(result)["base"], lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])
+    ))
+    return found.withColumn(result, F.struct(
+        in_order(F.col(result)["base"]).alias("base"), in_order(F.concat(F.col(result)["base"], more)).alias("spans")
+    ))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with every span, in order of start, replaced by one mark; overlapping spans share one."""
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], F.array(gap, F.lit(mark)))).alias("out"),
+        )
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(spans, first, step, lambda s: F.concat(
+        F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))
+    ))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
