@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, secrets
+from . import bpe, html_text, langid, pii, secrets, warc
 from .common import fold_of, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,16 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_digest(pii.of_kinds(F.col("personal"), pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
         span_digest(F.col("personal")).alias("spans"),
     )
+
+
+@register("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(archives, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+@register("op4_page_text")
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
