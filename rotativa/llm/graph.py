@@ -44,3 +44,12 @@ def small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     joined = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return joined.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def smallest_names(classes: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """(node, component_id): the smallest ``name`` in the component of every class; ``roots`` comes from ``components``."""
+    stars = stored(roots.union(roots.select("root", "root").distinct()), "stars")
+    own = classes.select(F.col(node).alias("node"), F.col(name).alias("name"))
+    named = stars.join(own, "node").groupBy("root").agg(F.min("name").alias("smallest"))
+    of_node = stars.join(named, "root").select("node", "smallest")
+    return own.join(of_node, "node", "left").select(F.col("node").alias(node), F.coalesce("smallest", "name").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, langid, pii, secrets, simhash, warc
+from . import bpe, decontam, embed, html_text, langid, pii, secret_scan, simhash, warc
 from .common import fold_of, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_secrets")
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("secrets")["base"]
 
     def count(kind: str):
@@ -106,3 +106,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_embeddings")
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))

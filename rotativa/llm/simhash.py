@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, with_workers
-from .graph import components
+from .graph import components, smallest_names
 
 SEED = 42
 BLOCKS = 4
@@ -131,9 +131,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     rows = stored(made.select(key, "fingerprint"), "fingerprints")
     classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("first")), "classes")
     roots = components(links(classes.select("fp"), 64, radius))
-    stars = stored(roots.union(roots.select("root", "root").distinct()), "stars")
-    named = stars.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = classes.join(stars.join(named, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select(
-        F.col("fp").alias("fingerprint"), F.coalesce("component_id", "first").alias("component_id")
-    )
+    labels = smallest_names(classes, roots, "fp", "first").withColumnRenamed("fp", "fingerprint")
     return rows.join(labels, "fingerprint").select(key, "fingerprint", "component_id")
