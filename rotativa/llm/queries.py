@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed, html_text, langid, pii, secret_scan, simhash, warc
+from . import bpe, decontam, embed, html_text, langid, lm, pii, secret_scan, simhash, warc
 from .common import fold_of, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_embeddings")
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+LM_FOLDS, LM_HELD_OUT = 5, 1
+
+
+@register("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = [raw for raw, _ in bpe.read_ranks(spark, vocabulary()[0])]
+    held_out = fold_of("doc_id", LM_FOLDS) == LM_HELD_OUT
+    return lm.score(docs, ~held_out, pieces).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
