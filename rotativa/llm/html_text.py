@@ -56,6 +56,7 @@ NAMES = re.compile(
     re.I,
 )
 SPACE = re.compile(r"\s+")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,8 @@ class TreeBuilder(HTMLParser):
 def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
+    if UNFINISHED.match(builder.rawdata):  # a tag or comment that the page's end cuts off
+        builder.rawdata = ""
     builder.close()
     hash_tree(builder.root)
     return builder.root
