@@ -58,11 +58,11 @@ def emotion_signals_base(spark, sf):
 # A lexicon made from the corpus: frequent words, class by length, weight by frequency.
 CLASSES = ("anger", "fear", "joy")
 TONES = ("NEG", "POS")
-FREQUENT = 40
+FREQUENT = 5.0  # log10 of occurrences per billion words: one in ten thousand
 
 
 def lexicon(spark, sf, classes):
-    counts = lx.zipf_lexicon(documents(spark, sf), "text").filter((F.col("n") >= FREQUENT) & (F.length("word") > 2))
+    counts = lx.zipf_lexicon(documents(spark, sf), "text").filter((F.col("zipf") >= FREQUENT) & (F.length("word") > 2))
     kind = F.get(F.array(*map(F.lit, classes)), (F.length("word") % len(classes)).cast("int"))
     return stored(counts.select("word", kind.alias("class"), (1.0 / F.length("word")).alias("weight")), "emotions")
 
@@ -75,7 +75,8 @@ def scores_sql(name: str, classes) -> str:
         f"CASE WHEN {total} > 0 THEN w_{c} / ({total}) ELSE 1.0::DOUBLE / {len(classes)} END AS {c}" for c in classes)
     return f"""{name}_lexicon AS (SELECT word, {listed} AS class, CAST(1 AS DOUBLE) / length(word) AS weight
     FROM (SELECT unnest({s_lower_words('Text')}) AS word FROM {PLAIN} d)
-    GROUP BY word HAVING count(*) >= {FREQUENT} AND length(word) > 2),
+    GROUP BY word HAVING length(word) > 2 AND log10(CAST(count(*) AS DOUBLE)
+      / (SELECT CAST(sum(len({s_words('Text')})) AS DOUBLE) FROM {PLAIN} a) * 1e9) >= {FREQUENT}),
   {name}_sums AS (SELECT d.Id, {sums} FROM {PLAIN} d
     LEFT JOIN (SELECT Id, unnest({s_words('lower(Text)')}) AS word FROM {PLAIN} x) t ON t.Id = d.Id
     LEFT JOIN {name}_lexicon l ON l.word = t.word GROUP BY d.Id),
@@ -137,8 +138,8 @@ def proba_labels_union(spark, sf):
 
 def emotion_frame(spark, sf, text="text"):
     docs = news(spark, sf).withColumnRenamed("Text", text)
-    return emo.emotion_features(
-        docs, text, scores(spark, sf, CLASSES), scores(spark, sf, TONES), CLASSES, TONES)
+    return emo.lexicon_features(
+        docs, text, lexicon(spark, sf, CLASSES), lexicon(spark, sf, TONES), CLASSES, TONES)
 
 
 EMO_LIST = [*CLASSES, *TONES]

@@ -97,14 +97,14 @@ def presence_flags(spark, sf):
         F.get(mg.VECTOR, F.lit(names.index(f"has_{b}"))).cast("double").alias(f"has_{b}") for b in DIMS])
 
 
-@register("merge_labels", f"""WITH {BLOCKS_SQL} SELECT Id, emo_label AS label, round(CAST(CAST(sem[1] AS FLOAT) AS DOUBLE), 5) AS x
-  FROM sides""")
+@register("merge_labels", merged_sql(
+    f"sem || coalesce(emo, list_transform(range({DIMS['emo']}), lambda x: CAST(0 AS DOUBLE)))"
+    " || [1.0, CASE WHEN emo IS NULL THEN 0.0 ELSE 1.0 END]", label="emo_label"))
 def merge_labels(spark, sf):
     """The base has no labels, so those of the emotion block count, by id."""
     sem, emo, *_ = blocks(spark, sf)
     bare = mg.semantic_block(sem.df.drop("label"), DIM)
-    merged = mg.merge_blocks([bare, emo])
-    return merged.select("Id", "label", F.round(F.get(mg.VECTOR, F.lit(0)).cast("double"), 5).alias("x"))
+    return cells(mg.merge_blocks([bare, emo]), "label")
 
 
 @register("block_slices", f"""WITH {BLOCKS_SQL}, dims AS (
@@ -142,8 +142,9 @@ def merge_last_wins(spark, sf):
 
 @register("merge_last_wins_drop", """WITH last AS (SELECT label AS Id, max(vec_id) AS label, arg_max(embedding, vec_id) AS v
     FROM embeddings GROUP BY label)
-  SELECT CAST(e.label AS BIGINT) AS Id, l.label, l.v[1]::DOUBLE AS x FROM embeddings e JOIN last l ON l.Id = e.label
-  JOIN labels b ON b.doc_id = e.label""")
+  SELECT CAST(e.label AS BIGINT) AS Id, l.label, unnest(range(67)) AS i,
+    round(CAST(unnest(l.v || [CAST(b.quality AS FLOAT), 1.0::FLOAT, 1.0::FLOAT]) AS DOUBLE), 5) AS x
+  FROM embeddings e JOIN last l ON l.Id = e.label JOIN labels b ON b.doc_id = e.label""")
 def merge_last_wins_drop(spark, sf):
     """Only ids that have a quality label stay; all copies get the label of the last."""
     rows = table(spark, sf, "embeddings", "vec_id", "label", "embedding").select(
@@ -151,8 +152,7 @@ def merge_last_wins_drop(spark, sf):
         F.col("embedding").alias("sem_emb"))
     quality = table(spark, sf, "labels", "doc_id", "quality").withColumnRenamed("doc_id", "Id")
     side = mg.block_from_columns("sty", quality, ["quality"])
-    merged = mg.merge_blocks([mg.semantic_block(rows, DIM, order="ord"), side], "drop")
-    return merged.select("Id", "label", F.get(mg.VECTOR, F.lit(0)).cast("double").alias("x"))
+    return cells(mg.merge_blocks([mg.semantic_block(rows, DIM, order="ord"), side], "drop"), "label")
 
 
 @register("dedupe_last", """SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type,

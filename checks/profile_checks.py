@@ -19,9 +19,10 @@ def schema_sql(name: str, columns: dict[str, str]) -> str:
 
 
 @register("profile_schema", schema_sql("orders", dict(
-    o_orderkey="bigint", o_custkey="bigint", o_orderstatus="string", o_totalprice="double", o_orderpriority="string")))
+    o_orderkey="bigint", o_custkey="bigint", o_orderstatus="string", o_totalprice="double", o_orderdate="timestamp_ntz",
+    o_orderpriority="string")))
 def profile_schema(spark, sf):
-    return pr.profile_schema(spark.read.parquet(f"{sf}/orders.parquet").drop("o_orderdate"))
+    return pr.profile_schema(spark.read.parquet(f"{sf}/orders.parquet"))
 
 
 @register("nested_profile", schema_sql("conversations", dict(turn="bigint", role="string", text="string")))
@@ -82,15 +83,14 @@ def head_sample(spark, sf):
     return pr.head_sample(news(spark, sf), 5, ["Text", "Headline"], ["Category"])
 
 
-@register("record_keys", """SELECT DISTINCT unnest(json_keys(props)) AS key FROM
-  (SELECT props FROM events ORDER BY event_id LIMIT 50)""")
+@register("record_keys", "SELECT DISTINCT unnest(json_keys(props)) AS key FROM events")
 def record_keys(spark, sf):
     return pr.record_keys(spark.read.parquet(f"{sf}/events.parquet"), "props", order="event_id")
 
 
-@register("row_at", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id OFFSET 17 LIMIT 1")
+@register("row_at", "SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id OFFSET 17 LIMIT 1")
 def row_at(spark, sf):
-    return pr.row_at(spark.read.parquet(f"{sf}/documents.parquet").drop("text"), 17, "doc_id")
+    return pr.row_at(spark.read.parquet(f"{sf}/documents.parquet"), 17, "doc_id")
 
 
 # --- files ------------------------------------------------------------------------------------------------------
@@ -118,17 +118,20 @@ def preprocess_corpus(spark, sf):
     return cleaned.select("Id", "split", F.md5(F.col("text_xlmr").cast("binary")).alias("text_md5"), "label")
 
 
-@register("convert_folder", "SELECT role AS stem, conv_id, turn, md5(text) AS text_md5 FROM conversations")
+@register("convert_folder", "SELECT 'part of ' || role || '=1' AS stem, conv_id, turn, md5(text) AS text_md5 FROM conversations")
 def convert_folder(spark, sf):
-    """A folder with one JSON file per role becomes one dataset per role."""
+    """A folder with one JSON file per role becomes one dataset per role; the stems have to be told from the paths."""
     folder = scratch_path(spark, "folder")
     turns, schema = table(spark, sf, "conversations"), "conv_id long, turn long, text string, role string"
-    for role in ("user", "assistant", "system"):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for role in [r["role"] for r in turns.select("role").distinct().collect()]:
         part = turns.filter(F.col("role") == role)
-        part.write.json(f"{folder}/{role}")
-    paths = files.convert_folder(spark, folder, "*/*.json", f"{folder}-out", schema)
-    out = spark.read.schema(schema).parquet(*paths)
-    return out.select(F.col("role").alias("stem"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+        part.coalesce(1).write.json(f"{folder}/parts/{role}")
+        system = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        system.rename(hadoop(files.matching_files(spark, f"{folder}/parts/{role}", "*.json")[0]), hadoop(f"{folder}/part of {role}=1.json"))
+    paths = files.convert_folder(spark, folder, "*.json", f"{folder}-out", schema)
+    out = spark.read.option("basePath", f"{folder}-out").schema(f"{schema}, stem string").parquet(*paths)
+    return out.select("stem", "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @register("export_csv", "SELECT doc_id AS Id, md5(text) AS text_md5, lang, source, n_chars FROM documents")

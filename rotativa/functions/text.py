@@ -10,7 +10,7 @@ from .chars import NON_SPACE_CHAR, SPACE_BUT_BLANK_CHAR, SPACE_CHAR, WORD, strip
 # What is masked and by which marker. The long s counts as an s where case is ignored.
 CONTROLS = r"[\x00-\x1f\x7f-\x{feff}&&[\x00-\x1f\x7f-\x9f\x{200b}\x{200c}\x{200d}\x{feff}]]"
 URL = rf"(?i)(?:http[sſ]?://{NON_SPACE_CHAR}+|www\.{NON_SPACE_CHAR}+)"
-EMAIL = rf"(?<![{WORD}])[{WORD}][{WORD}.\-]*+@[{WORD}.\-]+\.[{WORD}]+"
+EMAIL = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?=[.\-]))[{WORD}.\-]++@[{WORD}.\-]+\.[{WORD}]+"
 URL_MARK = "<URL>"
 EMAIL_MARK = "<EMAIL>"
 

@@ -1,6 +1,8 @@
 """Aggregates over token annotations: ``Id, sent_id, tok_id, text, upos, head_id, is_space, is_alpha``.
 
-``tok_id`` counts from 0 in each sentence, ``head_id`` is the ``tok_id`` of the head, a root is its own head.
+``tok_id`` numbers the tokens of a sentence and may leave gaps. ``head_id`` is the ``tok_id`` of the head. A token is a
+root if it is its own head, if it has none, or if its head is not in the sentence. Of rows with the same ``tok_id`` in
+one sentence, the one with the smallest head counts as a head.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.style import StyleConfig
+from ..session import stored
 from .corpus import ID, require_columns
 from .skew import salted_join
 
@@ -20,7 +23,7 @@ NO_TAG = "X"
 MAX_DEPTH = 200
 DOUBLINGS = 8  # 2**8 > MAX_DEPTH
 
-# Sentences up to this many tokens are solved as arrays in one row, longer ones by joins.
+# Sentences whose token ids stay below this are solved as arrays in one row, others by joins: the same depths.
 ARRAY_TOKENS = 20_000
 
 FORMAL = ("NOUN", "PROPN", "ADJ", "ADP", "DET")
@@ -37,13 +40,8 @@ def pos_counts(tokens: DataFrame, id_col: str = ID) -> DataFrame:
     return token_table(tokens, id_col).groupBy(id_col, "upos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col: str = ID) -> DataFrame:
-    """One row of counts per text.
-
-    Plain counts shrink to a row per text before the shuffle. Distinct words take a narrow path of their own, by
-    (id, word) first, so that a huge text is split over many tasks. Sentences are counted by their first tokens.
-    """
-    require_columns(tokens, [id_col, *COLUMNS])
+def sentence_counts(config: StyleConfig) -> dict:
+    """What is counted in the tokens of a sentence."""
     c = F.col
     real, word = ~c("is_space"), F.lower("text")
     is_word = real & c("is_alpha")
@@ -52,9 +50,8 @@ def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col:
     def count(condition):
         return F.count(F.when(condition, 1))
 
-    counted = {
+    return {
         "n_tokens": count(real),
-        "n_sents": count(c("tok_id") == 0),
         "n_words": count(is_word),
         "word_chars": F.coalesce(F.sum(F.when(is_word, F.length(word))), F.lit(0)),
         "n_long": count(is_word & (F.length(word) >= lexicons.LONG_WORD)),
@@ -67,72 +64,129 @@ def token_stats(tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col:
             for name in sorted({*FORMAL, *INFORMAL, "SCONJ"})
         },
     }
-    counts = tokens.groupBy(id_col).agg(*[expr.alias(name) for name, expr in counted.items()])
-    vocabulary = tokens.filter(is_word).select(id_col, word.alias("_word")).distinct()
-    distinct = vocabulary.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_distinct"))
-    return counts.join(distinct, id_col, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
 
-def _array_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Pointer doubling on the head array of a sentence: after k rounds a pointer has gone 2**k heads up."""
-    ordered = F.array_sort(F.collect_list(F.struct("tok_id", "head_id", "is_space")))
-    sentence = tokens.groupBy(*keys).agg(ordered.alias("_s"))
+def token_stats(
+    tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col: str = ID, array_tokens: int = ARRAY_TOKENS
+) -> DataFrame:
+    """One row per text: counts, sentences, distinct words, mean depth. The tokens are read once.
+
+    They are shuffled once, by sentence; what remains of a sentence is a row of numbers and its distinct words, which
+    are added up by text. Only sentences too long for one row are read again.
+    """
+    require_columns(tokens, [id_col, *COLUMNS])
+    keys = [id_col, "sent_id"]
+    counted = sentence_counts(config)
+    is_word = ~F.col("is_space") & F.col("is_alpha")
+    sentences = tokens.groupBy(*keys).agg(
+        *[expr.alias(name) for name, expr in counted.items()], _links(array_tokens).alias("_s"),
+        F.max("tok_id").alias("_last"), F.collect_set(F.when(is_word, F.lower("text"))).alias("_words"),
+    )
+    real = F.filter(_depths(F.col("_s")), lambda t: ~t["is_space"])
+    fits = F.coalesce(F.col("_last") < array_tokens, F.lit(True))
+    solved = sentences.withColumn("_real", F.when(fits, real)).withColumns({
+        "_depth": F.aggregate("_real", F.lit(0).cast("long"), lambda n, t: n + t["depth"]), "_deep": F.size("_real"),
+    })
+    stats = solved.groupBy(id_col).agg(
+        *[F.sum(name).alias(name) for name in counted], F.count(F.lit(1)).alias("n_sents"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_words")))).cast("long").alias("n_distinct"),
+        F.sum("_depth").alias("_depth"), F.sum(F.when(F.col("_deep") > 0, F.col("_deep"))).alias("_deep"),
+    )
+    depth, deep = F.coalesce("_depth", F.lit(0)), F.coalesce("_deep", F.lit(0))
+    long = _long_sentences(tokens.select(*keys, "tok_id", "head_id", "is_space"), keys, array_tokens)
+    if long is not None:
+        more = long.filter(~F.col("is_space")).groupBy(F.col(id_col).alias("_id")).agg(
+            F.sum("depth").alias("_more"), F.count("depth").alias("_many")
+        )
+        stats = stats.join(more, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        depth, deep = depth + F.coalesce("_more", F.lit(0)), deep + F.coalesce("_many", F.lit(0))
+    mean = F.when(deep > 0, depth / deep)
+    return stats.withColumn("avg_dep_depth", mean).select(
+        id_col, *counted, "n_sents", "n_distinct", "avg_dep_depth"
+    )
+
+
+def _links(array_tokens: int):
+    """The tokens of a sentence in order; those beyond the limit are left to the joins."""
+    link = F.struct("tok_id", F.col("head_id").cast("int").alias("head_id"), "is_space")
+    return F.array_sort(F.collect_list(F.when(F.col("tok_id") < array_tokens, link)))
+
+
+def _depths(sentence):
+    """(tok_id, is_space, depth) of each token, by pointer doubling: after k rounds a pointer has gone 2**k heads up."""
+    ids = F.transform(sentence, lambda t: t["tok_id"])
+    dense = F.element_at(ids, -1) == F.size(ids) - 1  # no gap and no copy: a token id is its place
+
+    def place(t, i):
+        head = t["head_id"]
+        found = F.when(dense, head).otherwise(F.array_position(ids, head).cast("int") - 1)
+        return F.when((head == t["tok_id"]) | head.isNull() | (found < 0) | (found >= F.size(ids)), i).otherwise(found)
 
     def double(acc, _):
         return F.struct(
-            F.transform(acc["p"], lambda up, i: F.get(acc["d"], i) + F.get(acc["d"], up)).alias("d"),
+            F.transform(acc["p"], lambda up, i: F.least(F.get(acc["d"], i) + F.get(acc["d"], up), F.lit(MAX_DEPTH))).alias("d"),
             F.transform(acc["p"], lambda up: F.get(acc["p"], up)).alias("p"),
         )
 
-    start = F.struct(
-        F.transform("_s", lambda t: F.when(t["head_id"] == t["tok_id"], 0).otherwise(1)).alias("d"),
-        F.transform("_s", lambda t: t["head_id"].cast("int")).alias("p"),
-    )
+    places = F.transform(sentence, place)
+    start = F.struct(F.transform(places, lambda p, i: F.when(p == i, 0).otherwise(1)).alias("d"), places.alias("p"))
     depths = F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, double, lambda acc: acc["d"])
-    per_token = F.arrays_zip(F.col("_s"), depths.alias("d"))
-    return sentence.select(*keys, F.explode(per_token).alias("_t")).select(
-        *keys, "_t._s.tok_id", "_t._s.is_space", F.least(F.col("_t.d"), F.lit(MAX_DEPTH)).alias("depth")
-    )
+    return F.zip_with(sentence, depths, lambda t, d: F.struct(
+        t["tok_id"].alias("tok_id"), t["is_space"].alias("is_space"), d.alias("depth")
+    ))
+
+
+def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame | None:
+    """Depths of the sentences that arrays leave out; None if there are none, found by one filter without a shuffle."""
+    beyond = links.filter(F.col("tok_id") >= array_tokens)
+    if beyond.isEmpty():
+        return None
+    long = beyond.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return _joined_depths(stored(links.join(long, same, "left_semi"), "long-sentences"), keys)
 
 
 def _joined_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """The same doubling, one join per round, for sentences no single task should hold.
 
-    Tokens that reached their root leave the join. Many tokens under one head make a hot key: hence the salted join.
-    Each round is checkpointed, as it reads the round before twice.
+    Tokens that reached their root leave the join, and rounds end when none is left. Many tokens under one head make a
+    hot key: hence the salted join. Each round is written, as it is read twice.
     """
-    nodes = tokens.select(
-        *keys, "tok_id", "is_space", F.col("head_id").cast("int").alias("up"),
-        F.when(F.col("head_id") == F.col("tok_id"), 0).otherwise(1).alias("depth"),
-    ).withColumn("done", F.col("depth") == 0)
+    sentence = F.hash(*keys), F.xxhash64(*keys)  # so that null keys meet as well
+    nodes = tokens.select(*keys, sentence[0].alias("_k"), sentence[1].alias("_h"), "tok_id", "is_space", F.col("head_id").cast("int").alias("up"))
+    on = ["_k", "_h", "up"]
+    heads = nodes.select("_k", "_h", F.col("tok_id").alias("up"), F.lit(True).alias("found")).distinct()
+    linked = salted_join(nodes, heads, on, "left", ["tok_id"])
+    root = (F.col("up") == F.col("tok_id")) | F.col("found").isNull()
+    nodes = stored(linked.select(
+        *keys, "_k", "_h", "tok_id", "is_space", "up", F.col("up").alias("head"), F.when(root, 0).otherwise(1).alias("depth"),
+        root.alias("done"),
+    ), "depths")
     for _ in range(DOUBLINGS):
-        above = nodes.select(
-            *keys, F.col("tok_id").alias("up"), F.col("up").alias("next_up"), F.col("depth").alias("more"),
-            F.col("done").alias("top"),
+        open_ = nodes.filter(~F.col("done"))
+        if open_.isEmpty():
+            break
+        first = nodes.groupBy("_k", "_h", F.col("tok_id").alias("up")).agg(F.min(F.struct(
+            F.coalesce("head", F.lit(-(2**31))).alias("head"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top")
+        )).alias("a"))
+        moved = salted_join(open_, first, on, "inner", ["tok_id"]).select(
+            *keys, "_k", "_h", "tok_id", "is_space", F.col("a.next").alias("up"), "head",
+            F.least(F.col("depth") + F.col("a.more"), F.lit(MAX_DEPTH)).alias("depth"), F.col("a.top").alias("done"),
         )
-        moved = salted_join(nodes.filter(~F.col("done")), above, [*keys, "up"], "inner", ["tok_id"]).select(
-            *keys, "tok_id", "is_space", F.col("next_up").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
-            F.col("top").alias("done"),
-        )
-        nodes = nodes.filter("done").unionByName(moved).checkpoint()
-    return nodes.select(*keys, "tok_id", "is_space", F.least("depth", F.lit(MAX_DEPTH)).alias("depth"))
+        nodes = stored(nodes.filter("done").unionByName(moved), "depths")
+    return nodes.select(*keys, "tok_id", "is_space", "depth")
 
 
 def dep_depth(tokens: DataFrame, id_col: str = ID, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
     """Depth of every token that is no space: steps to the root, at most 200."""
-    from ..session import shared_folder
-
     keys = [id_col, "sent_id"]
     links = require_columns(tokens, [id_col, *COLUMNS]).select(*keys, "tok_id", "head_id", "is_space")
-    sizes = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > array_tokens)
-    if sizes.isEmpty():
-        depths = _array_depths(links, keys)
-    else:
-        shared_folder(tokens.sparkSession)
-        long_sentences = sizes.select(*keys).checkpoint()
-        short = links.join(long_sentences, keys, "left_anti")
-        long = links.join(long_sentences, keys, "left_semi").checkpoint()
-        depths = _array_depths(short, keys).unionByName(_joined_depths(long, keys))
+    sentences = links.groupBy(*keys).agg(_links(array_tokens).alias("_s"), F.max("tok_id").alias("_last"))
+    short = sentences.filter(F.coalesce(F.col("_last") < array_tokens, F.lit(True)))
+    depths = short.select(*keys, F.inline(_depths(F.col("_s"))))
+    long = _long_sentences(links, keys, array_tokens)
+    if long is not None:
+        depths = depths.unionByName(long)
     return depths.filter(~F.col("is_space")).drop("is_space")
 
 

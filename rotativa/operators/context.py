@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ class ContextConfig:
     def __post_init__(self):
         if self.date and self.as_of is None:
             raise ValueError("a date column needs as_of")
+        if self.as_of is not None and self.as_of.tzinfo is None:  # the same ages wherever the driver runs
+            object.__setattr__(self, "as_of", self.as_of.replace(tzinfo=timezone.utc))
 
     @property
     def dims(self) -> dict[str, int]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..functions.numeric import ratio
 from ..functions.text import normalize_text
+from ..session import stored
 from .corpus import ID
 from .skew import BROADCAST_ROWS, is_small, salted_join
 
@@ -34,33 +37,48 @@ def is_rare(word: Column, zipf: Column, below: float) -> Column:
 
 
 def rare_share(
-    words: DataFrame, lexicon: DataFrame, below: float, id_col: str, word: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    words: DataFrame, lexicon: DataFrame, below: float, keys: Sequence[str], word: str,
+    broadcast_rows: int = BROADCAST_ROWS, language: str | None = None,
 ) -> DataFrame:
-    """``id, n_words, n_rare, error_rate`` from one row per word occurrence (a null word stands for a text without).
+    """``keys, n_words, n_rare, error_rate`` from one row per word occurrence (a null word stands for a text without).
 
-    Only frequent words of the lexicon can change the outcome, so only those are joined. A lexicon too big to
-    broadcast meets words that are counted per text first.
+    Only frequent words of the lexicon can change the outcome, so only those are joined; they are stored, so that the
+    lexicon runs once. A lexicon too big to broadcast meets words that are counted per text first. With ``language``
+    the lexicon has a column of that name, and a word counts in the language of its text.
     """
-    known = lexicon.filter(F.col("zipf") >= F.lit(float(below))).select(F.col("word").alias(word), "zipf")
-    per_word = words.select(id_col, word, F.lit(1).cast("long").alias("_n"))
+    of_language = [language] if language else []
+    on = [word, *of_language]
+    listed = lexicon.filter(F.col("zipf") >= F.lit(float(below))).select(F.col("word").alias(word), *of_language, "zipf")
+    known = stored(listed, "lexicon")
+    per_word = words.select(*keys, *on, F.lit(1).cast("long").alias("_n"))
     if is_small(known, broadcast_rows):
-        joined = per_word.join(F.broadcast(known), word, "left")
+        joined = per_word.join(F.broadcast(known), on, "left")
     else:
-        per_word = per_word.groupBy(id_col, word).agg(F.sum("_n").alias("_n"))
-        joined = salted_join(per_word, known, [word], "left", [id_col])
+        per_word = per_word.groupBy(*keys, *on).agg(F.sum("_n").alias("_n"))
+        joined = salted_join(per_word, known, on, "left", list(keys))
     w = F.col(word)
     n_words = F.coalesce(F.sum(F.when(w.isNotNull(), F.col("_n"))), F.lit(0))
     n_rare = F.coalesce(F.sum(F.when(is_rare(w, F.col("zipf"), below), F.col("_n"))), F.lit(0))
     return (
-        joined.groupBy(id_col).agg(n_words.alias("n_words"), n_rare.alias("n_rare"))
+        joined.groupBy(*keys).agg(n_words.alias("n_words"), n_rare.alias("n_rare"))
         .withColumn("error_rate", ratio(F.col("n_rare"), F.col("n_words")))
     )
 
 
 def oov_rate(
     df: DataFrame, text: str, lexicon: DataFrame, below: float = 1.5, id_col: str = ID,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, language: str | None = None,
 ) -> DataFrame:
-    words = df.select(id_col, F.explode_outer(tokens.lower_words(normalize_text(F.col(text)))).alias("_word"))
-    return rare_share(words, lexicon, below, id_col, "_word", broadcast_rows)
+    """``id, n_words, n_rare, error_rate`` of every row; repeated and null ids keep their own rates."""
+    words = exploded_words(df.withColumn("_row", F.monotonically_increasing_id()), text, [id_col, "_row"], language)
+    return rare_share(words, lexicon, below, [id_col, "_row"], "_word", broadcast_rows, language).drop("_row")
+
+
+def text_key(text: str) -> Column:
+    """Stands for a text beside its id: what depends on the text alone is the same for rows that share both."""
+    return F.xxhash64(normalize_text(F.col(text)))
+
+
+def exploded_words(df: DataFrame, text: str, keys: Sequence[str], language: str | None = None) -> DataFrame:
+    words = tokens.lower_words(normalize_text(F.col(text)))
+    return df.select(*keys, *([language] if language else []), F.explode_outer(words).alias("_word"))

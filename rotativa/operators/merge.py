@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe
+from ..session import stored
 from .corpus import ID, LABEL, require_columns
 from .emotion import names_of
 from .skew import salted_join
@@ -27,7 +28,8 @@ def prefix_names(names: Sequence[str], prefix: str, always: bool = False) -> lis
 
 @dataclass(frozen=True)
 class Block:
-    """``df`` has an id and a vector column. With ``order`` the last row of an id wins; without it ids are unique."""
+    """``df`` has an id and a vector column. With ``order`` the last row of an id wins. Without it a side with repeated
+    ids fails the job, and the rows of a base are taken as they stand."""
 
     name: str
     df: DataFrame
@@ -50,10 +52,11 @@ class Block:
         return self.label in self.df.columns
 
     def last(self) -> DataFrame:
-        """One row per id."""
+        """One row per id that is not null."""
+        known = self.df.filter(F.col(self.id_col).isNotNull())
         if self.order is None:
-            return self.df
-        return dedupe_last(self.df, self.id_col, self.order)
+            return only_row(known, self.id_col, self.name)
+        return dedupe_last(known, self.id_col, self.order)
 
 
 def block_from_columns(
@@ -102,7 +105,12 @@ def columns_to_vector(df: DataFrame, names: Sequence[str], keep: Sequence[str] =
 def vector_to_columns(
     df: DataFrame, names: Sequence[str], vector: str = VECTOR, keep: Sequence[str] = (ID,)
 ) -> DataFrame:
-    return df.select(*keep, *[F.get(F.col(vector), F.lit(i)).alias(name) for i, name in enumerate(names)])
+    """One column per name. A vector of another length fails the job; a null vector gives nulls."""
+    v = F.col(vector)
+    wrong = F.raise_error(F.concat(F.lit(f"{len(names)} names for a vector of length "), F.size(v).cast("string")))
+    checked = F.when(v.isNull() | (F.size(v) == len(names)), v).otherwise(wrong)
+    cells = df.select(*keep, checked.alias("_v"))
+    return cells.select(*keep, *[F.get("_v", F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
 def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (ID,)) -> DataFrame:
@@ -111,12 +119,25 @@ def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (I
 
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``. Partial maxima first: a key with many copies is thinned map-side."""
+    """The last row of each key by ``order``. Partial maxima first: a key with many copies is thinned map-side.
+
+    A row without order comes before all others; of rows with the same order that with the largest hash is the last.
+    """
     rest = [c for c in df.columns if c != key]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    by = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*rest))
+    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("_last"))
     return last.select(key, *[F.col("_last")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def only_row(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The row of each key; a failed job where a key has several, as nothing tells which of them counts."""
+    rest = [c for c in df.columns if c != key]
+    message = F.concat(F.lit("repeated id="), F.col(key).cast("string"), F.lit(f" in block '{name}': give an order"))
+    found = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return found.select(key, row.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+
+
 def check_dim(vector: Column, block: Block, id_value: Column) -> Column:
     """The vector, or a failed job if its length is not that of the block."""
     message = F.concat(
@@ -150,21 +171,31 @@ def merge_blocks(
     """``Id, [label,] features``: the blocks of each base row one after the other, then the presence flags.
 
     The first block is the base. All sides have one row per id when they meet, so no join can blow up or get hot;
-    each block is shuffled once and the joins share that partitioning. Copies of a base id are put back at the end, by
-    a join that spreads ids with many copies. Labels come from the base, or by id from the first block that has some.
-    Under ``drop`` all copies of an id get the label of the last.
+    each block is shuffled once and the joins share that partitioning. A base with an order is stored first, so that it
+    runs once; its last vectors are merged, and its rows are put back at the end, by a join that spreads ids with many
+    copies. Labels come from the base, or by id from the first block that has some. Under ``drop`` all copies of an id
+    get the label of the last. Base rows with a null id match no side: they stay with their own vector under
+    ``fill_zero``, go under ``drop`` and fail under ``error`` if there are other blocks.
     """
     policy = (policy or "fill_zero").lower().strip()
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, got {policy!r}")
     base, rest = blocks[0], blocks[1:]
+    if base.order is not None:
+        used = dict.fromkeys([base.id_col, base.vector, base.order, *([base.label] if base.has_label else [])])
+        base = replace(base, df=stored(base.df.select(*used), "base"))
+        blocks = [base, *rest]
     labelled = next((b for b in blocks if b.has_label), None)
     label_per_row = labelled is base and policy != "drop"
 
     def side(block: Block) -> DataFrame:
         label = [F.col(block.label).alias(LABEL)] if block is labelled else []
         vector = F.col(block.vector).cast("array<float>").alias(f"_v_{block.name}")
-        return block.last().select(F.col(block.id_col).alias(ID), vector, *label)
+        if block is not base:
+            rows = block.last()
+        else:
+            rows = block.df if block.order is None else dedupe_last(block.df, block.id_col, block.order)
+        return rows.select(F.col(block.id_col).alias(ID), vector, *label)
 
     wide = side(base)
     for block in rest:
@@ -187,7 +218,10 @@ def merge_blocks(
         *([F.col(base.label).alias(LABEL)] if label_per_row else []),
     )
     right = merged.drop(LABEL) if label_per_row else merged
-    return salted_join(copies, right, [ID], "inner", ["_order"]).select(*keep, VECTOR)
+    # Null ids meet as well: the key is the id and whether there is one.
+    key = {"_null": F.col(ID).isNull(), "_key": F.coalesce(F.col(ID).cast("string"), F.lit(""))}
+    found = salted_join(copies.withColumns(key), right.withColumns(key).drop(ID), list(key), "inner", ["_order"])
+    return found.select(*keep, VECTOR)
 
 
 def merged_names(blocks: Sequence[Block], flags: bool = True) -> list[str]:

@@ -19,7 +19,6 @@ LABEL_GUESSES = 3
 MAX_LABELS = 50
 SHOWN_COLUMNS = 8
 SHOWN_CHARS = 240
-SHOWN_RECORDS = 50
 TOP = 20
 
 
@@ -116,9 +115,9 @@ def head_sample(
     ])
 
 
-def record_keys(df: DataFrame, json: str, n: int = 0, order: str = ID) -> DataFrame:
-    """Keys that occur in the first records, sorted."""
-    first = df.orderBy(order).limit(max(n, SHOWN_RECORDS))
+def record_keys(df: DataFrame, json: str, n: int | None = None, order: str = ID) -> DataFrame:
+    """Keys that occur in the records, sorted; with ``n`` those of the first n records only."""
+    first = df if n is None else df.orderBy(order).limit(n)
     return first.select(F.explode(F.json_object_keys(json)).alias("key")).distinct().orderBy("key")
 
 

@@ -1,7 +1,8 @@
 """Document vectors from token vectors ``Id, pos, mask, emb``.
 
-Every pooling is a sum per dimension with map-side partial sums, so a text that holds most of all tokens costs no more
-than any other: no text's tokens are ever gathered in one place.
+Every pooling is a weighted vector mean with map-side partial sums, so a text that holds most of all tokens costs no
+more than any other: no text's tokens are ever gathered in one place. A vector that is null or of another length than
+``dim`` fails the job on every path, masked or not.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +27,11 @@ POOLINGS = ("mean", "cls", "attention")
 # then all weigh the same - what a softmax over equal scores gives.
 MASKED_WEIGHT = 1e-290
 
-# Attention scores lie within +-sum(|v|); up to here exp() of them needs no shift by the largest score.
+# Attention scores lie within +-sum(|v|), as tanh lies within +-1. Up to 300 exp() of them lies within 1e-131 and 1e131:
+# sums of 1e150 such weights are finite, and the smallest is still 1e159 times MASKED_WEIGHT. So no shift is needed.
 SAFE_SCORE = 300.0
 
-# Up to this many weights the score is a Spark expression; beyond it a matrix product on Arrow batches.
+# Up to this many weights the score is a Spark expression; beyond it a matrix product on Arrow batches: the same score.
 EXPRESSION_WEIGHTS = 1024
 
 
@@ -37,17 +41,25 @@ def truncate_tokens(tokens: DataFrame, max_len: int = MAX_TOKENS, id_col: str =
     return tokens.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_len).drop("_rank")
 
 
-def _weighted_mean(tokens: DataFrame, weight: Column, dim: int, id_col: str, floor: float) -> DataFrame:
-    rows = tokens.select(id_col, "emb", weight.cast("double").alias("_w"))
-    sums = [F.sum(F.col("_w") * F.col("emb")[i]).alias(f"_d{i}") for i in range(dim)]
-    pooled = rows.groupBy(id_col).agg(F.sum("_w").alias("_total"), *sums)
-    total = F.greatest("_total", F.lit(floor))
-    return pooled.select(id_col, F.array(*[F.col(f"_d{i}") / total for i in range(dim)]).alias("sem_emb"))
+def of_length(emb: Column, dim: int) -> Column:
+    """The vector as doubles, or a failed job."""
+    found = F.coalesce(F.size(emb).cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit(f"a token vector has not {dim} dimensions but "), found))
+    return F.when(emb.isNotNull() & (F.size(emb) == dim), emb).otherwise(wrong).cast("array<double>")
+
+
+def _weighted_mean(tokens: DataFrame, emb: Column, weight: Column, id_col: str) -> DataFrame:
+    """One aggregate whatever the number of dimensions; no weight may be 0, as such rows would not count at all."""
+    rows = tokens.select(id_col, array_to_vector(emb).alias("_v"), weight.cast("double").alias("_w"))
+    pooled = rows.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_mean"))
+    return pooled.select(id_col, vector_to_array("_mean").alias("sem_emb"))
 
 
 def pool_mean(tokens: DataFrame, dim: int, id_col: str = ID) -> DataFrame:
     """Mean over unmasked tokens; a text without any gives zeros."""
-    return _weighted_mean(tokens, F.col("mask"), dim, id_col, 1e-6)
+    emb, masked = of_length(F.col("emb"), dim), F.coalesce(F.col("mask"), F.lit(0)) == 0
+    shown = F.when(masked, F.transform(emb, lambda x: F.lit(0.0))).otherwise(emb)
+    return _weighted_mean(tokens, shown, F.when(masked, MASKED_WEIGHT).otherwise(F.col("mask")), id_col)
 
 
 def pool_cls(tokens: DataFrame, id_col: str = ID) -> DataFrame:
@@ -97,7 +109,8 @@ def pool_attention(
     second pass and a join, is only needed for extreme weights.
     """
     bound = sum(abs(float(x)) for x in v)
-    scored = with_attention_scores(tokens.select(id_col, "mask", "emb"), projection, bias, v)
+    checked = tokens.select(id_col, "mask", of_length(F.col("emb"), dim).alias("emb"))
+    scored = with_attention_scores(checked, projection, bias, v)
     if bound > SAFE_SCORE:
         top = scored.filter(F.col("mask") != 0).groupBy(id_col).agg(F.max("_score").alias("_top"))
         scored = scored.join(top, id_col, "left")
@@ -105,7 +118,7 @@ def pool_attention(
     else:
         shifted = F.col("_score")
     weight = F.when(F.col("mask") != 0, F.exp(shifted)).otherwise(F.lit(MASKED_WEIGHT))
-    return _weighted_mean(scored, weight, dim, id_col, 1e-300)
+    return _weighted_mean(scored, F.col("emb"), weight, id_col)
 
 
 def semantic_frame(

@@ -10,7 +10,7 @@ from ..functions.numeric import floor_one, ratio
 from ..functions.style import StyleConfig
 from . import annotations as ann
 from .corpus import ID, require_columns
-from .lexicon import oov_rate, rare_share
+from .lexicon import exploded_words, rare_share, text_key
 
 
 def style_features(
@@ -25,26 +25,30 @@ def style_features(
     require_columns(df, [id_col, text])
     use_lexicon = lexicon is not None and config.rare_words
     if tokens is None:
-        out = _from_text(df, text, config, id_col)
-        rates = oov_rate(df, text, lexicon, config.rare_below_zipf, id_col) if use_lexicon else None
+        out = _from_text(df, text, config, id_col, use_lexicon)
+        if use_lexicon:
+            words = exploded_words(df.withColumn("_text", text_key(text)), text, [id_col, "_text"])
+            rates = rare_share(words, lexicon, config.rare_below_zipf, [id_col, "_text"], "_word")
+            same = out[id_col].eqNullSafe(F.col("_id")) & (out["_text"] == F.col("_key"))
+            found = rates.select(F.col(id_col).alias("_id"), F.col("_text").alias("_key"), F.col("error_rate").alias("_rate"))
+            out = out.join(found, same, "left").withColumn("error_rate", F.coalesce("_rate", F.lit(0.0)))
     else:
         out = _from_tokens(df, text, tokens, config, id_col)
-        rates = None
         if use_lexicon:
             words = tokens.filter(~F.col("is_space") & F.col("is_alpha")).select(
                 id_col, F.lower("text").alias("_word")
             )
-            rates = rare_share(words, lexicon, config.rare_below_zipf, id_col, "_word")
-    if rates is not None:
-        found = rates.select(id_col, F.col("error_rate").alias("_rate"))
-        out = out.join(found, id_col, "left").withColumn("error_rate", F.coalesce("_rate", F.lit(0.0)))
+            rates = rare_share(words, lexicon, config.rare_below_zipf, [id_col], "_word")
+            found = rates.select(id_col, F.col("error_rate").alias("_rate"))
+            out = out.join(found, id_col, "left").withColumn("error_rate", F.coalesce("_rate", F.lit(0.0)))
     return out.select(id_col, *config.names)
 
 
-def _from_text(df: DataFrame, text: str, config: StyleConfig, id_col: str) -> DataFrame:
+def _from_text(df: DataFrame, text: str, config: StyleConfig, id_col: str, keyed: bool) -> DataFrame:
     columns = st.core_features(config) | (st.signal_features(config) if config.extra_signals else {})
     counted = st.with_style_counts(df.select(id_col, text), text, config)
-    return counted.select(id_col, *[c.alias(name) for name, c in columns.items()])
+    key = [text_key(text).alias("_text")] if keyed else []
+    return counted.select(id_col, *key, *[c.alias(name) for name, c in columns.items()])
 
 
 def _from_tokens(df: DataFrame, text: str, tokens: DataFrame, config: StyleConfig, id_col: str) -> DataFrame:
@@ -56,10 +60,7 @@ def _from_tokens(df: DataFrame, text: str, tokens: DataFrame, config: StyleConfi
     counted = st.with_style_counts(df.select(id_col, text), text, config)
     of_text = {"ifsz": st.readability(config)} | st.text_signals(F.lit(1))
     facts = counted.select(id_col, *[c.alias(f"_t_{name}") for name, c in of_text.items()])
-    joined = (
-        facts.join(ann.token_stats(tokens, config, id_col), id_col, "left")
-        .join(ann.mean_depth(tokens, id_col), id_col, "left")
-    )
+    joined = facts.join(ann.token_stats(tokens, config, id_col), id_col, "left")
 
     def n(*names: str):
         total = F.lit(0)

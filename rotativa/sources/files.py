@@ -23,9 +23,12 @@ def file_stem(name: Column) -> Column:
 
 
 def read_folder(
-    spark: SparkSession, folder: str, pattern: str, schema: str | T.StructType | None = None
+    spark: SparkSession, folder: str, pattern: str, schema: str | T.StructType | None = None, lines_in_values: bool = False
 ) -> DataFrame:
-    """All matching files in one scan, with the stem of the file each row comes from."""
+    """All matching files in one scan, with the stem of the file each row comes from.
+
+    CSV values that hold line feeds need ``lines_in_values``, which takes a task per file whatever its size.
+    """
     if not matching_files(spark, folder, pattern):
         raise FileNotFoundError(f"no files {pattern!r} in {folder}")
     kind = pattern.rsplit(".", 1)[-1].lower()
@@ -35,31 +38,57 @@ def read_folder(
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=lines_in_values, escape='"')
     df = reader.load(f"{folder.rstrip('/')}/{pattern}")
-    return df.withColumn(STEM, file_stem(F.col("_metadata.file_name")))
+    # The name comes percent-encoded, as in a URL, where a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.withColumn(STEM, file_stem(name))
 
 
 def convert_folder(
     spark: SparkSession, folder: str, pattern: str, out: str, schema: str | T.StructType | None = None
 ) -> list[str]:
-    """One Parquet dataset per file stem, written in one job; returns their paths, sorted."""
-    stems = [path.rsplit("/", 1)[-1].rsplit(".", 1)[0] for path in matching_files(spark, folder, pattern)]
+    """One Parquet dataset per file stem, written in one job; returns the paths there are, sorted."""
     read_folder(spark, folder, pattern, schema).write.mode("overwrite").partitionBy(STEM).parquet(out)
-    return [f"{out.rstrip('/')}/{STEM}={stem}" for stem in sorted(stems)]
+    return matching_files(spark, out, f"{STEM}=*")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """UTF-8 with a header and no index. Arrays, maps and structs become JSON text."""
+    """UTF-8 with a header and no index. Arrays, maps and structs become JSON text.
+
+    A row is one line, so that big files can be read by many tasks: line feeds, carriage returns and backslashes in
+    strings are written as ``\\n``, ``\\r`` and ``\\\\``; null is written as ``\\N``, the empty string as ``""``.
+    """
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat: Sequence[Column] = [
-        F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
+        F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, nested)
+        else escaped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
         for f in df.schema.fields
     ]
     df.select(*flat).write.mode("overwrite").options(
-        header=True, encoding="UTF-8", escape='"', quoteAll=True, emptyValue=""
+        header=True, encoding="UTF-8", escape='"', quoteAll=True, emptyValue="", nullValue=NULL
     ).csv(path)
 
 
+NULL = r"\N"  # no escaped string reads like this
+
+
+def escaped(c: Column) -> Column:
+    for plain, mark in (("\\", r"\\"), ("\n", r"\n"), ("\r", r"\r")):
+        c = F.replace(c, F.lit(plain), F.lit(mark))
+    return c
+
+
+def unescaped(c: Column) -> Column:
+    """Pairs of backslashes are set aside first, so that ``\\\\n`` stays a backslash and an n."""
+    for mark, plain in ((r"\\", "\0"), (r"\n", "\n"), (r"\r", "\r"), ("\0", "\\")):
+        c = F.replace(c, F.lit(mark), F.lit(plain))
+    return c
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', emptyValue="").csv(path)
+    """What ``export_csv`` wrote; files are split over tasks."""
+    df = spark.read.schema(schema).options(header=True, escape='"', emptyValue="", nullValue=NULL).csv(path)
+    return df.select(*[
+        unescaped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields
+    ])

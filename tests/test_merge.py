@@ -105,19 +105,22 @@ def test_salted_join_equals_plain_join(spark, how):
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, 8).when(F.col("id") % 50 != 2, F.col("id")).alias("k"),
         F.col("id").alias("row"))
     right = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert skew.heavy_hitters(left, ["k"])
+    heavy = skew.heavy_hitters(left, ["k"])
+    assert sorted(heavy.values())[-1] == 1000
+    assert not skew.heavy_hitters(spark.range(200_000), ["id"])
     plain = sorted(left.join(right, "k", how).collect(), key=str)
     assert sorted(skew.salted_join(left, right, ["k"], how, ["row"]).collect(), key=str) == plain
-    assert sorted(skew.join_unique(left, right, ["k"], how, ["row"], broadcast_rows=10).collect(), key=str) == plain
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(skew.SALTS))).filter("k = 7")
-    assert spread.select("_salt").distinct().count() > 200
+    copies = skew.copies_of({1: 1000, 2: 99, 3: 10**9}, 100)
+    assert copies == {1: 10, 2: 2, 3: skew.SALTS}
 
 
 def test_broadcast_needs_few_rows_and_bytes(spark):
     df = spark.createDataFrame([("a" * 100,), ("b",), (None,)], "w string")
     assert skew.is_small(df)
     assert not skew.is_small(df, rows=2) and not skew.is_small(df, rows=0)
-    assert not skew.is_small(df, size=100) and skew.is_small(df, size=125)
+    assert not skew.is_small(df, size=100) and skew.is_small(df, size=149)
+    for wide in ("array(1.0)", "map('a', 1)", "struct(1 AS x)", "cast('a' AS binary)"):
+        assert not skew.is_small(df.selectExpr("w", f"{wide} AS v"))
 
 
 def test_merge_with_a_hot_base_id(spark):
