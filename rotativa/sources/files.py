@@ -66,10 +66,11 @@ def export_csv(df: DataFrame, path: str) -> None:
         for f in df.schema.fields
     ]
     df.select(*flat).write.mode("overwrite").options(
-        header=True, encoding="UTF-8", escape='"', quoteAll=True, emptyValue="", nullValue=NULL
+        header=True, encoding="UTF-8", escape='"', quoteAll=True, emptyValue="", nullValue=NULL, **KEEP_SPACES
     ).csv(path)
 
 
+KEEP_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 NULL = r"\N"  # no escaped string reads like this
 
 
@@ -88,7 +89,7 @@ def unescaped(c: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """What ``export_csv`` wrote; files are split over tasks."""
-    df = spark.read.schema(schema).options(header=True, escape='"', emptyValue="", nullValue=NULL).csv(path)
+    df = spark.read.schema(schema).options(header=True, escape='"', emptyValue="", nullValue=NULL, **KEEP_SPACES).csv(path)
     return df.select(*[
         unescaped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields
     ])
