@@ -34,6 +34,7 @@ ISO = (
     r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
     r"(Z|[+\-]\d{2}(?::?\d{2})?)?)?$"
 )
+WEEK = r"^(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)(?=[T ]|$)"
 LAST_SECOND = 253402300799  # of the year 9999
 
 SECONDS_PER_DAY = 86400.0
@@ -124,6 +125,24 @@ def _epoch(s: Column) -> Column:
     return F.when(seconds <= LAST_SECOND, F.timestamp_seconds(seconds))
 
 
+def extended(s: Column) -> Column:
+    """Compact ISO date-times and week dates in the extended form, anything else as it is."""
+    dated = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})(?=[T ])", "$1-$2-$3")
+    timed = F.regexp_replace(dated, r"^(.{10}[T ]\d{2})(\d{2})(\d{2})(?=[.,Z+\-]|$)", "$1:$2:$3")
+    timed = F.regexp_replace(timed, r"^(.{10}[T ]\d{2})(\d{2})(?=[.,Z+\-]|$)", "$1:$2")
+
+    def number(*groups: int) -> Column:
+        return F.concat(*[F.regexp_extract(s, WEEK, i) for i in groups]).try_cast("int")
+
+    week = number(2, 4)
+    monday = F.date_trunc("week", F.concat(F.regexp_extract(s, WEEK, 1), F.lit("-01-04")).try_cast("date")).cast("date")
+    day = F.date_add(monday, (week - 1) * 7 + F.coalesce(number(3, 5), F.lit(1)) - 1)
+    of_week = F.when((week > 0) & (F.weekofyear(day) == week), F.concat(
+        F.date_format(day, "yyyy-MM-dd"), F.regexp_replace(s, WEEK, "")
+    ))
+    return F.when(s.rlike(WEEK), of_week).otherwise(timed)
+
+
 def _iso(s: Column) -> Column:
     def part(i: int, default: str) -> Column:
         return F.coalesce(F.nullif(F.regexp_extract(s, ISO, i), F.lit("")), F.lit(default))
@@ -144,7 +163,7 @@ def parse_date(c: Column) -> Column:
         in_utc = F.concat(s, F.lit("Z"))
         forms = [F.when(s.rlike(shape), F.try_to_timestamp(in_utc, F.lit(f"{form}X"))) for shape, form in DATE_FORMS]
         return F.when(s.rlike(r"^\d{10,13}$"), _epoch(s)).otherwise(
-            F.coalesce(F.when(s.rlike(ISO), _iso(s)), *forms)
+            F.coalesce(bind(extended(s), lambda e: F.when(e.rlike(ISO), _iso(e))), *forms)
         )
 
     return bind(str_field(c), parse)

@@ -6,14 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def safe(c: Column) -> Column:
+def safe(c: Column, on: bool = True) -> Column:
+    """A double; switched off, missing and non-finite values stay as they are."""
     c = c.cast("double")
+    if not on:
+        return c
     finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     return F.when(finite, c).otherwise(F.lit(0.0))
 
 
-def safe_vector(c: Column) -> Column:
-    return F.transform(c, safe)
+def safe_vector(c: Column, on: bool = True) -> Column:
+    return F.transform(c, lambda x: safe(x, on))
 
 
 def floor_one(c: Column) -> Column:

@@ -113,9 +113,11 @@ def vector_to_columns(
     return cells.select(*keep, *[F.get("_v", F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
-def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (ID,)) -> DataFrame:
-    """The named features in this order; one the table lacks is 0, as is a value that is no number."""
-    return df.select(*keep, *[(safe(F.col(n)) if n in df.columns else F.lit(0.0)).alias(n) for n in names])
+def align_features(
+    df: DataFrame, names: Sequence[str], keep: Sequence[str] = (ID,), safe_numeric: bool = True
+) -> DataFrame:
+    """The named features in this order; one the table lacks is 0, as is a value that is no number unless switched off."""
+    return df.select(*keep, *[(safe(F.col(n), safe_numeric) if n in df.columns else F.lit(0.0)).alias(n) for n in names])
 
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:

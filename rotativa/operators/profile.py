@@ -123,7 +123,42 @@ def record_keys(df: DataFrame, json: str, n: int | None = None, order: str = ID)
 
 def nested_profile(df: DataFrame, column: str) -> DataFrame:
     """Profile of the records in an array of structs: one row per field, as for a table of its own."""
-    return profile_schema(df.select(F.inline(column)))
+    return profile_schema(records(df, column))
+
+
+def records(df: DataFrame, column: str | None = None) -> DataFrame:
+    """The records of a table as rows: those of an array of structs, the fields of a struct, or the rows themselves.
+
+    Everything that profiles a table (guesses, distributions, samples, keys) then profiles the records.
+    """
+    if column is None:
+        return df
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        return df.select(F.inline(column))
+    return df.select(f"{column}.*")
+
+
+def full_profile(df: DataFrame, column: str | None = None, order: str | None = None, shown: int = 3) -> dict[str, DataFrame]:
+    """``schema, text, labels, keys, distribution, sample`` of the records, each a DataFrame.
+
+    ``distribution`` is that of the first label guess, left out where there is none. ``sample`` needs ``order``.
+    """
+    rows = records(df, column)
+    text = guess_text_columns(rows)
+    names = [r["column"] for r in text.collect()]  # three at most, or those with usual names
+    labels = guess_label_columns(rows, names)
+    guesses = [r["column"] for r in labels.orderBy("rank").collect()]
+    # Keys of records: the fields that are not null in at least one of them.
+    counted = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in rows.columns])
+    found = {
+        "schema": profile_schema(rows), "text": text, "labels": labels,
+        "keys": _stacked(counted, rows.columns, "n").filter("n > 0").select(F.col("column").alias("key")),
+    }
+    if guesses:
+        found["distribution"] = label_distribution(rows, guesses[0])
+    if order is not None:
+        found["sample"] = head_sample(rows, shown, names, guesses, order)
+    return found
 
 
 def row_at(df: DataFrame, k: int, order: str = ID) -> DataFrame:

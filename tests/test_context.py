@@ -78,6 +78,9 @@ DATES = {
     "2024-01-02T03:04:05+01:00": 1704161045, "2024-01-02T03:04:05+0100": 1704161045, "2024-01-02T03:04": 1704164640,
     "2024-01-02": 1704153600, "2024-1-2": 1704153600, "01/02/2024": 1706745600, "1/2/2024": 1706745600,
     "02/13/2024": 1707782400, "31-12-2023": 1703980800, "2024/1/2": 1704153600, "20240102": 1704153600,
+    "20240102T030405": 1704164645, "20240102T0304Z": 1704164640, "20240102 03": 1704164400, "20240102T030405.5+0100": 1704161045,
+    "2024-01-02T030405": 1704164645, "2024-W01-2": 1704153600, "2024W012": 1704153600, "2024-W01": 1704067200,
+    "2024-W01-2T03:04:05Z": 1704164645, "2020-W53-5": 1609459200, "2024-W53-1": None, "2024-W00-1": None, "2024-W01-8": None,
     "2024": None, "x": None, "": None, None: None, "30/02/2024": None, " 2024-01-02 ": 1704153600, "2024-13-01": None,
 }
 

@@ -179,3 +179,22 @@ def test_record_keys_of_all_rows(spark):
     df = spark.range(200).select(F.col("id").alias("Id"), F.when(F.col("id") == 150, '{"late": 1}').otherwise('{"k": 2}').alias("j"))
     assert [r.key for r in pr.record_keys(df, "j").collect()] == ["k", "late"]
     assert [r.key for r in pr.record_keys(df, "j", n=3).collect()] == ["k"]
+
+
+def test_full_profile_of_records_in_both_shapes(spark):
+    rows = spark.createDataFrame([(i, f"text {i} " * 9, "ab"[i % 2], None) for i in range(20)], "Id long, Text string, Category string, gone string")
+    nested = rows.groupBy((F.col("Id") % 3).alias("part")).agg(F.collect_list(F.struct("*")).alias("data"))
+    for df, column in ((rows, None), (nested, "data"), (rows.select(F.struct("*").alias("data")), "data")):
+        found = pr.full_profile(df, column, order="Id")
+        assert found["schema"].first().n_rows == 20
+        assert [r.column for r in found["text"].collect()] == ["Text"] and [r.column for r in found["labels"].collect()] == ["Category"]
+        assert sorted(r.key for r in found["keys"].collect()) == ["Category", "Id", "Text"]
+        assert {r.value: r.n for r in found["distribution"].collect()} == {"a": 10, "b": 10}
+        assert [r.Category for r in found["sample"].collect()] == ["a", "b", "a"]
+
+
+def test_numbers_as_they_are(spark):
+    df = spark.createDataFrame([(1, float("nan"), None)], "Id long, a double, b double")
+    row = mg.align_features(df, ["a", "b", "c"], safe_numeric=False).first()
+    assert row.a != row.a and row.b is None and row.c == 0
+    assert tuple(mg.align_features(df, ["a", "b", "c"]).first()) == (1, 0.0, 0.0, 0.0)
