@@ -24,6 +24,104 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+# SQL. Patterns are spelled out here, not taken from the operators.
+
+# Base spans of one kind: pieces between matches add up to the places.
+PLACES_SQL = """{name} AS (SELECT doc_id, place AS s, place + length(hit) AS e, hit FROM (
+    SELECT doc_id, hit, sum(length(piece)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+    FROM (SELECT doc_id, unnest(string_split_regex(t, '{pattern}')) AS piece,
+        unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS hit, unnest(range(len(string_split_regex(t, '{pattern}')))) AS i
+      FROM texts) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE hit IS NOT NULL)"""
+TEXTS_SQL = "texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+def places(name: str, pattern: str) -> str:
+    return PLACES_SQL.replace("{name}", name).replace("{pattern}", pattern.replace("'", "''"))
+
+
+def digest_sql(kinds: tuple[str, ...], order: str) -> str:
+    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in kinds)
+    listed = f"string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {order})"
+    return f"""SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  FROM texts LEFT JOIN (SELECT doc_id, {sums}, {listed} FILTER (WHERE rank < {len(kinds)}) AS base, {listed} AS spans
+    FROM found GROUP BY doc_id) USING (doc_id)"""
+
+
+ASSIGN_KEYS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+ASSIGN_SQL = ASSIGN_KEYS + """["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ENTROPY_SQL = """{kind} AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (
+    SELECT *, sum(CASE WHEN s > last THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+      SELECT doc_id, s, s + 20 AS e, max(s + 20) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+      FROM (SELECT doc_id, c.s + i AS s, -sum(n / 20.0 * log2(n / 20.0)) AS bits FROM (
+          SELECT doc_id, s, i, ch, count(*) AS n FROM (SELECT doc_id, s, i, unnest(string_split(hit[i + 1:i + 20], '')) AS ch FROM (
+            SELECT doc_id, s, hit, unnest(range(length(hit) - 19)) AS i FROM c_{kind} JOIN texts USING (doc_id)
+            WHERE NOT regexp_matches(hit, '^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i:0123456789abcdef|abcdefghijklmnop|example)')
+              AND NOT regexp_matches(t[greatest(s - 15, 1):s], '(?i)(?:sha(?:1|256|384|512)[-:=]\\x20?|md5[:=]\\x20?|commit\\x20|checksum[:=]?\\x20)$')))
+          GROUP BY ALL) c GROUP BY doc_id, c.s, i HAVING bits >= {bits} - 1e-6))) GROUP BY doc_id, run)"""
+
+
+def entropy_sql(kind: str, characters: str, bits: float) -> str:
+    return places(f"c_{kind}", f"[{characters}]{{20,}}") + ",\n" + ENTROPY_SQL.replace("{kind}", kind).replace("{bits}", str(bits))
+
+
+SECRETS_SQL = f"""WITH {TEXTS_SQL}, {places("p_assign", ASSIGN_SQL)}, {places("p_access", "AKIA[A-Z0-9]+")}, {places("p_hex", "[0-9a-f]{{32,}}".replace("{{", "{").replace("}}", "}"))},
+  {entropy_sql("entropy_hex", "0-9A-Fa-f", 3.0)}, {entropy_sql("entropy_base64", "A-Za-z0-9+/_=-", 3.75)},
+  base AS (SELECT doc_id, 'assign' AS kind, 0 AS rank, s, e FROM p_assign WHERE length(regexp_extract(hit, '{ASSIGN_SQL.replace("'", "''")}', 2)) >= 8
+    UNION ALL SELECT doc_id, 'access', 1, s, e FROM p_access WHERE e - s >= 16 UNION ALL SELECT doc_id, 'hex', 2, s, e FROM p_hex),
+  more AS (SELECT doc_id, 'entropy_hex' AS kind, 3 AS rank, s, e FROM entropy_hex UNION ALL SELECT doc_id, 'entropy_base64', 4, s, e FROM entropy_base64),
+  found AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (
+    FROM base b WHERE b.doc_id = m.doc_id AND b.s <= m.s AND m.e <= b.e))
+  {digest_sql(("assign", "access", "hex"), "s, rank")}"""
+
+LUHN_SQL = "list_sum([CASE WHEN i % 2 = 0 THEN CAST(d[-i - 1] AS INT) ELSE CAST(d[-i - 1] AS INT) * 2 - CASE WHEN CAST(d[-i - 1] AS INT) > 4 THEN 9 ELSE 0 END END FOR i IN range(length(d))]) % 10 = 0"
+# The generated documents hold none of the kinds that the method adds, so their spans are those of the patterns.
+PERSONAL_SQL = f"""WITH {TEXTS_SQL}, {places("p_email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")},
+  {places("p_ip", "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)")}, {places("p_card", "[0-9](?:[ -]?[0-9])+")}, {places("p_phone", "[+][0-9][ ().0-9-]+[0-9]")},
+  found AS (SELECT doc_id, 'email' AS kind, 0 AS rank, s, e FROM p_email
+    UNION ALL SELECT doc_id, 'ip', 1, s, e FROM p_ip WHERE list_max([CAST(p AS HUGEINT) FOR p IN string_split(hit, '.')]) <= 255
+    UNION ALL SELECT doc_id, 'card', 2, s, e FROM (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS d FROM p_card) WHERE length(d) BETWEEN 16 AND 19 AND {LUHN_SQL}
+    UNION ALL SELECT doc_id, 'phone', 3, s, e FROM p_phone WHERE length(regexp_replace(hit, '[^0-9]', '', 'g')) BETWEEN 8 AND 15)
+  {digest_sql(("email", "ip", "card", "phone"), "rank, s")}"""
+
+WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+  d AS (SELECT *, sha256(h) AS payload_digest, CAST(strlen(h) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+  r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM d)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN first END AS refers_to, url FROM r"""
+
+# The generated pages have one article of h1, p, b and br.
+PAGE_SQL = r"""WITH blocks AS (SELECT page_id, url, list_filter(list_transform(
+      string_split_regex(regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+      lambda b: trim(regexp_replace(regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS b FROM pages)
+  SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text, CAST(length(coalesce(array_to_string(b, chr(10) || chr(10)), '')) AS BIGINT) AS n_chars FROM blocks"""
+
+EMBEDDINGS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reached(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+  SELECT a AS vec_id, (SELECT count(*) FROM links WHERE links.a = r.a) AS n_links, min(b) AS component_id, a = min(b) AS kept
+  FROM reached r GROUP BY a"""
+
+WORDS_SQL = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+GRAMS_SQL = "[array_to_string(words[i:i + k - 1], ' ') FOR i IN range(1, len(words) - k + 2)]"
+LEAKS_SQL = f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS words, 5 AS k FROM documents),
+  i AS (SELECT item_id, words, len(words) AS w, least(len(words), 5) AS k FROM (SELECT item_id, {WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0),
+  ig AS (SELECT item_id, w, k, {GRAMS_SQL} AS grams FROM i),
+  dg AS (SELECT doc_id, words, {GRAMS_SQL} AS grams FROM d),
+  shared AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(grams) AS g FROM dg) JOIN (SELECT item_id, unnest(grams) AS g FROM ig) USING (g)),
+  wins AS (SELECT doc_id, item_id, st, grams[st + 1:st + w - k + 1] AS grams FROM (
+    SELECT doc_id, item_id, w, k, dg.grams, unnest(range(greatest(len(words) - w, 0) + 1)) AS st
+    FROM shared JOIN dg USING (doc_id) JOIN (SELECT item_id, w, k FROM ig) USING (item_id))),
+  counts AS (SELECT doc_id, item_id, st, g, count(*) AS n FROM (SELECT doc_id, item_id, st, unnest(grams) AS g FROM wins) GROUP BY ALL),
+  own AS (SELECT item_id, g, count(*) AS m FROM (SELECT item_id, unnest(grams) AS g FROM ig) GROUP BY ALL),
+  total AS (SELECT item_id, len(grams) AS size FROM ig),
+  overlap AS (SELECT doc_id, item_id, st, sum(n) AS size, sum(least(n, coalesce(m, 0))) AS common FROM counts LEFT JOIN own USING (item_id, g) GROUP BY ALL),
+  alike AS (SELECT doc_id, item_id, st, CAST(common AS DOUBLE) / (b.size + t.size - common) AS similarity FROM overlap b JOIN total t USING (item_id))
+  SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(st, (-similarity, st)) AS BIGINT) AS first_word, count(*) AS windows
+  FROM alike WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -42,7 +140,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op1_secrets")
+@register("op1_secrets", SECRETS_SQL)
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("secrets")["base"]
@@ -73,7 +171,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op6_personal")
+@register("op6_personal", PERSONAL_SQL)
 def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(pii.of_kinds(F.col("personal"), [k])).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -84,7 +182,7 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op2_warc")
+@register("op2_warc", WARC_SQL)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     return warc.read_archives(archives, payload=False).select(
@@ -92,7 +190,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op4_page_text")
+@register("op4_page_text", PAGE_SQL)
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -103,12 +201,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@register("op10_decontaminate")
+@register("op10_decontaminate", LEAKS_SQL)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op9_embeddings")
+@register("op9_embeddings", EMBEDDINGS_SQL)
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
