@@ -20,8 +20,8 @@ from rotativa.session import local_session  # noqa: E402
 HEADLINE = (
     "clean_text", "word_tokens", "sentence_lengths", "style_slice", "style_core", "style_features", "emotion_signals",
     "lexicon_emotion", "oov_rate", "zipf_lexicon", "pos_counts", "style_features_tagged", "context_features", "url_domain",
-    "parse_date", "pool_mean", "pool_attention", "local_features", "merge_fill_zero", "merge_last_wins", "dedupe_last",
-    "label_distribution", "guess_label_columns",
+    "parse_date", "pool_mean", "pool_mean_768", "pool_attention", "pool_attention_wide", "dep_depth", "local_features",
+    "merge_fill_zero", "merge_last_wins", "merge_all", "dedupe_last", "label_distribution", "guess_label_columns",
 )
 
 

@@ -34,6 +34,17 @@ def pool_mean(spark, sf):
     return exploded(sem.pool_mean(token_vectors(spark, sf), DIM))
 
 
+WIDE = 12
+
+
+@register("pool_mean_768", f"""WITH {TOKENS} SELECT Id, i + 64 * k AS i, {s_round('sum(x * mask) / greatest(sum(mask), 1e-6)')} AS x
+  FROM cells CROSS JOIN range({WIDE}) r(k) GROUP BY Id, i, k""")
+def pool_mean_768(spark, sf):
+    """As many dimensions as usual encoders have: each vector twelve times."""
+    wide = token_vectors(spark, sf).withColumn("emb", F.flatten(F.array_repeat("emb", WIDE)))
+    return exploded(sem.pool_mean(wide, DIM * WIDE))
+
+
 @register("pool_cls", f"WITH {TOKENS} SELECT Id, i, {s_round('arg_min(x, pos)')} AS x FROM cells GROUP BY Id, i")
 def pool_cls(spark, sf):
     return exploded(sem.pool_cls(token_vectors(spark, sf)))
@@ -90,8 +101,11 @@ def embed_documents(spark, sf):
     return encoded(spark, sf).select("Id", *cells())
 
 
-@register("semantic_frame", f"""SELECT n.Id, n.Category AS label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b,
-  CAST(c AS DOUBLE) AS c, 'mean' AS pooling, 'counting' AS model_name, 256 AS max_len FROM {NEWS} n JOIN {ENCODED} e USING (Id)""")
+@register("semantic_frame", f"""WITH {TOKENS}, pooled AS (SELECT Id, i, {s_round('sum(x * mask) / greatest(sum(mask), 1e-6)')} AS x
+    FROM cells GROUP BY Id, i)
+  SELECT n.Id, n.Category AS label, i, x, 'mean' AS pooling, 'table' AS model_name, 256 AS max_len FROM {NEWS} n LEFT JOIN pooled p USING (Id)""")
 def semantic_frame(spark, sf):
-    frame = sem.semantic_frame(news(spark, sf), encoded(spark, sf), "mean", "counting")
-    return frame.select("Id", "label", *cells(), "pooling", "model_name", "max_len")
+    """Pooled token vectors beside every article; most have none."""
+    frame = sem.semantic_frame(news(spark, sf), sem.pool_mean(token_vectors(spark, sf), DIM), "mean", "table")
+    long = frame.select("Id", "label", F.posexplode_outer("sem_emb").alias("i", "x"), "pooling", "model_name", "max_len")
+    return long.withColumn("i", F.col("i").cast("long")).withColumn("x", F.round("x", 6))
