@@ -8,9 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rotativa
-from rotativa.functions.chars import EMOJI, SPACE, SPACE_CHARS, WORD, digit_class
+from rotativa.functions.chars import EMOJI
 from rotativa.session import read_table, scratch_path, ship
 
+
+
+def ranges(points) -> str:
+    """Code points as the inside of a [...] class."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+# Classes as the SQL means them, from Python's own tables and not from the code they check. Python has none of emoji.
+CODE_POINTS = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+WORD = r"\p{L}\p{N}_"
+SPACE = ranges(c for c in CODE_POINTS if chr(c).isspace())
+SPACE_CHARS = "".join(chr(c) for c in CODE_POINTS if chr(c).isspace())
+DIGITS = ranges(c for c in CODE_POINTS if chr(c).isdigit())
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -136,7 +156,7 @@ def s_inside(x: str, inner: str) -> str:
 
 
 S_PUNCT_CLASS = rf"\p{{L}}\p{{N}}{SPACE}"
-S_DIGITS = digit_class()
+S_DIGITS = DIGITS
 S_EMOJI = EMOJI
 S_SPACE = SPACE
 QUOTES = ('"', "“", "”", "'")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rotativa.functions import lexicons, tokens
-from rotativa.functions.style import CORE_NAMES, SIGNAL_NAMES, SYLLABLE, StyleConfig
+from rotativa.functions.style import CORE_NAMES, SIGNAL_NAMES, StyleConfig
 from rotativa.operators import annotations as ann
 from rotativa.operators import lexicon as lx
 from rotativa.operators import style as sty
@@ -17,7 +17,8 @@ CORE_ONLY = StyleConfig(extra_signals=False)
 NO_OPTION = StyleConfig(readability=False, formality=False, rare_words=False, diversity=False, extra_signals=False)
 
 # The lookahead only speeds up matching; RE2 knows none.
-SYLLABLE_SQL = SYLLABLE.replace("(?=[aeiouáéíóúü])", "")
+SYLLABLE_SQL = "(?:[aeoáéó][iuü]*|[iuü]+(?:[aeoáéó][iuü]*)?|[íú])"
+FORMAL_TAGS, INFORMAL_TAGS = ("NOUN", "PROPN", "ADJ", "ADP", "DET"), ("PRON", "VERB", "AUX", "ADV", "INTJ")
 
 # Rounded because logarithms and deviations may differ in the last bit; plain ratios are equal as they are.
 LOOSE = ("ifsz", "herdans_c", "root_ttr", "sig_burstiness", "avg_dep_depth", "formality_f")
@@ -270,7 +271,7 @@ STATS_SQL = f"""stats AS (SELECT Id, count(*) FILTER (WHERE NOT is_space) AS nt,
 TAGGED_SQL = {
     "ifsz": IFSZ,
     "formality_f": (
-        f"CAST({tag_sum(*ann.FORMAL)} - {tag_sum(*ann.INFORMAL)} AS DOUBLE) / greatest(nt, 1) * 100.0"),
+        f"CAST({tag_sum(*FORMAL_TAGS)} - {tag_sum(*INFORMAL_TAGS)} AS DOUBLE) / greatest(nt, 1) * 100.0"),
     "len_sent": "CAST(nt AS DOUBLE) / greatest(ns, 1)",
     "sconj_per_sent": "CAST(n_sconj AS DOUBLE) / greatest(ns, 1)",
     "avg_dep_depth": "avg_depth",
