@@ -232,8 +232,9 @@ def test_leaks_equal_brute_force(spark):
     assert not {d for d, _ in found} & {9, 10, 13, 15}
     assert decontam.contaminated(df.limit(0), bench).count() == 0
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, items[1])], "doc_id long, text string")
+    nulls = spark.createDataFrame([(None, items[1]), (None, "clean"), (None, f"x {items[1]}")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontam.contaminated(nulls, bench).collect()] == [(None, 1)]
+    assert decontam.contaminated_texts(nulls, bench).count() == 2
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
