@@ -41,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 500_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A side of a join with plain columns of a few bytes, stored and counted: broadcast up to ``SMALL_ROWS`` rows (under
+    50 MB), joined by a shuffle of both sides beyond."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

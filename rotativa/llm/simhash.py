@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, with_workers
+from .common import small_side, stored, with_workers
 from .graph import components, smallest_names
 
 SEED = 42
@@ -202,9 +202,10 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
         .join(wide.select(F.col("class_id").alias("b"), F.col("wide").alias("wide_b")), "b")
         .where(apart <= WIDE_FAR).select("a", "b"), "close",
     )
-    wanted = classes.join(close.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "class_id").select(
+    # Texts stay where they are as long as few of them are wanted.
+    wanted = small_side(classes.join(close.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "class_id").select(
         "class_id", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash")
-    )
+    ), "wanted")
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(
         wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_hash"))
     )
@@ -246,7 +247,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = classes.select("class_id", F.struct("own.no_id", "own.doc_id", "own.text_hash", "class_id").alias("name"))
     found = smallest_names(named, components(verified(docs, classes, candidates(classes), similarity)), "class_id", "name")
     winners = classes.join(found, "class_id").where(F.col("component_id.class_id") == F.col("class_id")).select("key", "own")
-    gone = stored(
+    gone = small_side(
         rows.select("doc_id", "text_hash", "key", own).join(winners.withColumnRenamed("own", "kept"), "key", "left")
         .where(F.col("kept").isNull() | (F.col("own") != F.col("kept"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(),
         "copies",
