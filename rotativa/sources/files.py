@@ -46,10 +46,11 @@ def read_folder(
 
 
 def convert_folder(
-    spark: SparkSession, folder: str, pattern: str, out: str, schema: str | T.StructType | None = None
+    spark: SparkSession, folder: str, pattern: str, out: str, schema: str | T.StructType | None = None,
+    lines_in_values: bool = False,
 ) -> list[str]:
     """One Parquet dataset per file stem, written in one job; returns the paths there are, sorted."""
-    read_folder(spark, folder, pattern, schema).write.mode("overwrite").partitionBy(STEM).parquet(out)
+    read_folder(spark, folder, pattern, schema, lines_in_values).write.mode("overwrite").partitionBy(STEM).parquet(out)
     return matching_files(spark, out, f"{STEM}=*")
 
 

@@ -49,7 +49,7 @@ def test_folder(spark, corpus, tmp_path):
     for name in ("b", "a"):
         (tmp_path / f"{name}.csv").write_text(f'Id,Text\n1,"{name}, ""x""\ny"\n2,z\n', encoding="utf-8")
     out = scratch_path(spark, "converted")
-    paths = files.convert_folder(spark, str(tmp_path), "*.csv", out, "Id long, Text string")
+    paths = files.convert_folder(spark, str(tmp_path), "*.csv", out, "Id long, Text string", lines_in_values=True)
     assert [p.rsplit("=", 1)[1] for p in paths] == ["a", "b"]
     assert sorted(spark.read.parquet(paths[0]).collect()) == [(1, 'a, "x"\ny'), (2, "z")]
     with pytest.raises(FileNotFoundError):
