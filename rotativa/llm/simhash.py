@@ -139,80 +139,77 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
 SIMILARITY = 0.8
 SHINGLE = 5
-TABLES = 4
-PRINT_BITS, PRINT_RADIUS = 40, 2
-WIDE_BITS = 256
-WIDE_FAR = 64  # a similarity of 0.8 puts 39 of the wide bits apart on average, with a deviation of 6
-MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCH = "key binary, prints array<bigint>, wide array<bigint>"
+BANDS, ROWS = 20, 5
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLOCK = 512  # shingles at a time, so that their products stay in the cache
+SKETCH = "key binary, shingles int, bands array<bigint>"
 
 
-def mixed_fingerprints(hashes: np.ndarray) -> list[int]:
-    """Fingerprints of the same hashes, mixed in ``TABLES`` ways."""
-    found = []
-    for mixer in MIXERS:
-        mixed = hashes * mixer
-        found.append(fingerprint(mixed ^ (mixed >> np.uint64(32))))
-    return found
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key of each band of a set of shingle hashes; none of the empty set.
 
+    The smallest of the products with one multiplier belongs to the same shingle in two sets with a probability equal to
+    their Jaccard similarity, wherever they differ. A band is ``ROWS`` such smallest products, so two sets of similarity
+    J share one of the bands with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9996 at 0.8.
+    """
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        np.minimum(least, (shingles[at:at + BLOCK, None] * MULTIPLIERS[0]).min(axis=0), out=least)
+    mixed = (least ^ least >> np.uint64(32)) * MULTIPLIERS[1]
+    return (mixed ^ mixed >> np.uint64(32)).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
-def sketch(text: str) -> tuple[bytes, list[int], list[int]]:
-    """(digest of the words, fingerprints of the set of words, wide fingerprint of the shingles).
 
-    The set of words changes less than the shingles from one near copy to the next, and counts no word twice, so that
-    long texts of one language are no more alike than short ones. A fingerprint's number stands above its bits.
-    """
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def sketch(text: str) -> tuple[bytes, int, list[int]]:
+    """(digest of the words, number of different shingles, keys of their bands)."""
     from hashlib import blake2b
 
-    from xxhash import xxh64_intdigest
+    words, shingles = text.encode("utf-8", "surrogatepass").lower().split(), shingle_set(text)
+    return blake2b(b" ".join(words), digest_size=16).digest(), len(shingles), bands(shingles)
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    of_words = np.array([xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    low = (1 << PRINT_BITS) - 1
-    prints = [t << PRINT_BITS | p & low for t, p in enumerate(mixed_fingerprints(of_words))]
-    return blake2b(b" ".join(words), digest_size=16).digest(), prints, mixed_fingerprints(shingle_hashes(text, SHINGLE))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a fingerprint or have two within the radius, as stars."""
-    printed = classes.select("class_id", F.explode("prints").alias("fp"))
-    shared = stored(printed.groupBy("fp").agg(F.min("class_id").alias("to"), F.max("class_id").alias("last")), "prints")
-    same = printed.join(shared.where(F.col("to") < F.col("last")), "fp").select(F.col("class_id").alias("a"), F.col("to").alias("b"))
-    near = (
-        links(shared.select("fp"), PRINT_BITS, PRINT_RADIUS)
-        .join(shared.select(F.col("fp").alias("a"), F.col("to").alias("class_a")), "a")
-        .join(shared.select(F.col("fp").alias("b"), F.col("to").alias("class_b")), "b")
-        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+def candidates(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): the buckets of classes that share a band, and in each the class with the smallest id beside every
+    other one whose number of shingles allows the similarity."""
+    placed = classes.select("class_id", "shingles", F.explode("bands").alias("bucket"))
+    shared = stored(
+        placed.groupBy("bucket").agg(
+            F.min(F.struct("class_id", "shingles")).alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size"),
+            F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("of"),
+        ).where("n > 1").dropDuplicates(["hub", "n", "of"]), "buckets",  # bands of the same classes count once
     )
-    both = same.union(near).where(F.col("a") != F.col("b"))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = stored(placed.join(shared.drop("of", "n"), "bucket"), "members")
+    least, most = F.least("shingles", "hub.shingles"), F.greatest("shingles", "hub.shingles")
+    pairs = members.where((F.col("class_id") != F.col("hub.class_id")) & (least >= similarity * most))
+    return members, pairs.select(F.col("hub.class_id").alias("a"), F.col("class_id").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of classes whose shingle sets have the similarity (Jaccard), exactly."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(class_id, shingles): the sets of all classes in ``members``, stored."""
 
     @F.arrow_udf("array<bigint>")
-    def shingle_sets(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t.as_py() or "", SHINGLE)).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
-    wide = classes.select("class_id", "wide")
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    close = stored(
-        pairs.join(wide.select(F.col("class_id").alias("a"), F.col("wide").alias("wide_a")), "a")
-        .join(wide.select(F.col("class_id").alias("b"), F.col("wide").alias("wide_b")), "b")
-        .where(apart <= WIDE_FAR).select("a", "b"), "close",
-    )
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py() or "").view(np.int64) for t in texts], pa.list_(pa.int64()))
+
     # Texts stay where they are as long as few of them are wanted.
-    wanted = small_side(classes.join(close.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "class_id").select(
+    wanted = small_side(classes.join(members.select("class_id").distinct(), "class_id").select(
         "class_id", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash")
     ), "wanted")
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(
         wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_hash"))
     )
-    sets = stored(rows.select("class_id", "text").dropDuplicates(["class_id"]).select(
-        "class_id", shingle_sets.asNondeterministic()("text").alias("shingles")
-    ), "shingles")
-    met = close.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("shingles_a")), "a").join(
+    one = rows.select("class_id", "text").dropDuplicates(["class_id"])
+    return stored(one.select("class_id", sets.asNondeterministic()("text").alias("shingles")), "shingles")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of classes whose shingle sets have the similarity (Jaccard), exactly."""
+    met = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("shingles_a")), "a").join(
         sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("shingles_b")), "b"
     )
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -220,32 +217,39 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     return met.where(shared >= similarity * union).select("a", "b")
 
 
+def near_links(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the classes of a bucket whose sets have the similarity."""
+    members, pairs = candidates(classes, similarity)
+    return verified(shingle_sets(docs, classes, members), pairs, similarity)
+
+
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without copies and near copies: one row of each group stays.
 
     Texts with the same words are copies. Near copies are linked where their sets of five-word shingles have a Jaccard
-    similarity of at least ``similarity``: ball hashing of fingerprints proposes the pairs, the sets decide. Of a
-    connected group the smallest id stays, null ids last, the smaller text hash on ties; of rows that repeat id and
+    similarity of at least ``similarity``: bands of smallest hashes propose the pairs, the sets decide. Of a connected
+    group the smallest id stays, null ids last, the smaller text hash on ties; of rows that repeat id and
     text, one. Null texts and texts without words are copies of the empty text.
     """
     with_workers(docs.sparkSession)
 
     @F.arrow_udf(SKETCH)
     def sketches(texts: pa.Array) -> pa.Array:
-        keys, prints, wide = zip(*[sketch(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), ())
-        lists = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(prints, lists), pa.array(wide, lists)], ["key", "prints", "wide"])
+        keys, sizes, found = zip(*[sketch(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles", "bands"]
+        )
 
     text_hash = F.xxhash64("text")
     sketched = docs.select("doc_id", text_hash.alias("text_hash"), sketches.asNondeterministic()("text").alias("s"))
-    rows = stored(sketched.select("doc_id", "text_hash", "s.key", "s.prints", "s.wide"), "sketches")
+    rows = stored(sketched.select("doc_id", "text_hash", "s.key", "s.shingles", "s.bands"), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("own")
     classes = stored(
-        rows.groupBy("key").agg(F.min(own).alias("own"), F.first("prints").alias("prints"), F.first("wide").alias("wide"))
+        rows.groupBy("key").agg(F.min(own).alias("own"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
         .withColumn("class_id", F.monotonically_increasing_id()), "classes",
     )
     named = classes.select("class_id", F.struct("own.no_id", "own.doc_id", "own.text_hash", "class_id").alias("name"))
-    found = smallest_names(named, components(verified(docs, classes, candidates(classes), similarity)), "class_id", "name")
+    found = smallest_names(named, components(near_links(docs, classes, similarity)), "class_id", "name")
     winners = classes.join(found, "class_id").where(F.col("component_id.class_id") == F.col("class_id")).select("key", "own")
     gone = small_side(
         rows.select("doc_id", "text_hash", "key", own).join(winners.withColumnRenamed("own", "kept"), "key", "left")
