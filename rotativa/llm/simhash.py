@@ -141,6 +141,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 20, 5
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CHUNK_SHINGLES = 500_000  # of a bucket's part whose pairs one task compares
 BLOCK = 512  # shingles at a time, so that their products stay in the cache
 SKETCH = "key binary, shingles int, bands array<bigint>"
 
@@ -217,10 +218,65 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return met.where(shared >= similarity * union).select("a", "b")
 
 
+def joined(ids: np.ndarray, components: np.ndarray, offsets: np.ndarray, shingles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different components that have the similarity: every such pair ends in one component, and
+    there are fewer links than sets. All sets are compared with each one by a list of the sets that hold a shingle, until
+    one component is left."""
+    sizes = np.diff(offsets)
+    place = np.unique(shingles, return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    holders = np.repeat(np.arange(len(ids)), sizes)[order]
+    starts = np.append(0, np.cumsum(np.bincount(place)))
+    label = np.unique(components, return_inverse=True)[1]
+    found = []
+    for i in range(len(ids)):
+        if (label == label[0]).all():
+            break
+        mine = place[offsets[i]:offsets[i + 1]]
+        many = starts[mine + 1] - starts[mine]
+        at = np.repeat(starts[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(holders[at], minlength=len(ids))
+        for j in np.flatnonzero((shared >= similarity * (sizes[i] + sizes - shared)) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                found.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def missed(members: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of pairs that share a bucket and the similarity, but aren't connected by ``links`` to its hub.
+
+    Every member was compared with the hub. Where the others lie in several components, all pairs of the bucket are
+    compared, as pairs of chunks of about ``CHUNK_SHINGLES`` each; written are links, not pairs.
+    """
+    roots = components(links).select(F.col("node").alias("class_id"), "root")
+    placed = stored(members.join(roots, "class_id", "left").withColumn("component", F.coalesce("root", "class_id")), "placed")
+    other = F.when(F.col("class_id") != F.col("hub.class_id"), F.col("component"))
+    open_ = placed.groupBy("bucket").agg(F.min(other).alias("low"), F.max(other).alias("high")).where("low < high").select("bucket")
+    left = placed.join(open_, "bucket", "left_semi")
+    chunks = F.ceil(F.col("size") / CHUNK_SHINGLES).cast("int")
+    # Chunk c meets every chunk, itself included: as (least, greatest), one copy for each.
+    spread = left.withColumn("chunk", F.pmod(F.xxhash64("class_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    keyed = spread.select("class_id", "bucket", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        found = []
+        if group.num_rows > 1:
+            lists = group["shingles"].chunk(0)
+            offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            found = joined(group["class_id"].to_numpy(), group["component"].to_numpy(), offsets, lists.flatten().to_numpy(), similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return keyed.join(sets, "class_id").groupBy("bucket", "low", "high").applyInArrow(lambda group: compared(group), "a long, b long")
+
+
 def near_links(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect the classes of a bucket whose sets have the similarity."""
+    """(a, b): links that connect all classes that share a bucket and whose sets have the similarity."""
     members, pairs = candidates(classes, similarity)
-    return verified(shingle_sets(docs, classes, members), pairs, similarity)
+    sets = shingle_sets(docs, classes, members)
+    links = stored(verified(sets, pairs, similarity), "links")
+    return links.union(missed(members, sets, links, similarity)).distinct()
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

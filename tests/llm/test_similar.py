@@ -135,6 +135,44 @@ def test_recall_of_block_edits(spark):
     assert kept >= set(range(300)) and len(kept) <= 303
 
 
+@pytest.mark.parametrize("chunk", [500_000, 20_000])
+def test_copies_of_a_text_that_is_no_hub(spark, monkeypatch, chunk):
+    """Edited copies are near their original and often not near one another; whichever has the smallest class."""
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", chunk)
+    random.seed(8)
+    words = [f"w{i}" for i in range(20_000)]
+    texts = []
+    for _ in range(2):
+        base = random.choices(words, k=400)
+        texts.append(base)
+        for n in random.choices(range(4, 10), k=150):
+            at = set(random.sample(range(400), n))
+            texts.append([random.choice(words) if i in at else w for i, w in enumerate(base)])
+    groups = Groups(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j]) >= 0.8:
+                groups.join(i, j)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(df).collect()}
+    assert kept == {groups.find(i) for i in range(len(texts))}
+
+
+def test_all_pairs_of_a_chunk_are_joined():
+    random.seed(9)
+    sets = [np.unique(random.choices(range(12), k=9)) for _ in range(150)] + [np.empty(0, np.int64)]
+    offsets = np.append(0, np.cumsum([len(s) for s in sets]))
+    groups, found = Groups(range(len(sets))), Groups(range(len(sets)))
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a) and i != j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))}
+    for pair in near:
+        groups.join(*pair)
+    links = simhash.joined(np.arange(len(sets)), np.arange(len(sets)), offsets, np.concatenate(sets), 0.8)
+    assert set(links) <= near and len(links) < len(sets)
+    for pair in links:
+        found.join(*pair)
+    assert [found.find(i) for i in range(len(sets))] == [groups.find(i) for i in range(len(sets))]
+
+
 # Embeddings
 
 def brute_embeddings(rows, least=0.9):
