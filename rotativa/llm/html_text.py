@@ -4,11 +4,9 @@
 2. Spark counts on how many different pages of a host each hash stands, equal pages counting once.
 3. Subtrees that recur on many pages of the host are its template and are deleted from the page.
 4. What is left is the article: elements that declare another role (navigation, header, footer, aside, form, advert,
-   notice, comments; by tag, role, class or id) go too, since a host with few pages shows no template, then
-   character references are decoded and white space is folded block by block.
-
-The content of ``article`` or ``main`` is never taken for a template: copies of an article and passages that many
-articles share recur as well, but are text. Pages without such an element lose every recurring subtree.
+   notice, comments; by tag, role, class or id) go too, since a host with few pages shows no template. Inside of an
+   article a class or id that doesn't name advertising, comments or the like deletes only what holds little but links.
+   Then character references are decoded and white space is folded block by block.
 
 The templates of a host are few: each takes at least ``share`` of its pages, so there are at most
 subtrees-per-page / share of them. They are stored and joined by host; Spark broadcasts them where their file is
@@ -46,7 +44,7 @@ CLOSED_BY = {  # an open element that one of these start tags ends
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol dl blockquote".split())
-NO_TEXT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button".split())
+NO_TEXT = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video select option textarea button".split())
 OTHER_ROLE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 NAMES = re.compile(
@@ -55,6 +53,12 @@ NAMES = re.compile(
     r"related\w*|recommend\w*|comment\w*|disqus|repl(?:y|ies)|pagination|pager|skip\w*|widget\w*|toolbar|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+OWN_NAMES = re.compile(  # of what is never part of an article, wherever it stands
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|cookie\w*|gdpr|comment\w*|disqus|related\w*|recommend\w*)(?:$|[\s_-])", re.I
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+LINKS = frozenset("a button form label".split())
 SPACE = re.compile(r"\s+")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 
@@ -72,6 +76,8 @@ class Node:
     role: str = ""
     children: list[Node | str] = field(default_factory=list)
     hash: int = 0
+    chars: int = 0  # of text
+    linked: int = 0  # of these in links and forms
 
 
 class TreeBuilder(HTMLParser):
@@ -94,6 +100,8 @@ class TreeBuilder(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and tag != "html":
+            self._end_head()
         if tag in ("html", "body"):
             return
         if tag in ENDS_PARAGRAPH and (at := self._within_scope({"p"})) is not None:
@@ -118,7 +126,14 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in SCOPES and tag not in SCOPES:
                 return
 
+    def _end_head(self) -> None:
+        """The end tag of a head may be left out: whatever can't stand in it ends it."""
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         self.open[-1].children.append(data)
 
 
@@ -147,26 +162,60 @@ def hash_tree(root: Node) -> None:
     """64-bit hashes from the leaves up; white space around text doesn't matter."""
     for node in in_post_order(root):
         parts = [node.tag, node.names, node.role]
-        parts += [str(c.hash) if isinstance(c, Node) else f"={' '.join(c.split())}" for c in node.children if isinstance(c, Node) or c.strip()]
+        for c in node.children:
+            if isinstance(c, Node):
+                parts.append(str(c.hash))
+                node.chars += c.chars
+                node.linked += c.linked
+            elif c.strip():
+                parts.append(f"={' '.join(c.split())}")
+                node.chars += len(parts[-1]) - 1
+        if node.tag in NO_TEXT:
+            node.chars = node.linked = 0
+        elif node.tag in LINKS:
+            node.linked = node.chars
         digest = hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest()
         node.hash = int.from_bytes(digest, "big", signed=True)
 
 
 def article_of(root: Node) -> list[Node]:
-    """The outermost article or main elements, outside of elements of another role."""
-    found: list[Node] = []
-    waiting = [root]
-    while waiting:
-        node = waiting.pop()
-        if node.tag in ("article", "main") or node.role == "main":
-            found.append(node)
-        elif not other_role(node):
-            waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return found
+    """The outermost article or main elements, outside of elements of another role. A class name is no such role unless
+    it names advertising, comments or recommendations, and not even then where the page has no other article."""
+    for skipped in (never_article, other_tag):
+        found: list[Node] = []
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            if (node.tag in ("article", "main") or node.role == "main") and not skipped(node):
+                found.append(node)
+            elif not skipped(node):
+                waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+        if found:
+            return found
+    return []
+
+
+def other_tag(node: Node) -> bool:
+    return node.tag in NO_TEXT or node.tag in OTHER_ROLE or node.role in ROLES
+
+
+def never_article(node: Node) -> bool:
+    return other_tag(node) or bool(node.names and node.tag not in HEADINGS and OWN_NAMES.search(node.names))
 
 
 def other_role(node: Node) -> bool:
-    return node.tag in NO_TEXT or node.tag in OTHER_ROLE or node.role in ROLES or bool(node.names and NAMES.search(node.names))
+    return other_tag(node) or bool(node.names and NAMES.search(node.names))
+
+
+def dropped_inside(node: Node, templates: set[int]) -> bool:
+    """Whether an element of an article isn't its text: by role, or by name if it holds little but links."""
+    if never_article(node):
+        return True
+    return 2 * node.linked >= node.chars and bool(node.names and node.tag not in HEADINGS and NAMES.search(node.names))
+
+
+def outside(node: Node) -> int:
+    return node.hash
 
 
 def candidates(root: Node) -> set[int]:
@@ -181,7 +230,7 @@ def candidates(root: Node) -> set[int]:
         if id(node) in kept:
             continue
         if node.children and node.tag not in NO_TEXT and id(node) not in holding:
-            found.add(node.hash)
+            found.add(outside(node))
         waiting += [c for c in node.children if isinstance(c, Node)]
     return found
 
@@ -208,7 +257,7 @@ def main_text(root: Node, templates: set[int]) -> str:
                 line.append(node)
             elif node.tag in ("br", "wbr"):
                 line.append(" " if node.tag == "br" else "")
-            elif id(node) in kept or not (other_role(node) or (node.tag == "header" and not articles) or (not articles and node.hash in templates)):
+            elif id(node) in kept or not (dropped_inside(node, templates) if articles else other_role(node) or node.tag == "header" or outside(node) in templates):
                 if node.tag in BLOCKS:
                     end_block()
                     waiting.append(None)

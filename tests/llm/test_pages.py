@@ -83,6 +83,17 @@ def test_page_text(page, text):
     assert html_text.main_text(html_text.parse(page), set()) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    *((f"<div class='layout {name}'><article>a</article></div>", "a") for name in ("has-sidebar", "no-sidebar", "with-header", "search-enabled", "widget-area", "comments-open")),
+    ("<article>a</article><div id=comments><article>c</article></div>", "a"),
+    ("<html><head><title>t</title><meta charset=x><body><article>a</article>", "a"), ("<head><title>t</title><p>a", "a"), ("<head><script>s</script>a", "a"),
+    ("<head><title>t</title></head><body>a", "a"), ("<article><h1 class='entry-header'><a>T</a></h1><div class='legal-text'>law</div>", "T\n\nlaw"),
+    ("<article>x <math><mi>y</mi><annotation>tex</annotation></math></article>", "x y"), ("<article>a<ul class=social><li><a>f</a></ul></article>", "a"),
+])
+def test_whole_articles(page, text):
+    assert html_text.main_text(html_text.parse(page), set()) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text(html_text.parse("<div>" * 20_000 + "x"), set()) == "x"
     assert html_text.candidates(html_text.parse("<div>" * 20_000 + "<article>x</article>")) == set()
