@@ -1,8 +1,11 @@
 """Main text of web pages by removal of site templates.
 
 1. Every page is parsed into its element subtrees. Each subtree is hashed by tags, classes, ids and text.
-2. Spark counts on how many different pages of a host each hash stands, equal pages counting once.
-3. Subtrees that recur on many pages of the host are its template and are deleted from the page.
+2. Spark counts on how many different pages of a host each hash stands, equal pages counting once; inside of ``article``
+   or ``main``, in how many different articles.
+3. Subtrees that recur on many pages of the host are its template and are deleted from the page. Inside of an article
+   only boxes (containers, and paragraphs with a class or id) can be template, and only those of half the host's
+   different articles: copies of an article and passages that many articles share recur as well, but are text.
 4. What is left is the article: elements that declare another role (navigation, header, footer, aside, form, advert,
    notice, comments; by tag, role, class or id) go too, since a host with few pages shows no template. Inside of an
    article a class or id that doesn't name advertising, comments or the like deletes only what holds little but links.
@@ -56,6 +59,7 @@ NAMES = re.compile(
 OWN_NAMES = re.compile(  # of what is never part of an article, wherever it stands
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|cookie\w*|gdpr|comment\w*|disqus|related\w*|recommend\w*)(?:$|[\s_-])", re.I
 )
+BOXES = frozenset("aside details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 LINKS = frozenset("a button form label".split())
@@ -67,6 +71,7 @@ UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 class TemplateConfig:
     pages: int = 5  # a template stands on so many different pages of its host
     share: float = 0.05  # and on this share of them
+    article_share: float = 0.5  # inside of articles: in this share of the host's different articles
 
 
 @dataclass
@@ -208,14 +213,33 @@ def other_role(node: Node) -> bool:
 
 
 def dropped_inside(node: Node, templates: set[int]) -> bool:
-    """Whether an element of an article isn't its text: by role, or by name if it holds little but links."""
-    if never_article(node):
+    """Whether an element of an article isn't its text: by role, by recurrence, or by name if it holds little but links."""
+    if never_article(node) or inside(node) in templates:
         return True
     return 2 * node.linked >= node.chars and bool(node.names and node.tag not in HEADINGS and NAMES.search(node.names))
 
 
+# The last bit of a hash tells elements outside of articles from those inside; the hashes 0 and 1 count pages and articles.
+
 def outside(node: Node) -> int:
-    return node.hash
+    return node.hash & ~1
+
+
+def inside(node: Node) -> int:
+    return node.hash | 1
+
+
+def article_candidates(article: Node) -> set[int]:
+    """Hashes of the elements of an article that may be templates: boxes, and paragraphs with a class or id."""
+    found, waiting = set(), [c for c in article.children if isinstance(c, Node)]
+    while waiting:
+        node = waiting.pop()
+        if node.tag in NO_TEXT:
+            continue
+        if node.chars and (node.tag in BOXES or (node.tag in ("p", "address") and node.names)):
+            found.add(inside(node))
+        waiting += [c for c in node.children if isinstance(c, Node)]
+    return found
 
 
 def candidates(root: Node) -> set[int]:
@@ -280,17 +304,20 @@ def templates(pages: DataFrame, config: TemplateConfig = TemplateConfig()) -> Da
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
                 root = parse(html.as_py())
                 own = candidates(root) | {0}  # 0 counts the pages
-                hosts += [host.as_py()] * len(own)
-                page += [root.hash] * len(own)
-                hashes += own
+                for whole, found in [(root, own), *((a, article_candidates(a) | {1}) for a in article_of(root))]:
+                    hosts += [host.as_py()] * len(found)
+                    page += [whole.hash] * len(found)
+                    hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
 
     html = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     different = html.mapInArrow(subtrees, "host string, page long, hash long").groupBy("host", "hash", "page").agg(F.lit(1).alias("one"))
     counts = stored(different.groupBy("host", "hash").agg(F.count("one").alias("pages")).where(F.col("pages") >= config.pages), "subtrees")
-    per_host = counts.where("hash = 0").select("host", F.col("pages").alias("all"))
+    kind = F.col("hash").bitwiseAND(F.lit(1))
+    per_host = counts.where("hash in (0, 1)").select("host", kind.alias("kind"), F.col("pages").alias("all"))
+    share = F.when(F.col("kind") == 0, config.share).otherwise(config.article_share)
     recurring = (
-        counts.where("hash <> 0").join(per_host, "host").where(F.col("pages") >= F.col("all") * config.share)
+        counts.where("hash not in (0, 1)").withColumn("kind", kind).join(per_host, ["host", "kind"]).where(F.col("pages") >= F.col("all") * share)
         .groupBy("host").agg(F.collect_set("hash").alias("templates"))
     )
     return stored(recurring, "templates")

@@ -117,6 +117,19 @@ def test_templates_are_removed(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_templates_inside_of_articles(spark):
+    """A box of every article of a host goes under any name; a shared passage, copies of one article and text that differs stay."""
+    box, line = "<div class=x7><b>Join</b> our list</div>", "<p class=z>All rights with us</p>"
+    passage = "<div class=quote>said by many</div>"
+    rows = [(i, f"http://h.com/{i}", f"<article><p>license<p>story {i}{passage if i < 8 else ''}{box}{line}</article>") for i in range(20)]
+    rows += [(100 + i, "http://copies.com/x", f"<nav>{i}</nav><article><div class=x7>one text</div></article>") for i in range(20)]
+    rows += [(200 + i, "http://names.com/x", f"<main><div class=legal-text>law {i}</div><div class=notice>Read this</div></main>") for i in range(20)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(20)] == [f"license\n\nstory {i}" + ("\n\nsaid by many" if i < 8 else "") for i in range(20)]
+    assert {found[100 + i] for i in range(20)} == {"one text"}
+    assert [found[200 + i] for i in range(20)] == [f"law {i}" for i in range(20)]
+
+
 def test_page_text_query(spark):
     """The generated pages have one article of h1 and p: read here by patterns."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
