@@ -69,10 +69,11 @@ def sentence_counts(config: StyleConfig) -> dict:
 def token_stats(
     tokens: DataFrame, config: StyleConfig = StyleConfig(), id_col: str = ID, array_tokens: int = ARRAY_TOKENS
 ) -> DataFrame:
-    """One row per text: counts, sentences, distinct words, mean depth. The tokens are read once.
+    """One row per text: counts, sentences, distinct words, mean depth.
 
-    They are shuffled once, by sentence; what remains of a sentence is a row of numbers and its distinct words, which
-    are added up by text. Only sentences too long for one row are read again.
+    The tokens are shuffled by sentence; what remains of a sentence is a row of numbers, which are added up by text.
+    Distinct words are shuffled by text and word and then counted, so that no row holds the words of a text, however
+    long it or one of its sentences is. Only sentences too long for one row are read again.
     """
     require_columns(tokens, [id_col, *COLUMNS])
     keys = [id_col, "sent_id"]
@@ -80,7 +81,7 @@ def token_stats(
     is_word = ~F.col("is_space") & F.col("is_alpha")
     sentences = tokens.groupBy(*keys).agg(
         *[expr.alias(name) for name, expr in counted.items()], _links(array_tokens).alias("_s"),
-        F.max("tok_id").alias("_last"), F.collect_set(F.when(is_word, F.lower("text"))).alias("_words"),
+        F.max("tok_id").alias("_last"),
     )
     real = F.filter(_depths(F.col("_s")), lambda t: ~t["is_space"])
     fits = F.coalesce(F.col("_last") < array_tokens, F.lit(True))
@@ -89,9 +90,11 @@ def token_stats(
     })
     stats = solved.groupBy(id_col).agg(
         *[F.sum(name).alias(name) for name in counted], F.count(F.lit(1)).alias("n_sents"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_words")))).cast("long").alias("n_distinct"),
         F.sum("_depth").alias("_depth"), F.sum(F.when(F.col("_deep") > 0, F.col("_deep"))).alias("_deep"),
     )
+    words = tokens.filter(is_word & F.col("text").isNotNull()).select(F.col(id_col).alias("_text"), F.lower("text").alias("_word")).distinct()
+    different = words.groupBy("_text").agg(F.count("_word").alias("_different"))
+    stats = stats.join(different, F.col(id_col).eqNullSafe(F.col("_text")), "left").withColumn("n_distinct", F.coalesce("_different", F.lit(0)))
     depth, deep = F.coalesce("_depth", F.lit(0)), F.coalesce("_deep", F.lit(0))
     long = _long_sentences(tokens.select(*keys, "tok_id", "head_id", "is_space"), keys, array_tokens)
     if long is not None:

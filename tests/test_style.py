@@ -113,6 +113,20 @@ def test_style_with_tokens(spark):
     assert ann.pos_counts(tokens_of(spark, sentences)).filter("upos = 'X'").first().n == 1
 
 
+def test_distinct_words_of_long_texts(spark):
+    """Words count once in a text, wherever they stand; no row of the plan collects the words of a sentence or a text."""
+    def sentence(words):
+        return [(w, "X", 0) for w in words]
+
+    df = tokens_of(spark, [sentence(["A", "b", "a"]), sentence([f"w{'x' * (i % 50)}" for i in range(200)]), sentence(["B", "c", "."])])
+    df = df.unionByName(tokens_of(spark, [sentence(["a", "A"])], None)).unionByName(tokens_of(spark, [sentence([".", "!"])], 3))
+    for array_tokens in (10_000, 5):
+        stats = ann.token_stats(df, array_tokens=array_tokens)
+        assert {r.Id: r.n_distinct for r in stats.collect()} == {1: 53, None: 1, 3: 0}
+        plan = stats._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "flatten" not in plan
+
+
 def walked_depth(heads, i):
     d = 0
     while heads[i] != i and d < 200:
