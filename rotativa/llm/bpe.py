@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import kept_by_worker, with_workers
 
 FIRST = 0x100  # byte b is the character FIRST + b: letters without white space or special meaning
 KNOWN_TOKENS = 150_000  # pre-tokens a worker remembers
@@ -168,9 +168,6 @@ class Coder:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
-_coders: dict[int, Coder] = {}
-
-
 class ByteLevelBpe:
     """``encode`` and ``decode`` for DataFrames; the vocabulary goes to the workers as one broadcast (under 2 MB)."""
 
@@ -184,23 +181,36 @@ class ByteLevelBpe:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encoded(texts: pa.Array) -> pa.Array:
-            coder, rows = coder_of(shared), []
-            for some in by_size(texts):
-                rows += coder.encode_all(some)
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+            coder = coder_of(shared)
+            return _lists([row for some in by_size(texts) for row in coder.encode_all(some)])
 
         # Marked so that a query that also decodes doesn't encode twice inside one worker.
         return df.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
 
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """Adds the ids and the bytes they decode to, by one worker a task instead of one for each direction."""
+        shared, both = self.shared, _unused(df, "_round_trip")
+
+        @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+        def there_and_back(texts: pa.Array) -> pa.Array:
+            coder, rows, bytes_ = coder_of(shared), [], []
+            for some in by_size(texts):
+                found = coder.encode_all(some)
+                bytes_ += [coder.decode(row.tolist()) for row in found]
+                rows += found
+            return pa.StructArray.from_arrays([_lists(rows), pa.array(bytes_, pa.binary())], ["ids", "decoded"])
+
+        coded = df.withColumn(both, there_and_back.asNondeterministic()(F.col(text)))
+        return coded.withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both)
+
     def decode(self, df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-        """Adds the bytes the ids stand for."""
+        """Adds the bytes the ids stand for. Its workers hold the list of bytes alone, no encoder."""
         shared = self.shared
 
         @F.arrow_udf(T.BinaryType())
         def joined(lists: pa.Array) -> pa.Array:
-            coder = coder_of(shared)
-            return pa.array([None if x is None else coder.decode(x) for x in map(_listed, lists)], pa.binary())
+            raw = kept_by_worker("bytes", shared.value, lambda: {rank: piece for piece, rank in shared.value[0]})
+            return pa.array([None if x is None else b"".join(map(raw.__getitem__, x)) for x in map(_listed, lists)], pa.binary())
 
         return df.withColumn(decoded, joined(F.col(ids)))
 
@@ -218,14 +228,21 @@ def by_size(texts: pa.Array) -> Iterator[list[str | None]]:
         yield some
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _listed(value) -> list[int] | None:
     return value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else None
 
 
 def coder_of(shared) -> Coder:
-    """One coder per vocabulary and worker process; the broadcast value is one object in a worker."""
-    key = id(shared.value)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(*shared.value)
-    return _coders[key]
+    """One coder per worker process; the broadcast value is one object in a worker."""
+    return kept_by_worker("coder", shared.value, lambda: Coder(*shared.value))

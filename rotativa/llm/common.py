@@ -59,6 +59,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept_by_worker(name: str, source: object, build):
+    """What ``build`` makes from a broadcast value, once per worker process.
+
+    Workers are reused by later stages, so a worker keeps one such table: those of earlier operators go.
+    """
+    if name not in _kept or _kept[name][0] is not source:
+        _kept.clear()
+        _kept[name] = source, build()
+    return _kept[name][1]
+
+
 def span_digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined, in the order given."""
     return F.array_join(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import kept_by_worker, with_workers
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -135,20 +135,14 @@ class Predictor:
         return self.model.languages[best], 1.0 / math.fsum(np.exp(total - total[best]))
 
 
-_predictors: dict[int, Predictor] = {}
-
-
 def predict(df: DataFrame, model: Model, text: str = "text", result: str = "language") -> DataFrame:
     """Adds ``result``: struct of lang and score."""
     shared = with_workers(df.sparkSession).sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
     def predicted(texts: pa.Array) -> pa.Array:
-        key = id(shared.value)
-        if key not in _predictors:
-            _predictors.clear()
-            _predictors[key] = Predictor(shared.value)
-        rows = [_predictors[key].predict(t.as_py()) for t in texts]
+        own = kept_by_worker("languages", shared.value, lambda: Predictor(shared.value))
+        rows = [own.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "score"]
         )

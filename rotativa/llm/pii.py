@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import kept_by_worker, with_workers
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url_user", "iban", "account", "street")
@@ -189,13 +189,8 @@ class Finder:
         return (("street", at, m.end()), m.end()) if m else (None, free)
 
 
-_finder: list[Finder] = []
-
-
 def finder() -> Finder:
-    if not _finder:
-        _finder.append(Finder())
-    return _finder[0]
+    return kept_by_worker("personal", Finder, Finder)
 
 
 def find(df: DataFrame, text: str = "text", result: str = "personal") -> DataFrame:

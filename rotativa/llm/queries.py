@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed, html_text, langid, lm, pii, secret_scan, simhash, warc
+from . import audit, bpe, decontam, embed, html_text, langid, lm, manifest, pii, secret_scan, simhash, token_counts, warc
 from .common import fold_of, span_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,73 @@ LEAKS_SQL = f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS words, 5 AS k FROM docu
   FROM alike WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 
 
+AUDIT_SQL = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+  f AS (SELECT part, doc_id, len(words) < 50 AS fa, 100 * len(list_distinct(words)) < 65 * len(words) AS fb,
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS fc, regexp_matches(t, '[#$%&*|]') AS fd, coalesce(doc_id > first, false) AS fe FROM w),
+  l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  m AS (SELECT part, fa::INT + 2 * fb::INT + 4 * fc::INT + 8 * fd::INT + 16 * fe::INT AS mask, count(*) AS n,
+      count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+  x AS (SELECT i, chr(CAST(65 + i AS INT)) AS c, CAST(1 << i AS INT) AS b FROM range(5) r(i)),
+  o AS (SELECT p.c || q.c || r.c || s.c || u.c AS filter_order, unnest([p.b, q.b, r.b, s.b, u.b]) AS b,
+      unnest([0, p.b, p.b + q.b, p.b + q.b + r.b, p.b + q.b + r.b + s.b]) AS prior, unnest([1, 2, 3, 4, 5]) AS step
+    FROM x p JOIN x q ON p.i <> q.i JOIN x r ON r.i NOT IN (p.i, q.i) JOIN x s ON s.i NOT IN (p.i, q.i, r.i) JOIN x u ON u.i NOT IN (p.i, q.i, r.i, s.i)),
+  s AS (SELECT part, filter_order, step, b, sum(CASE WHEN mask & (prior | b) = 0 THEN n ELSE 0 END) AS kept,
+      sum(CASE WHEN mask & prior = 0 AND mask & b > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & prior > 0 AND mask & b > 0 THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & prior = 0 AND mask & b > 0 THEN good ELSE 0 END) AS good_lost,
+      sum(CASE WHEN mask & prior = 0 AND mask & b > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, o GROUP BY ALL)
+  SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM s"""
+
+
+def level_sql(name: str, below: str, group: str) -> str:
+    """Nodes of the next level and what stands beside each node; a group with one node stays as it is."""
+    return f"""b_{name} AS MATERIALIZED (SELECT *, i // 16 AS up, count(*) OVER (PARTITION BY {group}) AS many FROM {below}),
+  r_{name} AS MATERIALIZED (SELECT {group}, up AS i, CASE WHEN many = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM b_{name} GROUP BY {group}, up, many),
+  s_{name} AS MATERIALIZED (SELECT {group}, i, up, many, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+      coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM b_{name} WINDOW w AS (PARTITION BY {group}, up ORDER BY i))"""
+
+
+SOURCE_LEVELS, TOP_LEVELS = 5, 3  # a million documents a source, 4,096 sources
+
+
+def manifest_sql() -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    fields = [field.replace("{0}", c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    arrives = "CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+    parts = [f"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1))) ORDER BY i) AS crc FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) r(i))),
+  leaves AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, sha256({" || ".join(fields)}) AS leaf,
+      CASE WHEN {crc} % 5 = 0 THEN sha256({" || ".join([*fields[:-1], arrives])}) END AS other FROM documents, tab),
+  l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM leaves)"""]
+    below, path, folds = "l0", [], []
+    for n in range(SOURCE_LEVELS):
+        parts.append(level_sql(f"l{n}", below, "src"))
+        below = f"r_l{n}"
+        path.append((f"s_l{n}", f"d.src = s_l{n}.src AND d.i // {16**n} = s_l{n}.i"))
+    parts.append(f"sub AS MATERIALIZED (SELECT 0 AS g, src AS i, h FROM {below})")
+    below = "sub"
+    for n in range(TOP_LEVELS):
+        parts.append(level_sql(f"t{n}", below, "g"))
+        below = f"r_t{n}"
+        path.append((f"s_t{n}", f"d.src // {16**n} = s_t{n}.i"))
+    joins = " ".join(f"JOIN {name} ON {on}" for name, on in path)
+    proof = " || ".join(f"{name}.pre || {name}.post" for name, _ in path)
+    prior = "coalesce(other, leaf)"
+    for name, _ in path:  # one level after the other, each a step of its own
+        folds.append((name, prior, f"f_{name}"))
+        prior = f"f_{name}"
+    parts.append(f"""p AS MATERIALIZED (SELECT d.doc_id, d.src, d.leaf, d.other, sha256({proof}) AS proof_sha256, {", ".join(f"{n}.pre AS a_{n}, {n}.post AS z_{n}, {n}.many AS m_{n}" for n, _ in path)} FROM l0 d {joins})""")
+    last = "p"
+    for name, now, then in folds:
+        parts.append(f"q_{name} AS (SELECT *, CASE WHEN m_{name} = 1 THEN {now} ELSE sha256(a_{name} || {now} || z_{name}) END AS {then} FROM {last})")
+        last = f"q_{name}"
+    return ",\n  ".join(parts) + f"""
+  SELECT doc_id, leaf, sub.h AS subroot, {below}.h AS root, proof_sha256, {prior} AS folded_root, {prior} = {below}.h AS verified
+  FROM {last} JOIN sub ON sub.i = {last}.src JOIN {below} ON true"""
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -132,7 +199,7 @@ def vocabulary() -> tuple[str, str]:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = bpe.ByteLevelBpe(spark, *vocabulary())
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return coder.decode(coder.encode(documents)).select(
+    return coder.round_trip(documents).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -222,3 +289,34 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, ~held_out, pieces).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@register("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+TOKEN_LIMIT = 2048
+
+
+@register("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counter = token_counts.TokenCounter(spark, public_tokenizers.path("word_bpe_49k.json"))
+    counted = counter.count(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select(
+        "doc_id", token_counts.n_bytes().alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )
+
+
+TAMPER_FOLDS = 5
+
+
+@register("op13_manifest", manifest_sql())
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaves = manifest.document_leaves(documents, changed=fold_of("doc_id", TAMPER_FOLDS) == 0)
+    return manifest.manifest(leaves).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
