@@ -51,6 +51,13 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

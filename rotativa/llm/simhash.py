@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stored, with_workers
+from .common import fresh, small_side, stored, with_workers
 from .graph import components, smallest_names
 
 SEED = 42
@@ -307,11 +307,19 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = classes.select("class_id", F.struct("own.no_id", "own.doc_id", "own.text_hash", "class_id").alias("name"))
     found = smallest_names(named, components(near_links(docs, classes, similarity)), "class_id", "name")
     winners = classes.join(found, "class_id").where(F.col("component_id.class_id") == F.col("class_id")).select("key", "own")
+    id_, hash_ = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    this = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
     gone = small_side(
         rows.select("doc_id", "text_hash", "key", own).join(winners.withColumnRenamed("own", "kept"), "key", "left")
-        .where(F.col("kept").isNull() | (F.col("own") != F.col("kept"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(),
+        .where(F.col("kept").isNull() | (F.col("own") != F.col("kept"))).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct(),
         "copies",
     )
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")
-    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left.dropDuplicates(["doc_id", "text"]) if not repeated.isEmpty() else left
+    left = docs.join(gone, this, "left_anti")
+    repeated = small_side(
+        rows.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "repeated",
+    )
+    if repeated.isEmpty():
+        return left
+    # Only texts that repeat are shuffled, and those of one task once.
+    return left.join(repeated, this, "left_anti").unionByName(left.join(repeated, this, "left_semi").dropDuplicates(["doc_id", "text"]))

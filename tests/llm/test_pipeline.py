@@ -29,14 +29,18 @@ def test_run(spark):
 def test_each_stage_acts(spark):
     item = table(spark, SF, "benchmark").first().text
     prose = "that the house and the garden were old was known to all of them in the town and the land around it"
+    other = "in the morning a boat went down the river with apples and old letters for the people of the next village and came back"
+    half = " ".join(other.split()[:12]) + " at night without anything that anyone would have wanted to read or eat or keep"
     docs = spark.createDataFrame([
         (1, f"{prose} token=abcdefgh12 end", "en", "s", 7), (2, prose, "en", "s", 7), (3, prose, "en", "s", 7), (4, None, "en", None, None),
         (5, "123", None, "s", 3), (6, f"{prose} {item} {prose}", "en", "s", 1), (None, prose + " so it is", None, "s", 1),
+        (8, other, "en", "s", 9), (9, half, "en", "s", 9),
     ], SCHEMA)
     ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
-    assert ids(stages.language(spark, docs, SF)) == [0, 1, 2, 3, 6]
-    assert 2 in ids(stages.near_duplicates(spark, docs, SF)) and 3 not in ids(stages.near_duplicates(spark, docs, SF))
-    assert ids(stages.decontaminate(spark, docs, SF)) == [0, 1, 2, 3, 4, 5]
+    assert ids(stages.language(spark, docs, SF)) == [0, 1, 2, 3, 6, 8, 9]
+    # 2 shares 18 of 20 shingles with 1, 3 copies 2, the text without an id is as near; 8 and 9 share 8 of 31.
+    assert ids(stages.near_duplicates(spark, docs, SF)) == [1, 4, 5, 6, 8, 9]
+    assert ids(stages.decontaminate(spark, docs, SF)) == [0, 1, 2, 3, 4, 5, 8, 9]
     masked = {r.doc_id: r for r in stages.secrets(spark, docs, SF).collect()}
     assert masked[1].text == f"{prose} [secret] end" and masked[1].n_chars == len(masked[1].text)
     assert (masked[2].text, masked[2].n_chars, masked[4].text) == (prose, 7, None)
@@ -44,8 +48,9 @@ def test_each_stage_acts(spark):
 
 
 def test_empty_and_extra_columns(spark):
-    wide = SCHEMA + ", found_language string, found_secrets string, key string, words string"
-    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s", 19, "a", "b", "c", "d")] * 2, wide)
+    names = "found_language found_secrets found_id found_hash gone_id GONE_HASH hit_id hit_hash key words own kept fp n ids decoded _round_trip".split()
+    wide = SCHEMA + "".join(f", {name} string" for name in names)
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s", 19, *names)] * 2, wide)
     for rows in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, SF).columns == docs.columns
