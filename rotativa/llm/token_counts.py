@@ -18,6 +18,7 @@ of the result is replaced.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import kept_by_worker, with_workers
 
-WORDS = 200_000  # words a worker remembers
+WORDS = 500_000  # words a worker remembers, about 75 MB
 LONG_WORD = 64  # bytes; longer ones are merged each time
 BYTES_AT_ONCE = 1_000_000  # texts cut together
 NONE = np.iinfo(np.int32).max  # rank of a pair that doesn't merge
@@ -112,7 +113,9 @@ class Merges:
             lengths = lengths - np.bincount(owner[places], minlength=len(rows))
             places = places - np.arange(len(places))
             flat, owner, rank, becomes = flat[stay], owner[stay], rank[stay], becomes[stay]
-            beside = np.unique(np.concatenate((places, places[places > 0] - 1)))
+            touched = np.zeros(len(flat), bool)
+            touched[places] = touched[places[places > 0] - 1] = True
+            beside = np.flatnonzero(touched)
             rank[beside], becomes[beside] = self._pairs(flat, owner, beside)
 
     def _pairs(self, flat: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,19 +160,42 @@ class Counter:
 
     def learn(self, words: set[bytes]) -> dict[bytes, int]:
         """Tokens of each word; equal pre-tokens of all words are merged once."""
-        base, cut = {}, {}
-        for word in words:
-            special = 0
-            if any(mark in word for mark in self.marks):
-                pieces = self.special.split(word.decode())
-                special = len(pieces) - 1
-                tokens = list(chain.from_iterable(map(self.pre_tokens, pieces)))
-            else:
-                tokens = self.pre_tokens(word.decode())
-            base[word], cut[word] = special, tokens
-        different = list(set().union(*cut.values()))
-        counted = dict(zip(different, self.merges.counts(different).tolist(), strict=True))
-        return {word: base[word] + sum(map(counted.__getitem__, tokens)) for word, tokens in cut.items()}
+        marked = [word for word in words if any(mark in word for mark in self.marks)] if self._marked(words) else []
+        spelled = [word.decode() for word in words.difference(marked)]
+        plain = [word for word in spelled if len(word.split()) == 1]
+        found = self._together(plain)
+        if found is None:
+            found, plain = {}, []
+        alone = {word: (0, self.pre_tokens(word)) for word in set(spelled).difference(plain)}
+        for word in marked:
+            pieces = self.special.split(word.decode())
+            alone[word.decode()] = len(pieces) - 1, list(chain.from_iterable(map(self.pre_tokens, pieces)))
+        counted = self._counted(list(chain.from_iterable(tokens for _, tokens in alone.values())))
+        found |= {word: special + sum(map(counted.__getitem__, tokens)) for word, (special, tokens) in alone.items()}
+        return {word.encode(): n for word, n in found.items()}
+
+    def _marked(self, words: set[bytes]) -> bool:
+        whole = b" ".join(words)
+        return any(mark in whole for mark in self.marks)
+
+    def _counted(self, tokens: Sequence[str]) -> dict[str, int]:
+        different = list(set(tokens))
+        return dict(zip(different, self.merges.counts(different).tolist(), strict=True))
+
+    def _together(self, words: list[str]) -> dict[str, int] | None:
+        """Words cut as one text; None where its pieces can't be told apart again."""
+        normal = self.normal(" ".join(words))
+        pieces = normal.split(" ")
+        if not words or len(pieces) != len(words):
+            return None
+        cut = self.cut(normal)
+        tokens = [token for token, _ in cut]
+        counted = self._counted(tokens)
+        begins = np.cumsum([0, *(len(piece) + 1 for piece in pieces)])
+        word_of = np.searchsorted(begins, np.fromiter((span[0] for _, span in cut), np.int64, len(cut)), "right") - 1
+        sizes = np.fromiter(map(counted.__getitem__, tokens), np.int64, len(tokens))
+        found = np.bincount(word_of, weights=sizes, minlength=len(words)).astype(np.int64)
+        return dict(zip(words, found.tolist(), strict=True))
 
     def count_all(self, texts: list[bytes]) -> list[int]:
         split = [text.split() for text in texts]  # bytes are cut at ASCII white space only
