@@ -23,7 +23,7 @@ NO_TAG = "X"
 MAX_DEPTH = 200
 DOUBLINGS = 8  # 2**8 > MAX_DEPTH
 
-# Sentences whose token ids stay below this are solved as arrays in one row, others by joins: the same depths.
+# Sentences whose token ids lie from 0 to below this are solved as arrays in one row, others by joins: the same depths.
 ARRAY_TOKENS = 20_000
 
 FORMAL = ("NOUN", "PROPN", "ADJ", "ADP", "DET")
@@ -71,26 +71,25 @@ def token_stats(
 ) -> DataFrame:
     """One row per text: counts, sentences, distinct words, mean depth.
 
-    The tokens are shuffled by sentence; what remains of a sentence is a row of numbers, which are added up by text.
-    Distinct words are shuffled by text and word and then counted, so that no row holds the words of a text, however
-    long it or one of its sentences is. Only sentences too long for one row are read again.
+    The tokens are shuffled by sentence, four bytes each; what remains of a sentence is a row of numbers, which are added
+    up by text. Distinct words are shuffled by text and word and then counted, so that no row holds the words of a text,
+    however long it or one of its sentences is. Only sentences too long for one row are read again.
     """
     require_columns(tokens, [id_col, *COLUMNS])
     keys = [id_col, "sent_id"]
     counted = sentence_counts(config)
     is_word = ~F.col("is_space") & F.col("is_alpha")
     sentences = tokens.groupBy(*keys).agg(
-        *[expr.alias(name) for name, expr in counted.items()], _links(array_tokens).alias("_s"),
-        F.max("tok_id").alias("_last"),
+        *[expr.alias(name) for name, expr in counted.items()], _links(array_tokens).alias("_s"), _beyond(array_tokens).alias("_far"),
     )
-    real = F.filter(_depths(F.col("_s")), lambda t: ~t["is_space"])
-    fits = F.coalesce(F.col("_last") < array_tokens, F.lit(True))
-    solved = sentences.withColumn("_real", F.when(fits, real)).withColumns({
-        "_depth": F.aggregate("_real", F.lit(0).cast("long"), lambda n, t: n + t["depth"]), "_deep": F.size("_real"),
-    })
+    nothing = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate(_depths(F.col("_s")), nothing, lambda acc, t: F.when(t["is_space"], acc).otherwise(
+        F.struct((acc["sum"] + t["depth"]).alias("sum"), (acc["n"] + 1).alias("n"))
+    ))
+    solved = sentences.withColumn("_deep", F.when(~F.col("_far"), total))
     stats = solved.groupBy(id_col).agg(
         *[F.sum(name).alias(name) for name in counted], F.count(F.lit(1)).alias("n_sents"),
-        F.sum("_depth").alias("_depth"), F.sum(F.when(F.col("_deep") > 0, F.col("_deep"))).alias("_deep"),
+        F.sum("_deep.sum").alias("_depth"), F.sum("_deep.n").alias("_deep"),
     )
     words = tokens.filter(is_word & F.col("text").isNotNull()).select(F.col(id_col).alias("_text"), F.lower("text").alias("_word")).distinct()
     different = words.groupBy("_text").agg(F.count("_word").alias("_different"))
@@ -109,39 +108,102 @@ def token_stats(
     )
 
 
+def _outside(array_tokens: int):
+    return (F.col("tok_id") < 0) | (F.col("tok_id") >= array_tokens)
+
+
+def _beyond(array_tokens: int):
+    """Whether a sentence has a token that is left to the joins."""
+    return F.coalesce(F.max(_outside(array_tokens)), F.lit(False))
+
+
+# A token in 31 bits: its id, a code for its head, whether it is a space. In this order, heads within an id ascend.
+ID_BITS, HEAD_BITS = 16, 1
+NO_HEAD, LOW_HEAD, FIRST_HEAD = 0, 1, 2  # missing, below all ids, and the code of head 0
+MOST_ARRAY_TOKENS = (1 << (ID_BITS - HEAD_BITS)) - FIRST_HEAD - 1
+
+
 def _links(array_tokens: int):
-    """The tokens of a sentence in order; those beyond the limit are left to the joins."""
-    link = F.struct("tok_id", F.col("head_id").cast("int").alias("head_id"), "is_space")
-    return F.array_sort(F.collect_list(F.when(F.col("tok_id") < array_tokens, link)))
+    """The tokens of a sentence in order, as integers; those beyond the limit are left to the joins."""
+    if array_tokens > MOST_ARRAY_TOKENS:
+        raise ValueError(f"at most {MOST_ARRAY_TOKENS} tokens of a sentence go into one row")
+    head = F.col("head_id")
+    code = (
+        F.when(head.isNull(), NO_HEAD).when(head < 0, LOW_HEAD).when(head >= array_tokens, array_tokens + FIRST_HEAD)
+        .otherwise(head.cast("int") + FIRST_HEAD)
+    )
+    packed = F.shiftleft(F.col("tok_id").cast("int"), ID_BITS) + F.shiftleft(code, HEAD_BITS) + F.coalesce("is_space", F.lit(True)).cast("int")
+    return F.sort_array(F.collect_list(F.when(~_outside(array_tokens), packed)))
+
+
+def _let(value, body):
+    """``body`` of a value that is computed once, however often it is used, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _token_id(link):
+    return F.shiftright(link, ID_BITS)
 
 
-def _depths(sentence):
-    """(tok_id, is_space, depth) of each token, by pointer doubling: after k rounds a pointer has gone 2**k heads up."""
-    ids = F.transform(sentence, lambda t: t["tok_id"])
-    dense = F.element_at(ids, -1) == F.size(ids) - 1  # no gap and no copy: a token id is its place
+def _depths(links):
+    """(tok_id, is_space, depth) of each token, by pointer doubling: after k rounds a pointer has gone 2**k heads up.
 
-    def place(t, i):
-        head = t["head_id"]
-        found = F.when(dense, head).otherwise(F.array_position(ids, head).cast("int") - 1)
-        return F.when((head == t["tok_id"]) | head.isNull() | (found < 0) | (found >= F.size(ids)), i).otherwise(found)
+    Rounds end when no depth changes. Without gaps and copies an id is its place, so that a sentence takes time in
+    proportion to its tokens; otherwise heads are found by halving the sorted ids.
+    """
+    return _let(F.struct(links.alias("t"), F.transform(links, _token_id).alias("ids")), lambda s: _let(_places(s), lambda p: _doubled(s, p)))
+
+
+def _places(s):
+    """For each token the place of its head, or its own if it is a root."""
+    ids = s["ids"]
+    size = F.size(ids)
+    dense = (F.get(ids, F.lit(0)) == 0) & (F.element_at(ids, -1) == size - 1) & (F.size(F.array_distinct(ids)) == size)
+
+    def first_place(head, rounds):
+        def halve(acc, _):
+            middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+            right = F.get(ids, middle) < head
+            return F.when(acc["lo"] < acc["hi"], F.struct(
+                F.when(right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi")
+            )).otherwise(acc)
+
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda acc: F.when(F.get(ids, acc["lo"]) == head, acc["lo"]))
+
+    def look_up(rounds):  # null where ids are places
+        def place(link, i):
+            head = F.shiftright(link.bitwiseAND((1 << ID_BITS) - 1), HEAD_BITS) - FIRST_HEAD
+            at = F.when(rounds.isNull(), F.when((head >= 0) & (head < size), head)).otherwise(first_place(head, rounds))
+            return F.when((head == _token_id(link)) | at.isNull(), i).otherwise(at)
 
+        return F.transform(s["t"], place)
+
+    halvings = F.when(~dense, F.sequence(F.lit(1), F.length(F.bin(size))))
+    return F.when(size == 0, F.array().cast("array<int>")).otherwise(_let(halvings, look_up))
+
+
+def _doubled(s, places):
     def double(acc, _):
-        return F.struct(
-            F.transform(acc["p"], lambda up, i: F.least(F.get(acc["d"], i) + F.get(acc["d"], up), F.lit(MAX_DEPTH))).alias("d"),
-            F.transform(acc["p"], lambda up: F.get(acc["p"], up)).alias("p"),
-        )
+        def moved(d):
+            return F.struct(
+                d.alias("d"), F.transform(acc["p"], lambda up: F.get(acc["p"], up)).alias("p"), (d != acc["d"]).alias("open")
+            )
+
+        further = F.transform(acc["p"], lambda up, i: F.least(F.get(acc["d"], i) + F.get(acc["d"], up), F.lit(MAX_DEPTH)))
+        return F.when(acc["open"], _let(further, moved)).otherwise(acc)
 
-    places = F.transform(sentence, place)
-    start = F.struct(F.transform(places, lambda p, i: F.when(p == i, 0).otherwise(1)).alias("d"), places.alias("p"))
+    start = F.struct(
+        F.transform(places, lambda p, i: F.when(p == i, 0).otherwise(1)).alias("d"), places.alias("p"), F.lit(True).alias("open")
+    )
     depths = F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, double, lambda acc: acc["d"])
-    return F.zip_with(sentence, depths, lambda t, d: F.struct(
-        t["tok_id"].alias("tok_id"), t["is_space"].alias("is_space"), d.alias("depth")
+    return F.zip_with(s["t"], depths, lambda link, d: F.struct(
+        _token_id(link).alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"), d.alias("depth")
     ))
 
 
 def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame | None:
     """Depths of the sentences that arrays leave out; None if there are none, found by one filter without a shuffle."""
-    beyond = links.filter(F.col("tok_id") >= array_tokens)
+    beyond = links.filter(_outside(array_tokens))
     if beyond.isEmpty():
         return None
     long = beyond.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
@@ -184,9 +246,8 @@ def dep_depth(tokens: DataFrame, id_col: str = ID, array_tokens: int = ARRAY_TOK
     """Depth of every token that is no space: steps to the root, at most 200."""
     keys = [id_col, "sent_id"]
     links = require_columns(tokens, [id_col, *COLUMNS]).select(*keys, "tok_id", "head_id", "is_space")
-    sentences = links.groupBy(*keys).agg(_links(array_tokens).alias("_s"), F.max("tok_id").alias("_last"))
-    short = sentences.filter(F.coalesce(F.col("_last") < array_tokens, F.lit(True)))
-    depths = short.select(*keys, F.inline(_depths(F.col("_s"))))
+    sentences = links.groupBy(*keys).agg(_links(array_tokens).alias("_s"), _beyond(array_tokens).alias("_far"))
+    depths = sentences.filter(~F.col("_far")).select(*keys, F.inline(_depths(F.col("_s"))))
     long = _long_sentences(links, keys, array_tokens)
     if long is not None:
         depths = depths.unionByName(long)

@@ -1,5 +1,7 @@
 """Rows the driver tables lack: gaps, missing heads, null and repeated ids, wrong lengths, odd file names."""
 
+import random
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -53,6 +55,31 @@ def test_depth_is_the_same_on_every_path(spark, array_tokens):
         assert stats[key].n_sents == sum(i == key for i, _ in SENTENCES)
 
 
+@pytest.mark.parametrize("case", ["dense", "gaps", "copies"])
+def test_depth_of_a_long_sentence(spark, case):
+    """8,000 tokens in one sentence, with heads missing and out of the sentence."""
+    random.seed(case)
+    ids = {"dense": range(8000), "gaps": [2 * i + i // 7 % 2 for i in range(8000)], "copies": range(8000)}[case]
+    heads = {t: None if k % 40 == 7 else random.choice([*ids[:k + 1][-30:], -5, 30_000] + [ids[-1] + 1] * (k % 9 == 0)) for k, t in enumerate(ids)}
+    rows = [(1, 0, t, "w", "X", h, False, True) for t, h in heads.items()]
+    if case == "copies":  # the smallest head of an id counts as a head
+        rows += [(1, 0, t, "w", "X", h + 1, False, True) for t, h in heads.items() if t % 3 == 0 and h is not None and 0 <= h < t]
+    tokens = spark.createDataFrame(rows, TOKENS).cache()
+    tokens.count()
+    ann.dep_depth(tokens.limit(10)).collect()
+    started = time.perf_counter()
+    found = ann.dep_depth(tokens).collect()
+    assert time.perf_counter() - started < 5
+    assert len(found) == len(rows)
+    if case == "copies":
+        depths = {t: {walked(heads, t)} for t in ids}
+        for _, _, t, _, _, h, _, _ in rows[8000:]:
+            depths[t].add(0 if h == t else 1 + walked(heads, h))
+        assert all(r.depth in depths[r.tok_id] for r in found)
+    else:
+        assert {r.tok_id: r.depth for r in found} == {t: walked(heads, t) for t in ids}
+
+
 def test_token_table_is_valid_input(spark):
     rows = [(1, 0, t, "w", None, h, t in (0, 2), True) for t, h in enumerate([1, 1, 1, 1, 3])]
     cleaned = ann.token_table(spark.createDataFrame(rows, TOKENS))
