@@ -1,5 +1,7 @@
 """Blocks with gaps in them, merged under each policy; numeric safety."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rotativa.functions.numeric import safe, safe_vector
@@ -9,15 +11,17 @@ from rotativa.operators import merge as mg
 from rotativa.operators import style as sty
 from rotativa.plans import features as plans
 from rotativa.session import scratch_path
-from rotativa.sources.blocks import read_block, write_block
+from rotativa.sources.blocks import read_block, save_bucketed, write_block
 
 from .common import NEWS, PLAIN, documents, news, q, register, s_round, table
+from .common import stored as checks_stored
 from .context_checks import context_sql
 from .emotion_checks import CLASSES, EMO_LIST, EMOTION_SQL, TONES, emotion_frame
 from .emotion_checks import NAMES as SIGNALS
 from .style_checks import CORE_SQL, SIGNALS_SQL, ZERO, counts_sql
 
 DIM = 64
+BUCKETS = 16
 STYLE_NAMES = CORE_NAMES + SIGNAL_NAMES
 CONTEXT = cx.ContextConfig()
 
@@ -228,15 +232,34 @@ SPLIT = "CASE WHEN Id % 10 < 8 THEN 'train' WHEN Id % 10 = 8 THEN 'val' ELSE 'te
 @register("merge_all", f"""WITH {BLOCKS_SQL} SELECT {SPLIT} AS split, Id, label, unnest(range(len(f))) AS i,
   round(CAST(CAST(unnest(f) AS FLOAT) AS DOUBLE), 5) AS x FROM (SELECT *, {PARTS_LIST} || [{FLAGS}] AS f FROM sides)""")
 def merge_all(spark, sf):
+    """Each block stored once, bucketed by id and partitioned by split; all splits merged in one job, one of them again,
+    and read back."""
+    root, tag = scratch_path(spark, "merge-all"), uuid.uuid4().hex
+    part = F.when(F.col("Id") % 10 < 8, "train").when(F.col("Id") % 10 == 8, "val").otherwise("test")
+    kept = []
+    for block in blocks(spark, sf):
+        df = block.df.withColumnRenamed(block.vector, mg.VECTOR).withColumn("split", part)
+        columns = [c for c in ("split", "Id", "label", mg.VECTOR) if c in df.columns]
+        own = mg.Block(block.name, df.select(*columns), block.names, within=("split",))
+        kept.append(save_bucketed(own, f"merge_all_{block.name}_{tag}", f"{root}/{block.name}", BUCKETS))
+    plans.merge_all(kept, f"{root}/merged")
+    plans.merge_all(kept, f"{root}/merged", ["val"])
+    return cells(read_block(spark, f"{root}/merged").df, "label", "split")
+
+
+@register("merge_splits", f"""WITH {BLOCKS_SQL} SELECT {SPLIT} AS split, Id, label, unnest(range(len(f))) AS i,
+  round(CAST(CAST(unnest(f) AS FLOAT) AS DOUBLE), 5) AS x FROM (SELECT *, {PARTS_LIST} || [{FLAGS}] AS f FROM sides)""")
+def merge_splits(spark, sf):
     """Each block of each split written, merged split by split, and read back; one block lies in its alternate folder."""
-    root = scratch_path(spark, "merge-all")
+    root = scratch_path(spark, "merge-splits")
     part = F.when(F.col("Id") % 10 < 8, "train").when(F.col("Id") % 10 == 8, "val").otherwise("test")
     splits = ("train", "val", "test")
-    for split in splits:
-        for block in blocks(spark, sf, lambda df, split=split: df.filter(part == split)):
-            folder = "emo-alternate" if block.name == "emo" else block.name
-            stored = mg.Block(block.name, block.df.withColumnRenamed(block.vector, mg.VECTOR), block.names)
-            write_block(stored, f"{root}/{folder}/{split}")
+    for block in blocks(spark, sf):
+        whole = checks_stored(block.df.withColumnRenamed(block.vector, mg.VECTOR).withColumn("split", part), block.name)
+        folder = "emo-alternate" if block.name == "emo" else block.name
+        for split in splits:
+            here = whole.filter(F.col("split") == split).drop("split")
+            write_block(mg.Block(block.name, here, block.names), f"{root}/{folder}/{split}")
     folders = {name: [f"{root}/{name}", f"{root}/{name}-alternate"] for name in plans.BLOCKS}
     targets = plans.merge_splits(spark, folders, f"{root}/merged")
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe
@@ -29,7 +29,8 @@ def prefix_names(names: Sequence[str], prefix: str, always: bool = False) -> lis
 @dataclass(frozen=True)
 class Block:
     """``df`` has an id and a vector column. With ``order`` the last row of an id wins. Without it a side with repeated
-    ids fails the job, and the rows of a base are taken as they stand."""
+    ids fails the job, and the rows of a base are taken as they stand. ``within`` names columns in whose values ids are
+    apart, such as the split."""
 
     name: str
     df: DataFrame
@@ -38,10 +39,16 @@ class Block:
     vector: str = VECTOR
     id_col: str = ID
     label: str = LABEL
+    within: tuple[str, ...] = ()
 
     def __post_init__(self):
-        require_columns(self.df, [self.id_col, self.vector, *([self.order] if self.order else [])])
         object.__setattr__(self, "names", tuple(self.names))
+        object.__setattr__(self, "within", tuple(self.within))
+        require_columns(self.df, [*self.within, self.id_col, self.vector, *([self.order] if self.order else [])])
+
+    @property
+    def key(self) -> list[str]:
+        return [*self.within, self.id_col]
 
     @property
     def dim(self) -> int:
@@ -55,8 +62,8 @@ class Block:
         """One row per id that is not null."""
         known = self.df.filter(F.col(self.id_col).isNotNull())
         if self.order is None:
-            return only_row(known, self.id_col, self.name)
-        return dedupe_last(known, self.id_col, self.order)
+            return only_row(known, self.key, self.vector, self.name)
+        return dedupe_last(known, self.key, self.order)
 
 
 def block_from_columns(
@@ -120,24 +127,28 @@ def align_features(
     return df.select(*keep, *[(safe(F.col(n), safe_numeric) if n in df.columns else F.lit(0.0)).alias(n) for n in names])
 
 
-def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
+def dedupe_last(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
     """The last row of each key by ``order``. Partial maxima first: a key with many copies is thinned map-side.
 
     A row without order comes before all others; of rows with the same order that with the largest hash is the last.
     """
-    rest = [c for c in df.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
     by = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*rest))
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("_last"))
-    return last.select(key, *[F.col("_last")[c].alias(c) for c in rest]).select(*df.columns)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def only_row(df: DataFrame, key: str, name: str) -> DataFrame:
-    """The row of each key; a failed job where a key has several, as nothing tells which of them counts."""
-    rest = [c for c in df.columns if c != key]
-    message = F.concat(F.lit("repeated id="), F.col(key).cast("string"), F.lit(f" in block '{name}': give an order"))
-    found = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
-    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(message))
-    return found.select(key, row.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+def only_row(df: DataFrame, key: Sequence[str], vector: str, name: str) -> DataFrame:
+    """The rows, but a failed job where a key has several, as nothing tells which of them counts.
+
+    Rows are numbered within their key, in the layout that the join by key needs anyway: nothing else is shuffled or
+    sorted, and the vectors go through no aggregate.
+    """
+    message = F.concat(F.lit("repeated id="), F.col(key[-1]).cast("string"), F.lit(f" in block '{name}': give an order"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    checked = F.when(F.col("_n") == 1, F.col(vector)).otherwise(F.raise_error(message))
+    return df.withColumn("_n", number).withColumn(vector, checked).drop("_n")
 
 
 def check_dim(vector: Column, block: Block, id_value: Column) -> Column:
@@ -170,7 +181,7 @@ def _part(block: Block, policy: str) -> Column:
 def merge_blocks(
     blocks: Sequence[Block], policy: str = "fill_zero", flags: bool = True
 ) -> DataFrame:
-    """``Id, [label,] features``: the blocks of each base row one after the other, then the presence flags.
+    """``[within,] Id, [label,] features``: the blocks of each base row one after the other, then the presence flags.
 
     The first block is the base. All sides have one row per id when they meet, so no join can blow up or get hot;
     each block is shuffled once and the joins share that partitioning. A base with an order is stored first, so that it
@@ -183,8 +194,11 @@ def merge_blocks(
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, got {policy!r}")
     base, rest = blocks[0], blocks[1:]
+    within = list(base.within)
+    if any(list(block.within) != within for block in rest):
+        raise ValueError(f"blocks differ in what their ids are unique within: {[b.within for b in blocks]}")
     if base.order is not None:
-        used = dict.fromkeys([base.id_col, base.vector, base.order, *([base.label] if base.has_label else [])])
+        used = dict.fromkeys([*base.key, base.vector, base.order, *([base.label] if base.has_label else [])])
         base = replace(base, df=stored(base.df.select(*used), "base"))
         blocks = [base, *rest]
     labelled = next((b for b in blocks if b.has_label), None)
@@ -196,12 +210,12 @@ def merge_blocks(
         if block is not base:
             rows = block.last()
         else:
-            rows = block.df if block.order is None else dedupe_last(block.df, block.id_col, block.order)
-        return rows.select(F.col(block.id_col).alias(ID), vector, *label)
+            rows = block.df if block.order is None else dedupe_last(block.df, block.key, block.order)
+        return rows.select(*within, F.col(block.id_col).alias(ID), vector, *label)
 
     wide = side(base)
     for block in rest:
-        wide = wide.join(side(block), ID, "inner" if policy == "drop" else "left")
+        wide = wide.join(side(block), [*within, ID], "inner" if policy == "drop" else "left")
     if policy == "drop":
         for block in blocks:
             wide = wide.filter(F.col(f"_v_{block.name}").isNotNull())
@@ -210,19 +224,21 @@ def merge_blocks(
     if flags:
         present = [F.col(f"_v_{b.name}").isNotNull().cast("float") for b in blocks]
         parts.append(F.array(*present))
-    keep = [ID, LABEL] if labelled else [ID]
+    keep = [*within, ID, LABEL] if labelled else [*within, ID]
     merged = wide.select(*keep, F.concat(*parts).alias(VECTOR))
     if base.order is None:
         return merged
 
     copies = base.df.select(
-        F.col(base.id_col).alias(ID), F.col(base.order).alias("_order"),
+        *within, F.col(base.id_col).alias(ID), F.col(base.order).alias("_order"),
         *([F.col(base.label).alias(LABEL)] if label_per_row else []),
     )
     right = merged.drop(LABEL) if label_per_row else merged
     # Null ids meet as well: the key is the id and whether there is one.
-    key = {"_null": F.col(ID).isNull(), "_key": F.coalesce(F.col(ID).cast("string"), F.lit(""))}
-    found = salted_join(copies.withColumns(key), right.withColumns(key).drop(ID), list(key), "inner", ["_order"])
+    key = {}
+    for i, c in enumerate([*within, ID]):
+        key |= {f"_null{i}": F.col(c).isNull(), f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    found = salted_join(copies.withColumns(key), right.withColumns(key).drop(*within, ID), list(key), "inner", ["_order"])
     return found.select(*keep, VECTOR)
 
 

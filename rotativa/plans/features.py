@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..operators import style as sty
 from ..operators.context import ContextConfig
 from ..operators.corpus import ID, LABEL, SPLIT
 from ..operators.merge import Block, block_from_columns
+from ..session import setting
 from ..sources.blocks import first_existing, read_block, write_block
 from ..sources.splits import read_splits, write_splits
 
@@ -35,9 +36,9 @@ class FeatureConfig:
     signal_text: str = "text_xlmr"
 
 
-def preprocess_corpus(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """All splits of a folder, cleaned, as one table partitioned by split."""
-    write_splits(co.preprocess(read_splits(spark, folder)), out)
+def preprocess_corpus(spark: SparkSession, folder: str, out: str, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """The splits of a folder, cleaned, as one table partitioned by split; splits that aren't asked for stay as they are."""
+    write_splits(co.preprocess(read_splits(spark, folder, splits)), out)
     return spark.read.parquet(out)
 
 
@@ -102,6 +103,27 @@ def merge_splits(
     return written
 
 
+def merge_all(
+    blocks: Sequence[Block], out: str, splits: Sequence[str] = ("train", "val", "test"), policy: str = "fill_zero", flags: bool = True,
+) -> DataFrame:
+    """Merge all splits of the blocks in one job and return its run metrics; ids are unique within a split.
+
+    The blocks have a split column in ``within``. Stored by ``save_bucketed`` with the same number of buckets, they are
+    joined bucket by bucket: no row is shuffled, and each task writes its rows of every split. The result is one version
+    of the block at ``out`` with one description for all splits in it; splits left out of ``splits`` stay as they are.
+    """
+    (split,), base = blocks[0].within, blocks[0]
+    wanted = [replace(b, df=b.df.where(F.col(split).isin(*splits))) for b in blocks]
+    # Rows dealt out by id are in place for a join by split and id as well.
+    with setting(base.df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        merged = mg.merge_blocks(wanted, policy, flags)
+        result = Block("merged", merged, tuple(mg.merged_names(blocks, flags)), within=(split,))
+        return write_block(result, out, {
+            "splits": list(splits), "missing_policy": policy, "add_presence_flags": flags, "blocks": mg.block_slices(blocks, flags),
+            "dims": {b.name: b.dim for b in blocks} | {"total": len(result.names)},
+        }, partition_by=(split,), parts=list(splits))
+
+
 def settings_of(config) -> dict:
     """A configuration as plain values, for the description beside a block."""
     return json.loads(json.dumps(asdict(config), default=str))

@@ -28,6 +28,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
+
+
 def resolve_split(
     spark: SparkSession, folder: str, split: str, aliases: dict[str, Sequence[str]] = CORPUS_ALIASES,
     extension: str = ".parquet",
@@ -61,5 +68,8 @@ def read_splits(
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """One table, partitioned by split: a reader of one split opens only its files."""
-    df.write.mode("overwrite").partitionBy(SPLIT).parquet(path)
+    """One table, partitioned by split: a reader of one split opens only its files.
+
+    Splits that ``df`` has replace those of the table; splits it lacks stay as they are.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SPLIT).parquet(path)

@@ -100,6 +100,148 @@ def test_bucketed_blocks_merge_without_shuffle(spark):
             spark.sql(f"DROP TABLE block_{name}")
 
 
+def split_blocks(spark, root, tag, n=300):
+    """Four blocks over three splits, the same ids in each; bucketed and partitioned by split."""
+    kept = []
+    for k, name in enumerate(plans.BLOCKS):
+        df = spark.range(n).crossJoin(spark.createDataFrame([("train", 0.0), ("val", 1000.0), ("test", 2000.0)], "split string, x double"))
+        df = df.where((F.col("id") + k) % 7 != 0 if k else F.lit(True)).select(
+            "split", F.col("id").alias("Id"), F.array(F.col("id") + F.col("x") + k).alias("features"))
+        kept.append(bl.save_bucketed(mg.Block(name, df, ("x",), within=("split",)), f"split_{tag}_{name}", f"{root}/{name}", 4))
+    return kept
+
+
+def expected(n=300, bias=0.0):
+    return {
+        (split, i): [i + x + bias, *[(i + x + k if (i + k) % 7 else 0.0) for k in (1, 2, 3)], 1.0, *[float((i + k) % 7 != 0) for k in (1, 2, 3)]]
+        for split, x in (("train", 0.0), ("val", 1000.0), ("test", 2000.0)) for i in range(n)
+    }
+
+
+def vectors(block):
+    rows = block.df.collect()
+    found = {(r.split, r.Id): r.features for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def test_all_splits_merge_in_one_job_without_shuffle(spark):
+    root = scratch_path(spark, "one-job")
+    kept = split_blocks(spark, root, "job")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("one-job", "")
+    try:
+        log = plans.merge_all(kept, f"{root}/merged").first()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("one-job")]
+    assert set(stages) == {1} and len(stages) <= 4  # vectors, description, and the row of metrics
+    assert log.num_samples == 900
+    merged = bl.read_block(spark, f"{root}/merged")
+    assert merged.names == ("x",) * 4 + ("has_sem", "has_emo", "has_sty", "has_ctx") and vectors(merged) == expected()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_one_split_again(spark):
+    root = scratch_path(spark, "again")
+    sem, *rest = split_blocks(spark, root, "again")
+    plans.merge_all([sem, *rest], f"{root}/merged")
+    newer = sem.df.where("split = 'val'").withColumn("features", F.transform("features", lambda v: v + 0.5))
+    sem = bl.replace_parts(mg.Block("sem", spark.createDataFrame(newer.collect(), newer.schema), ("x",), within=("split",)), "split_again_sem", 4)
+    plans.merge_all([sem, *rest], f"{root}/merged", ["val"])
+    found = vectors(bl.read_block(spark, f"{root}/merged"))
+    want = expected() | {k: v for k, v in expected(bias=0.5).items() if k[0] == "val"}
+    assert found == want
+    assert bl.finished_versions(spark, f"{root}/merged") == [1, 2]
+    assert bl.drop_old_versions(spark, f"{root}/merged") == []  # train and test are in the first
+    assert vectors(bl.read_block(spark, f"{root}/merged", parts=["val"])) == {k: v for k, v in want.items() if k[0] == "val"}
+    plans.merge_all([sem, *rest], f"{root}/merged", ["train", "test"], policy="drop")
+    assert bl.drop_old_versions(spark, f"{root}/merged") == [1]
+    left = vectors(bl.read_block(spark, f"{root}/merged"))
+    assert left == {k: v for k, v in want.items() if k[0] == "val" or 0.0 not in v[-3:]}
+    with pytest.raises(FileNotFoundError, match="dev"):
+        bl.read_block(spark, f"{root}/merged", parts=["dev"])
+    plans.merge_all([sem, *rest], f"{root}/merged", ["none"])  # a split without rows
+    assert bl.read_block(spark, f"{root}/merged", parts=["none"]).df.count() == 0
+
+
+def test_a_block_is_all_or_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "whole")
+    frame = lambda *rows: spark.createDataFrame(rows, "Id long, features array<double>")
+    old, new = mg.Block("sem", frame((1, [1.0])), ("a",)), mg.Block("sem", frame((2, [2.0, 3.0])), ("b", "c"))
+
+    def state():
+        block = bl.read_block(spark, path)
+        return block.names, [tuple(r) for r in block.df.collect()]
+
+    monkeypatch.setattr(bl, "_meta", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        bl.write_block(old, path)
+    with pytest.raises(FileNotFoundError, match="finished description"):
+        bl.read_block(spark, path)
+    monkeypatch.undo()
+    bl.write_block(old, path)
+    assert state() == (("a",), [(1, [1.0])])
+    monkeypatch.setattr(bl, "_meta", lambda *_: 1 / 0)  # fails between vectors and description
+    with pytest.raises(ZeroDivisionError):
+        bl.write_block(new, path)
+    assert state() == (("a",), [(1, [1.0])])
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="expected 1 features, got 2"):  # fails while vectors are written
+        bl.write_block(mg.Block("sem", new.df, ("b",)), path)
+    assert state() == (("a",), [(1, [1.0])])
+    bl.write_block(new, path)
+    assert state() == (("b", "c"), [(2, [2.0, 3.0])])
+    finished = bl.finished_versions(spark, path)
+    assert finished == [2, 5] and bl.drop_old_versions(spark, path) == [2] and state()[0] == ("b", "c")
+
+
+def test_parts_of_different_names(spark):
+    path = scratch_path(spark, "parts")
+    for part, names in (("a", ("x",)), ("b", ("y",))):
+        df = spark.createDataFrame([(part, 1, [1.0])], "split string, Id long, features array<double>")
+        bl.write_block(mg.Block("sem", df, names, within=("split",)), path, partition_by=["split"], parts=[part])
+    with pytest.raises(ValueError, match="different names"):
+        bl.read_block(spark, path)
+    assert bl.read_block(spark, path, parts=["b"]).names == ("y",)
+    with pytest.raises(ValueError, match="partition column"):
+        bl.write_block(mg.Block("sem", df, ("y",)), path, parts=["b"])
+
+
+@pytest.mark.parametrize("order", [None, "ord"])
+def test_ids_within_a_split(spark, order):
+    base = spark.createDataFrame([("a", 1, 0, "l", [1.0]), ("b", 1, 0, "m", [2.0]), ("b", 2, 0, "n", [3.0])], "split string, Id long, ord int, label string, features array<double>")
+    side = spark.createDataFrame([("a", 1, 0, [5.0]), ("b", 2, 0, [6.0]), ("c", 1, 0, [7.0])], "split string, Id long, ord int, features array<double>")
+    parts = [mg.Block("sem", base, ("x",), order, within=("split",)), mg.Block("sty", side, ("y",), order, within=("split",))]
+    merged = mg.merge_blocks(parts)
+    assert merged.columns == ["split", "Id", "label", "features"]
+    assert sorted(tuple(r) for r in merged.collect()) == [("a", 1, "l", [1, 5, 1, 1]), ("b", 1, "m", [2, 0, 1, 0]), ("b", 2, "n", [3, 6, 1, 1])]
+    with pytest.raises(ValueError, match="unique within"):
+        mg.merge_blocks([parts[0], mg.Block("sty", side, ("y",))])
+    twice = mg.Block("sty", side.unionByName(side.where("split = 'b'")), ("y",), within=("split",))
+    with pytest.raises(Exception, match="repeated id=2 in block 'sty'"):
+        mg.merge_blocks([parts[0], twice]).collect()
+
+
+def test_preprocess_one_split_again(spark, corpus):
+    root = scratch_path(spark, "one-split")
+    for name in ("train", "dev", "test"):
+        corpus.withColumn("Headline", F.lit(name)).write.parquet(f"{root}/raw/{name}.parquet")
+    plans.preprocess_corpus(spark, f"{root}/raw", f"{root}/clean")
+    before = {r.split: r for r in spark.read.parquet(f"{root}/clean").withColumn("file", F.input_file_name()).groupBy("split").agg(F.collect_set("file").alias("files")).collect()}
+    corpus.limit(4).withColumn("Headline", F.lit("newer")).write.mode("overwrite").parquet(f"{root}/raw/dev.parquet")
+    clean = plans.preprocess_corpus(spark, f"{root}/raw", f"{root}/clean", ["val"])
+    counts = {(r.split, r.Headline): r["count"] for r in clean.groupBy("split", "Headline").count().collect()}
+    assert counts == {("train", "train"): 30, ("test", "test"): 30, ("val", "newer"): 4}
+    after = {r.split: r for r in clean.withColumn("file", F.input_file_name()).groupBy("split").agg(F.collect_set("file").alias("files")).collect()}
+    for split in ("train", "test"):
+        assert set(after[split].files) == set(before[split].files)
+    assert not set(after["val"].files) & set(before["val"].files)
+
+
 def test_whole_run(spark, corpus):
     root = scratch_path(spark, "run")
     part = F.when(F.col("Id") % 10 < 8, "train").when(F.col("Id") % 10 == 8, "dev").otherwise("test")
