@@ -12,6 +12,7 @@ from rotativa.operators import style as sty
 from rotativa.plans import features as plans
 from rotativa.session import scratch_path
 from rotativa.sources.blocks import read_block, save_bucketed, write_block
+from rotativa.streaming import features as streaming
 
 from .common import NEWS, PLAIN, documents, news, q, register, s_round, table
 from .common import stored as checks_stored
@@ -269,13 +270,31 @@ def merge_splits(spark, sf):
     return out
 
 
-@register("local_features", f"""WITH {EMOTION_SQL}, {counts_sql(PLAIN)}, {context_sql(f"(SELECT *, '' AS Author, CAST(NULL AS TIMESTAMP) AS day FROM {NEWS} n)")},
+LOCAL_SQL = f"""WITH {EMOTION_SQL}, {counts_sql(PLAIN)}, {context_sql(f"(SELECT *, '' AS Author, CAST(NULL AS TIMESTAMP) AS day FROM {NEWS} n)")},
   all_rows AS (SELECT n.Id, n.split, [{", ".join(f"s.{c}" for c in SIGNALS)}] || l.v || c.v AS f
     FROM {NEWS} n JOIN signals s USING (Id) JOIN (SELECT Id, [{STYLE_LIST}] AS v FROM facts) l USING (Id)
     JOIN (SELECT Id, list(CAST(x AS DOUBLE) ORDER BY i) AS v FROM vectors GROUP BY Id) c USING (Id))
-  SELECT Id, split, unnest(range(len(f))) AS i, round(unnest(f), 6) AS x FROM all_rows""")
+  SELECT Id, split, unnest(range(len(f))) AS i, round(unnest(f), 6) AS x FROM all_rows"""
+
+
+@register("local_features", LOCAL_SQL)
 def local_features(spark, sf):
     """Signals, style and context of an article in one scan, without a shuffle."""
     found = plans.local_features(news(spark, sf), plans.FeatureConfig(CONTEXT, signal_text="Text"))
     long = found.select("Id", "split", F.posexplode(F.concat("signals", "style", "context")).alias("i", "x"))
     return long.select("Id", "split", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@register("stream_features", LOCAL_SQL)
+def stream_features(spark, sf):
+    """Articles that arrive as files, in two runs with one checkpoint: the second goes on where the first ended."""
+    root = scratch_path(spark, "stream")
+    articles = checks_stored(news(spark, sf), "articles")
+    config = plans.FeatureConfig(CONTEXT, signal_text="Text")
+    for run in (0, 1):
+        articles.where(F.pmod(F.xxhash64("Id"), F.lit(2)) == run).write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(articles.schema).parquet(f"{root}/in")
+        streaming.stream_features(arriving, config, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{root}/out")
+    long = found.select("Id", "split", F.posexplode(F.concat("signals", "style", "context")).alias("i", "x"))
+    return long.select("Id", "split", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

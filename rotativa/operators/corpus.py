@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,47 @@ def records_to_rows(
     return df.select(*out)
 
 
+def json_records_to_rows(
+    df: DataFrame, payload: str, text_col: str, id_col: str | None = None, data: str = "data", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Texts and ids from untyped records: each value of ``payload`` is JSON text, whatever its shape.
+
+    A list has its objects as records, and so has an object with a list in ``data``; any other object is a record by
+    itself. Fields are looked up as they are found, so records need no common schema. A record without text, or with a
+    null one, gives the empty string; numbers, lists and objects give their JSON text. An empty list, or null for a
+    payload, gives no row. As with a table, the text field has to be there: the job fails if the first record of a
+    payload lacks it, if a record is no object, and if a payload is no JSON. An id is optional and comes as text.
+    ``keep`` are columns that go along.
+    """
+    whole = F.parse_json(F.col(payload))
+    fields = F.try_variant_get(whole, "$", "map<string,variant>")
+    records = F.coalesce(
+        F.try_variant_get(whole, "$", "array<variant>"),
+        F.try_variant_get(F.try_element_at(fields, F.lit(data)), "$", "array<variant>"),
+        F.when(whole.isNotNull(), F.array(whole)),
+    )
+    names = {"_place": F.col("_place"), "_fields": F.try_variant_get("_record", "$", "map<string,variant>")}
+    found = df.select(*keep, F.posexplode(records).alias("_place", "_record")).select(*keep, *[c.alias(n) for n, c in names.items()])
+    absent = F.concat(
+        F.lit(f"missing field '{text_col}'; available: "), F.array_join(F.map_keys("_fields"), ", ")
+    )
+    own = F.try_element_at("_fields", F.lit(text_col))
+    value = (
+        F.when(F.col("_fields").isNull(), F.raise_error(F.lit("a record is no object")))
+        .when((F.col("_place") == 0) & ~F.map_contains_key("_fields", F.lit(text_col)), F.raise_error(absent))
+        .otherwise(F.coalesce(_json_text(own), F.lit("")))
+    )
+    out = [value.alias("text")]
+    if id_col:
+        out.append(_json_text(F.try_element_at("_fields", F.lit(id_col))).alias("id"))
+    return found.select(*keep, *out)
+
+
+def _json_text(value: Column) -> Column:
+    """A string as it is, anything else as JSON; null for JSON's null."""
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+
+
 def id_integrity(df: DataFrame, id_col: str = ID) -> DataFrame:
     """One row: rows, distinct ids, rows without id, ids that occur more than once.
 

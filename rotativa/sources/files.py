@@ -58,7 +58,8 @@ def export_csv(df: DataFrame, path: str) -> None:
     """UTF-8 with a header and no index. Arrays, maps and structs become JSON text.
 
     A row is one line, so that big files can be read by many tasks: line feeds, carriage returns and backslashes in
-    strings are written as ``\\n``, ``\\r`` and ``\\\\``; null is written as ``\\N``, the empty string as ``""``.
+    strings are written as ``\\n``, ``\\r`` and ``\\\\``, U+0000, which CSV readers drop, as ``\\0``; null is written as
+    ``\\N``, the empty string as ``""``.
     """
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat: Sequence[Column] = [
@@ -76,16 +77,20 @@ NULL = r"\N"  # no escaped string reads like this
 
 
 def escaped(c: Column) -> Column:
-    for plain, mark in (("\\", r"\\"), ("\n", r"\n"), ("\r", r"\r")):
+    for plain, mark in (("\\", r"\\"), ("\n", r"\n"), ("\r", r"\r"), ("\0", r"\0")):
         c = F.replace(c, F.lit(plain), F.lit(mark))
     return c
 
 
 def unescaped(c: Column) -> Column:
-    """Pairs of backslashes are set aside first, so that ``\\\\n`` stays a backslash and an n."""
-    for mark, plain in ((r"\\", "\0"), (r"\n", "\n"), (r"\r", "\r"), ("\0", "\\")):
-        c = F.replace(c, F.lit(mark), F.lit(plain))
-    return c
+    """The text is cut at pairs of backslashes first, so that ``\\\\n`` stays a backslash and an n."""
+    def plain(piece: Column) -> Column:
+        for mark, character in ((r"\n", "\n"), (r"\r", "\r"), (r"\0", "\0")):
+            piece = F.replace(piece, F.lit(mark), F.lit(character))
+        return piece
+
+    whole = F.array_join(F.transform(F.split(c, r"\\\\"), plain), "\\")
+    return F.when(F.contains(c, F.lit("\\")), whole).otherwise(c)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
