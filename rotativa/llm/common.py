@@ -23,6 +23,43 @@ def with_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+SCAN_BLOCK = 64
+SCAN_LEVELS = 2
+
+
+def scan(values: Column, join, levels: int = SCAN_LEVELS) -> Column:
+    """Running results of ``join`` (associative) over an array: element i joins the values up to and with i.
+
+    A fold that appends copies its array each time. So blocks of 64 are scanned by themselves, and so are their last
+    results, level by level: time in proportion to the array times a block, up to millions of values.
+    """
+    def fold(block: Column) -> Column:
+        first = F.slice(block, F.lit(1), F.lit(1))
+        return F.aggregate(F.slice(block, F.lit(2), F.greatest(F.size(block) - 1, F.lit(0))), first, lambda acc, x: F.concat(
+            acc, F.array(join(F.element_at(acc, -1), x))
+        ))
+
+    if not levels:
+        return fold(values)
+
+    def blockwise(all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SCAN_BLOCK).cast("int"))
+        return let(F.transform(starts, lambda b: fold(F.slice(all_, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))), together)
+
+    def together(blocks: Column) -> Column:
+        before = scan(F.transform(blocks, lambda block: F.element_at(block, -1)), join, levels - 1)
+        return let(before, lambda ends: F.flatten(F.transform(blocks, lambda block, b: F.when(b == 0, block).otherwise(
+            F.transform(block, lambda x: join(F.get(ends, b - 1), x))
+        ))))
+
+    return let(values, lambda all_: F.when(F.size(all_) <= SCAN_BLOCK, F.when(F.size(all_) == 0, all_).otherwise(fold(all_))).otherwise(blockwise(all_)))
+
+
 def whole_text(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -5,11 +5,15 @@ import hashlib
 import math
 import random
 import re
+import time
+from bisect import bisect_right
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from rotativa.llm import bpe, langid, pii, secret_scan
+from rotativa.llm.common import scan
 from rotativa.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -133,6 +137,75 @@ def test_redaction(spark):
     assert [r.t for r in found] == ["é [secret] b [secret]", "nothing", None]
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def long_text(case):
+    random.seed(case)
+    key = lambda n: "".join(random.choices(LETTERS, k=n))
+    return {
+        "one candidate": lambda: key(100_000),
+        "many windows": lambda: "".join(key(30) + "a" * 30 for _ in range(1700)),
+        "assignments": lambda: " ".join(f"token=abcdefgh{i}" for i in range(100_000)),
+        "covered windows": lambda: " ".join(random.choice(["token=", "x=", "é"]) + key(24) for _ in range(6000)),
+    }[case]()
+
+
+@pytest.mark.parametrize("case", ["one candidate", "many windows", "assignments", "covered windows"])
+def test_secrets_of_long_texts(spark, case):
+    """Equal to brute force, in time that grows with the text."""
+    text = long_text(case)
+    df = spark.createDataFrame([(text,)], "text string").cache()
+    df.count()
+    spans = lambda: secret_scan.scan(df).select("secrets", secret_scan.redacted(F.col("text"), F.col("secrets")["spans"]).alias("t")).first()
+    spans()
+    started = time.perf_counter()
+    found = spans()
+    assert time.perf_counter() - started < 10  # the scan twice, and the redaction
+    base = base_secrets(text)
+    reach, covered = 0, []
+    for s in sorted(base, key=lambda s: s[1]):
+        reach = max(reach, s[2])
+        covered.append((s[1], reach))
+    starts = [c[0] for c in covered]
+    more = [s for s in entropy_spans(text, secret_scan.EntropyConfig()) if not ((i := bisect_right(starts, s[1])) and covered[i - 1][1] >= s[2])]
+    every = sorted(base + more, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+    assert [(s.kind, s.start, s.end) for s in found.secrets.spans] == every
+    assert found.t == marked(text, [s[1:] for s in every])
+
+
+def marked(text, spans):
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def test_redaction_of_any_spans(spark):
+    random.seed(9)
+    rows = []
+    for _ in range(150):
+        text = "".join(random.choice("ab\n😀é") for _ in range(random.choice([30, 1023, 1024, 1025, 5000])))
+        starts = sorted(random.sample(range(len(text) - 8), random.choice([0, 1, 3, 20])))
+        rows.append((text, [(s, min(len(text), s + random.choice([8, 9, 40, 1500])), "x") for s in starts]))
+    rows.append(("y" * 4096, [(i, i + 8, "x") for i in range(0, 4096, 8)]))
+    df = spark.createDataFrame(rows, "text string, s array<struct<start:int,end:int,kind:string>>")
+    found = df.select("text", "s", secret_scan.redacted(F.col("text"), F.col("s")).alias("t")).collect()
+    assert len(found) == 151
+    for r in found:
+        assert r.t == marked(r.text, [(s.start, s.end) for s in r.s])
+
+
+def test_running_results(spark):
+    random.seed(10)
+    rows = [([random.randrange(-9, 9) for _ in range(n)],) for n in (0, 1, 2, 63, 64, 65, 4095, 4096, 4097, 9000)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for r in df.select("v", scan(F.col("v"), lambda a, b: a + b).alias("sums"), scan(F.col("v"), lambda a, b: F.greatest(a, b)).alias("most")).collect():
+        assert r.sums == list(accumulate(r.v)) and r.most == list(accumulate(r.v, max))
+
+
 # Personal data
 
 def base_personal(text):
