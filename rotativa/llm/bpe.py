@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import kept_by_worker, with_workers
 
 FIRST = 0x100  # byte b is the character FIRST + b: letters without white space or special meaning
-KNOWN_TOKENS = 150_000  # pre-tokens a worker remembers
+KNOWN_TOKENS = 100_000  # pre-tokens a worker remembers
 TEXTS_AT_ONCE = 1_000_000  # characters cut together
 LONG_TOKEN = 64  # longer pre-tokens are encoded each time
 NORMAL, UNKNOWN, BPE = 1, 2, 2  # values of the model format

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +115,10 @@ def kept_by_worker(name: str, source: object, build):
     Workers are reused by later stages, so a worker keeps one such table: those of earlier operators go.
     """
     if name not in _kept or _kept[name][0] is not source:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _kept[name] = source, build()
     return _kept[name][1]
 

@@ -1,8 +1,8 @@
 """Language identification, words first: known words by their frequency in each language, unseen ones by character n-grams.
 
 Learning: a sample of labelled rows, bounded per language by ``LangIdConfig.rows_per_language`` (a hash of the key
-decides, scaled by exact counts of the labels), is counted by Spark: words per language, and from the words n-grams
-with word edges marked. The model is what those counts give and has the sample's bound, so it is broadcast.
+decides, scaled by exact counts of the labels), is counted by Spark: words per language. The driver
+takes the n-grams of those words, with word edges marked. The model has the sample's bound, so it is broadcast.
 
 Prediction: every run of letters, lower-cased, of the whole text. A known word adds its smoothed log frequency in each
 language. An unseen word is cut into the longest n-grams of which any is known, and adds their mean log frequency: n
@@ -29,7 +29,7 @@ from .common import kept_by_worker, with_workers
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-KNOWN_WORDS = 200_000  # words a worker remembers
+KNOWN_WORDS = 100_000  # words a worker remembers
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -52,8 +52,9 @@ def sample(labelled: DataFrame, key: str, lang: str, rows: int) -> DataFrame:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, list[float]]  # log frequency in each language
-    grams: dict[str, list[float]]
+    words: dict[str, int]  # row of a word in ``logs``
+    grams: dict[str, int]
+    logs: np.ndarray  # log frequency in each language
     longest: int
 
 
@@ -79,17 +80,19 @@ def fit(counts: list[Row], config: LangIdConfig) -> Model:
             grams.setdefault(gram, np.zeros(len(languages)))[place[r["lang"]]] += r["n"]
     known = {w: c for w, c in words.items() if c.sum() >= config.least_count}
 
-    def logs(table: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, list[float]]:
-        return {
-            x: np.log((c + config.smoothing) / (totals + config.smoothing * (len(table) + 1))).tolist()
-            for x, c in table.items()
-        }
+    rows: list[np.ndarray] = []
 
-    by_length: dict[str, list[float]] = {}
+    def logs(table: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, int]:
+        first = len(rows)
+        rows.extend(np.log((c + config.smoothing) / (totals + config.smoothing * (len(table) + 1))) for c in table.values())
+        return dict(zip(table, range(first, len(rows)), strict=True))
+
+    by_word = logs(known, sum(words.values(), np.zeros(len(languages))))
+    by_length: dict[str, int] = {}
     for n in range(1, config.longest + 1):
         of_n = {g: c for g, c in grams.items() if len(g) == n}
         by_length |= logs(of_n, sum(of_n.values(), np.zeros(len(languages))))
-    return Model(languages, logs(known, sum(words.values(), np.zeros(len(languages)))), by_length, config.longest)
+    return Model(languages, by_word, by_length, np.array(rows).reshape(len(rows), len(languages)), config.longest)
 
 
 def cut(word: str, n: int) -> list[str]:
@@ -108,11 +111,11 @@ class Predictor:
     def word_scores(self, word: str) -> np.ndarray:
         known = self.model.words.get(word)
         if known is not None:
-            return np.array(known)
+            return self.model.logs[known]
         for n in range(self.model.longest, 0, -1):
             found = [s for g in cut(word, n) if (s := self.model.grams.get(g)) is not None]
             if found:
-                return np.array(found).mean(axis=0)
+                return self.model.logs[found].mean(axis=0)
         return self.zero
 
     def _place(self, word: str) -> int:

@@ -7,9 +7,11 @@ import random
 import re
 import time
 from bisect import bisect_right
+from collections import Counter
 from itertools import accumulate
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from rotativa.llm import bpe, langid, pii, secret_scan
@@ -280,6 +282,53 @@ def test_language_edges(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_scores_equal_plain_python(spark):
+    """The same rule again, from counts of the sample: known words, else the longest known n-grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id % 4 <> 2")
+    config = langid.LangIdConfig(rows_per_language=100_000)
+    model = langid.train(labelled, config=config)
+    languages = sorted({r.lang for r in labelled.collect()})
+    count = {lang: Counter() for lang in languages}
+    for r in labelled.collect():
+        count[r.lang].update(regex.findall(r"\p{L}+", r.text.lower()))
+    grams = {n: {lang: Counter() for lang in languages} for n in range(1, 6)}
+    for lang in languages:
+        for word, k in count[lang].items():
+            edged = f"\x02{word}\x03"
+            for n in range(1, 6):
+                for i in range(len(edged) - n + 1):
+                    if edged[i:i + n] not in ("\x02", "\x03"):
+                        grams[n][lang][edged[i:i + n]] += k
+    every = {w for c in count.values() for w in c}
+    known = {w for w in every if sum(c[w] for c in count.values()) >= 2}
+
+    def log(table, size, x):
+        return [math.log((table[lang][x] + 0.5) / (sum(table[lang].values()) + 0.5 * (size + 1))) for lang in languages]
+
+    sizes = {n: len({g for c in grams[n].values() for g in c}) for n in grams}
+
+    def word_log(word):
+        if word in known:
+            return log(count, len(known), word)
+        edged = f"\x02{word}\x03"
+        for n in range(5, 0, -1):
+            found = [edged[i:i + n] for i in range(len(edged) - n + 1)]
+            found = [log(grams[n], sizes[n], g) for g in found if any(c[g] for c in grams[n].values())]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(languages)
+
+    cache = {}
+    for r in langid.predict(docs.where("doc_id % 4 = 2 AND length(text) < 3000"), model).collect():
+        words = regex.findall(r"[^\W\d_]+", r.text.lower())
+        total = [math.fsum(x) for x in zip(*[cache.setdefault(w, word_log(w)) if w not in cache else cache[w] for w in words], strict=True)] or [0.0] * len(languages)
+        best = max(range(len(languages)), key=lambda i: (total[i], -i))
+        if any(c.isalpha() for w in words for c in w):
+            assert r.language.lang == languages[best]
+            assert r.language.score == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total))
+
+
 def test_language_sample_is_bounded(spark):
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.when(F.col("id") < 50, "xx").otherwise("yy").alias("lang"))
     chosen = langid.sample(many, "doc_id", "lang", 500).groupBy("lang").count().collect()
