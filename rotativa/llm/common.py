@@ -91,6 +91,20 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
 
 
+HOT_SHARE = 1_000  # a key with one in so many rows is hot; there are at most so many
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of ``side`` for its key; ``n`` in ``side`` counts a key's rows, of ``total`` in all.
+
+    Rows of a hot key would meet in one task. There are few such keys, so they are broadcast; the others are shuffled.
+    Both are read from where they are stored.
+    """
+    hot = F.col(n) * HOT_SHARE >= total
+    few, rest = F.broadcast(side.where(hot)), side.where(~hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name.lower() in map(str.lower, df.columns):

@@ -81,8 +81,60 @@ def linked(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, chunks: np.n
     return np.minimum(a, b), np.maximum(a, b), cosines[new]
 
 
+def spanning(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (left, right) that connect what all of them connect, fewer than there are ``ids`` (sorted)."""
+    i, j = np.searchsorted(ids, left), np.searchsorted(ids, right)
+    order = np.argsort(np.concatenate((i, j)), kind="stable")
+    ends, starts = np.concatenate((j, i))[order], np.searchsorted(np.concatenate((i, j))[order], np.arange(len(ids) + 1))
+    seen, a, b = np.zeros(len(ids), bool), [], []
+    for root in range(len(ids)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            node = front.pop()
+            near = ends[starts[node]:starts[node + 1]]
+            near = np.unique(near[~seen[near]])
+            seen[near] = True
+            a += [node] * len(near)
+            b += near.tolist()
+            front += near.tolist()
+    return ids[a], ids[b]
+
+
 def links(classes: DataFrame, config: PStableConfig = PStableConfig()) -> DataFrame:
-    """(a, b, cosine), a < b: linked pairs of distinct usable vectors (class_id, vector)."""
+    """(a, b, cosine), a < b: linked pairs of distinct usable vectors (class_id, vector), as many as there are."""
+    def pairs(a: np.ndarray, b: np.ndarray, cosines: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> pa.Table:
+        return pa.table({"a": a, "b": b, "cosine": cosines})
+
+    return _met(classes.select("class_id", "vector", F.lit(1).cast("long").alias("weight")), pairs, PAIR, config)
+
+
+def neighbours(classes: DataFrame, config: PStableConfig = PStableConfig()) -> DataFrame:
+    """(a, b, others) from classes (class_id, vector, weight): of each bucket or pair of chunks the weight of what a is
+    linked with there (b null), and links that connect what is linked there (others null).
+
+    A pair counts in the first table in which both share a bucket, so the weights of a class add up to all its links.
+    No more than two rows per vector of a bucket come out, however many pairs are linked.
+    """
+    def sums(a: np.ndarray, b: np.ndarray, cosines: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> pa.Table:
+        order = np.argsort(ids, kind="stable")
+        ids, first = np.unique(ids[order], return_index=True)
+        weights = weights[order][first]
+        i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        others = np.bincount(i, weights[j], len(ids)) + np.bincount(j, weights[i], len(ids))
+        linked_ = np.flatnonzero(others)
+        tied = spanning(ids, a, b)
+        none = [None] * len(linked_), [None] * len(tied[0])
+        return pa.table({
+            "a": pa.array(np.concatenate((ids[linked_], tied[0])), pa.int64()), "b": pa.array([*none[0], *tied[1].tolist()], pa.int64()),
+            "others": pa.array([*others[linked_].astype(np.int64).tolist(), *none[1]], pa.int64()),
+        })
+
+    return _met(classes, sums, "a long, b long, others long", config)
+
+
+def _met(classes: DataFrame, result, schema: str, config: PStableConfig) -> DataFrame:
+    """``result`` of the new linked pairs of every bucket, or pair of its chunks."""
     with_workers(classes.sparkSession)
 
     @F.arrow_udf("array<long>")
@@ -96,29 +148,30 @@ def links(classes: DataFrame, config: PStableConfig = PStableConfig()) -> DataFr
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
+        ids, weights = group["class_id"].to_numpy(), group["weight"].to_numpy()
         if group.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        a, b, cosines = linked(
-            group["class_id"].to_numpy(), matrix(group["vector"].chunk(0)), group["codes"].chunk(0).flatten().to_numpy().reshape(group.num_rows, -1),
+            return result(ids[:0], ids[:0], np.empty(0), ids, weights)
+        pairs = linked(
+            ids, matrix(group["vector"].chunk(0)), group["codes"].chunk(0).flatten().to_numpy().reshape(group.num_rows, -1),
             group["chunk"].to_numpy(), group["table"][0].as_py(), config,
         )
-        return pa.table({"a": a, "b": b, "cosine": cosines})
+        return result(*pairs, ids, weights)
 
-    coded = stored(classes.select("class_id", "vector", hashed.asNondeterministic()("vector").alias("codes")), "codes")
+    coded = stored(classes.select("class_id", "weight", "vector", hashed.asNondeterministic()("vector").alias("codes")), "codes")
     placed = coded.select("class_id", F.size("vector").alias("width"), F.posexplode("codes").alias("table", "bucket"))
     sizes = stored(placed.groupBy("table", "bucket", "width").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
 
-    rows = coded.select("class_id", "vector", "codes", F.size("vector").alias("width"), F.posexplode("codes").alias("table", "bucket"))
+    rows = coded.select("class_id", "weight", "vector", "codes", F.size("vector").alias("width"), F.posexplode("codes").alias("table", "bucket"))
     kept = rows.join(sizes, ["table", "bucket", "width"])
     chunks = F.ceil(F.col("n") / config.chunk).cast("int")
     chunk = F.pmod(F.xxhash64("class_id"), chunks).cast("int")
     # Chunk c meets every chunk, itself included: as (least, greatest), one copy for each.
     spread = kept.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     grouped = spread.select(
-        "class_id", "vector", "codes", "chunk", "table", "bucket", "width",
+        "class_id", "weight", "vector", "codes", "chunk", "table", "bucket", "width",
         F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
     ).groupBy("table", "bucket", "width", "low", "high")
-    return grouped.applyInArrow(lambda group: compared(group), PAIR)
+    return grouped.applyInArrow(lambda group: compared(group), schema)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", config: PStableConfig = PStableConfig()) -> DataFrame:
@@ -126,11 +179,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = df.select(F.col(key), F.col(vector).alias("vector")).withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     counted = rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("weight"))
     classes = stored(counted.withColumn("class_id", F.monotonically_increasing_id()), "vectors")
-    pairs = stored(links(classes, config), "links")
-    weights = classes.select("class_id", "weight")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    degrees = both.join(weights.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("weight").alias("others"))
-    names = smallest_names(classes, components(pairs), "class_id", "first")
+    found = stored(neighbours(classes.select("class_id", "vector", "weight"), config), "links")
+    degrees = found.where("b IS NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("others").alias("others"))
+    names = smallest_names(classes, components(found.where("b IS NOT NULL").select("a", "b")), "class_id", "first")
     labels = classes.join(names, "class_id").join(degrees, "class_id", "left").select(
         "vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )

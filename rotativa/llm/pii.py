@@ -37,7 +37,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 USER_HOST = re.compile(r"://([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[\s:#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no|nr|nummer|num|número|numéro|n°))?[ .:#]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-HOUSE_AFTER = re.compile(r"[^\W\d_]* ?([0-9]{1,4}[a-z]?)(?![0-9\w])")
+LETTERS = re.compile(r"[^\W\d_]*")
+HOUSE_AFTER = re.compile(r" ?([0-9]{1,4}[a-z]?)(?![0-9\w])")
 HOUSE_BEFORE = re.compile(r"(?<![0-9])[0-9]{1,5}[a-z]?,? (?:[^\W\d_]+ ){0,3}$")
 NAME_HOUSE = re.compile(r"(?:[^\W\d_]+[ ,]+){1,4}[0-9]{1,4}(?![0-9])")
 STREET_NAME = re.compile(r"[^\W\d_]+(?:[ '-][^\W\d_]+){0,4}")
@@ -99,6 +100,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All finds, by kind as listed and then start."""
         found: dict[str, list[tuple[int, int]]] = {}
+        self.run = (0, 0)  # of letters around the last street ending
         done = dict.fromkeys(self.parsers, 0)  # where the next find of a kind may begin
         for last, (kind, width) in self.automaton.iter(text):
             start = last + 1 - width
@@ -164,17 +166,23 @@ class Finder:
 
     @staticmethod
     def _house_before(text, at, after, free):
-        left = max(free, at - 80)
-        m = HOUSE_BEFORE.search(text[left:at + 1])
-        return (("street", left + m.start(), after), after) if m else (None, free)
-
-    @staticmethod
-    def _house_after(text, at, after, free):
-        m = HOUSE_AFTER.match(text, after)
-        start = at
-        while start > max(free, at - 80) and text[start - 1].isalpha():
-            start -= 1
-        return (("street", start, m.end(1)), m.end(1)) if m and m[1] else (None, free)
+        left = at
+        for _ in range(4):  # three words and a number, however long
+            left = text.rfind(" ", free, left)
+            if left < 0:
+                left = free
+                break
+        m = HOUSE_BEFORE.search(text, left, at + 1)
+        return (("street", m.start(), after), after) if m else (None, free)
+
+    def _house_after(self, text, at, after, free):
+        if not self.run[0] <= at < self.run[1]:  # a run with many endings is walked once
+            start = at
+            while start > self.run[1] and text[start - 1].isalpha():
+                start -= 1
+            self.run = start, LETTERS.match(text, after).end()
+        m = HOUSE_AFTER.match(text, self.run[1])
+        return (("street", max(free, self.run[0]), m.end(1)), m.end(1)) if m else (None, free)
 
     @staticmethod
     def _rue(text, at, after, free):

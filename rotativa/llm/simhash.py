@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small_side, stored, with_workers
+from .common import fresh, join_spread, small_side, stored, with_workers
 from .graph import components, smallest_names
 
 SEED = 42
@@ -129,10 +129,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     """
     made = fingerprints(df.select(F.col(key), F.col(text).alias("text")), size)
     rows = stored(made.select(key, "fingerprint"), "fingerprints")
-    classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("first")), "classes")
+    classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
     roots = components(links(classes.select("fp"), 64, radius))
-    labels = smallest_names(classes, roots, "fp", "first").withColumnRenamed("fp", "fingerprint")
-    return rows.join(labels, "fingerprint").select(key, "fingerprint", "component_id")
+    names = smallest_names(classes, roots, "fp", "first").join(classes.select("fp", "rows"), "fp")
+    labels = stored(names.withColumnRenamed("fp", "fingerprint"), "labels")
+    return join_spread(rows, labels, "fingerprint", "rows", rows.count()).select(key, "fingerprint", "component_id")
 
 
 # Copies and near copies of whole documents, by similarity of word shingles.

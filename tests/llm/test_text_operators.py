@@ -210,6 +210,21 @@ def test_running_results(spark):
 
 # Personal data
 
+@pytest.mark.parametrize("text, street", [
+    ("lebt in der " + "Lang" * 40 + "straße 12a, Berlin", "Lang" * 40 + "straße 12a"), ("at 12 " + "abcdef" * 60 + " Main Street x", "12 " + "abcdef" * 60 + " Main Street"),
+    ("at 5 a b c d Street", None), ("7 a b c Lane", "7 a b c Lane"), ("123456 High Road", None), ("x\n7 High Road", "7 High Road"),
+])
+def test_streets_of_any_length(text, street):
+    assert [text[s:e] for kind, s, e in pii.Finder().spans(text) if kind == "street"] == ([street] if street else [])
+
+
+def test_personal_data_in_time_with_the_text():
+    started = time.perf_counter()
+    for text in ("straße" * 30_000 + " 12", "1 Street " * 30_000, "a" * 500_000 + " Street" * 1_000, "9 a b c d " * 10_000 + "platz" * 10_000):
+        pii.Finder().spans(text)
+    assert time.perf_counter() - started < 5
+
+
 def base_personal(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
