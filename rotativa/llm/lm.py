@@ -8,9 +8,11 @@ Classes are equal shares of those counts, so common ids are a class each. The ne
 layer over ``context`` ids. Long texts are covered by overlapping windows: each begins with the last ``context - stride``
 ids of the one before and scores only what follows, so every id is scored once, and windows are computed in batches.
 
-Training. Spark counts words and subwords of all training texts and picks one window in ``every`` of each text, so what
-is gathered grows with the corpus. Workers run Adam over their windows from common weights, the weights are averaged by
-Spark, and that is repeated ``rounds`` times. A worker sees at least ``worker_windows`` windows, so there are few.
+Training. Spark counts words and subwords of all training texts and picks every ``every``-th window of a text, from a
+place that a hash of the text gives; what is gathered grows with the corpus. A text of fewer windows may give none, so
+short texts often teach the network nothing (the counts hold them all). Workers run Adam over their windows from common
+weights, the weights are averaged by Spark, and that is repeated ``rounds`` times. A worker with fewer than
+``worker_windows`` windows, as in a small corpus, makes up to ``passes`` passes over them in each round.
 
 Base. Counts of words are split by size: words above a count that leaves at most ``FREQUENT`` of them are sent to the
 workers (the number is measured), the rest, each rare by construction, are joined by word. So no key is hot.
