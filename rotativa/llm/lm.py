@@ -8,11 +8,11 @@ Classes are equal shares of those counts, so common ids are a class each. The ne
 layer over ``context`` ids. Long texts are covered by overlapping windows: each begins with the last ``context - stride``
 ids of the one before and scores only what follows, so every id is scored once, and windows are computed in batches.
 
-Training. Spark counts words and subwords of all training texts and picks every ``every``-th window of a text, from a
-place that a hash of the text gives; what is gathered grows with the corpus. A text of fewer windows may give none, so
-short texts often teach the network nothing (the counts hold them all). Workers run Adam over their windows from common
-weights, the weights are averaged by Spark, and that is repeated ``rounds`` times. A worker with fewer than
-``worker_windows`` windows, as in a small corpus, makes up to ``passes`` passes over them in each round.
+Training. Spark counts words and subwords of all training texts. Then every training text is learned from once: a hash
+of the text deals texts to ``rounds``, each a share of the corpus that is the same at every size. In a round, the worker
+of each partition begins with the common weights and runs Adam over all windows of its texts as they stream by (there
+windows follow each other without an overlap, so that each id is a target once); Spark averages the weights by windows
+seen. Nothing is gathered. Training and scoring read ``df`` once a round and twice more, so it should be a stored table.
 
 Base. Counts of words are split by size: words above a count that leaves at most ``FREQUENT`` of them are sent to the
 workers (the number is measured), the rest, each rare by construction, are joined by word. So no key is hot.
@@ -23,10 +23,9 @@ scored as often as they stand there. Without training rows counts are zero and t
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
@@ -44,6 +43,7 @@ PARTIAL_WORDS = 100_000  # different words a worker counts before it hands them
 BATCH_CHARACTERS = 400_000
 BATCH_WINDOWS = 160  # layers stay in the processor's cache
 LONGEST = 4  # bytes of a piece
+SHARES = 16  # equal shares of the training texts by hash
 CHUNK = 4096  # weights in a row while they are averaged
 
 
@@ -54,12 +54,9 @@ class LmConfig:
     width: int = 16
     classes: int = 64
     own: int = 4096  # ids with an embedding of their own; others share that of their class
-    every: int = 64
-    rounds: int = 3
-    worker_windows: int = 20_000  # and below twice as many
-    passes: int = 6  # of a worker over fewer windows, in each round
-    rate: float = 0.01
-    batch: int = 64
+    rounds: tuple[tuple[int, int], ...] = ((0, 1), (1, 4), (4, SHARES))  # shares from, to; repeat them for more passes
+    rate: float = 0.02
+    batch: int = 128
     smoothing: float = 0.5
     seed: int = 42
 
@@ -245,22 +242,45 @@ class Network:
         dx += times(dq, p["keys"].T) + ds.transpose(0, 2, 1) @ query
         g["keys"] += flat(x).T @ flat(dq)
         g["places"] += dx.sum(axis=0)
-        np.add.at(g["ids"], rows, dx)
+        order = np.argsort(rows, axis=None, kind="stable")
+        of_ids = rows.reshape(-1)[order]
+        first = np.flatnonzero(np.diff(of_ids, prepend=-1))
+        g["ids"][of_ids[first]] += np.add.reduceat(flat(dx)[order], first)
         return out.flat
 
 
-def adam(network: Network, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> None:
-    """One pass over the windows."""
-    first, second = np.zeros_like(network.flat), np.zeros_like(network.flat)
-    c = network.config
-    steps = range(0, len(rows), c.batch)
-    for t, at in enumerate(steps, 1):
-        some = slice(at, at + c.batch)
-        g = network.gradient(rows[some], classes[some], counts[some])
-        first += 0.1 * (g - first)
-        second += 0.01 * (g * g - second)
-        rate = c.rate * (1 - 0.9 * t / len(steps)) * (1 - 0.99 ** t) ** 0.5 / (1 - 0.9 ** t)
-        network.flat -= (rate * first / (np.sqrt(second) + 1e-6)).astype(np.float32)
+class Adam:
+    """Steps over a stream of windows; those that don't fill a batch wait for the next ones."""
+
+    def __init__(self, network: Network, rate: float):
+        self.network, self.rate, self.steps, self.seen, self.waiting = network, rate, 0, 0, None
+        self.first, self.second = np.zeros_like(network.flat), np.zeros_like(network.flat)
+
+    def step(self, *some: np.ndarray) -> None:
+        self.steps += 1
+        t, g = self.steps, self.network.gradient(*some)
+        self.first += 0.1 * (g - self.first)
+        self.second += 0.01 * (g * g - self.second)
+        rate = self.rate * (1 + t / 500) ** -0.5 * (1 - 0.99 ** t) ** 0.5 / (1 - 0.9 ** t)
+        self.network.flat -= (rate * self.first / (np.sqrt(self.second) + 1e-6)).astype(np.float32)
+
+    def learn(self, *new: np.ndarray) -> None:
+        """rows, classes, counts of windows; taken in mixed order, since neighbours come from one text."""
+        self.seen += len(new[0])
+        order = np.random.default_rng(self.seen).permutation(len(new[0]))
+        new = [part[order] for part in new]
+        if self.waiting is not None:
+            new = [np.concatenate(pair) for pair in zip(self.waiting, new)]
+        batch = self.network.config.batch
+        whole = len(new[0]) // batch * batch
+        for at in range(0, whole, batch):
+            self.step(*(part[at:at + batch] for part in new))
+        self.waiting = [part[whole:] for part in new]
+
+    def end(self) -> None:
+        if self.waiting is not None and len(self.waiting[0]):
+            self.step(*self.waiting)
+        self.waiting = None
 
 
 class Vocabulary:
@@ -314,13 +334,13 @@ def batches_of(texts: pa.Array) -> Iterator[list[list[bytes]]]:
         yield some
 
 
-GATHERED = "kind string, word binary, ids array<int>, n long"
+GATHERED = "kind string, word binary, id int, n long"
 
 
-def gather(training: DataFrame, pieces: Pieces, config: LmConfig) -> DataFrame:
-    """Partial counts of words and ids, and training windows, of all ``training`` texts (column text); stored."""
+def gather(training: DataFrame, pieces: Pieces) -> DataFrame:
+    """Partial counts of words and ids of all ``training`` texts (column text); stored."""
     shared = with_workers(training.sparkSession).sparkContext.broadcast(pieces)
-    shape = pa.schema([("kind", pa.string()), ("word", pa.binary()), ("ids", pa.list_(pa.int32())), ("n", pa.int64())])
+    shape = pa.schema([("kind", pa.string()), ("word", pa.binary()), ("id", pa.int32()), ("n", pa.int64())])
 
     def rows(kind: str, words: list, ids: list, n: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * len(n), words, ids, n), shape)], schema=shape)
@@ -330,57 +350,50 @@ def gather(training: DataFrame, pieces: Pieces, config: LmConfig) -> DataFrame:
         of_ids, texts_seen = np.zeros(own.end + 1, np.int64), 0
         for some in (s for batch in batches for s in batches_of(batch.column(0))):
             texts_seen += len(some)
-            sequences, chosen = own.sequences(some), []
-            for text, sequence in zip(some, sequences, strict=True):
+            for text in some:
                 words.update(text)
-                of_ids += np.bincount(sequence[1:], minlength=len(of_ids)) if len(sequence) > 5000 else 0
-                many = 1 + max(0, -(-(len(sequence) - 1 - config.context) // config.stride))
-                random = zlib.crc32(sequence.tobytes())
-                chosen += [sequence[b:b + config.context + 1] for k in range(random % config.every, many, config.every) for b in [k * config.stride]]
-            short = [s[1:] for s in sequences if len(s) <= 5000]
-            of_ids += np.bincount(np.concatenate([np.empty(0, np.int32), *short]), minlength=len(of_ids))
-            yield rows("window", [None] * len(chosen), [c.tolist() for c in chosen], [1] * len(chosen))
+            of_ids += np.bincount(own.cut(list(chain.from_iterable(some)))[0], minlength=len(of_ids))
             if len(words) > PARTIAL_WORDS:
                 yield rows("word", list(words), [None] * len(words), list(words.values()))
                 words = Counter()
         yield rows("word", list(words), [None] * len(words), list(words.values()))
+        of_ids[own.end] = texts_seen
         seen = np.flatnonzero(of_ids)
-        yield rows("id", [None] * len(seen), [[i] for i in seen.tolist()], of_ids[seen].tolist())
+        yield rows("id", [None] * len(seen), seen.tolist(), of_ids[seen].tolist())
         yield rows("text", [None], [None], [texts_seen])
 
     return stored(training.select("text").mapInArrow(read, GATHERED), "gathered")
 
 
-def train(gathered: DataFrame, pieces: Pieces, config: LmConfig) -> Model:
-    counted = gathered.where("kind = 'id'").groupBy(F.get("ids", F.lit(0)).alias("id")).agg(F.sum("n").alias("n")).collect()  # the vocabulary
+def train(training: DataFrame, gathered: DataFrame, pieces: Pieces, config: LmConfig) -> Model:
+    counted = gathered.where("kind = 'id'").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary
     counts = np.zeros(pieces.end + 1)
     for r in counted:
         counts[r["id"]] = r["n"]
     vocabulary = Vocabulary(counts, config)
-    chosen = gathered.where("kind = 'window'").select("ids")
-    workers = max(1, chosen.count() // config.worker_windows)
-    dealt = stored(chosen.repartition(workers), "windows")
-    spark, weights = gathered.sparkSession, Network(config).flat
-    for _ in range(config.rounds):
-        shared = spark.sparkContext.broadcast((weights, vocabulary))
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            weights, v = shared.value
-            network = Network(config, weights.copy())
-            sequences = [np.array(s.as_py(), np.int32) for batch in batches for s in batch.column(0)]
-            seen = len(sequences)
-            if seen:
-                ids = np.array([np.append(s, np.zeros(config.context + 1 - len(s), np.int32)) for s in sequences])
-                counts = np.arange(1, config.context + 1) < np.array([len(s) for s in sequences])[:, None]
-                inputs, classes = v.row_of[ids[:, :-1]], v.class_of[np.where(counts, ids[:, 1:], 0)]
-                for _ in range(min(config.passes, max(1, config.worker_windows // seen))):
-                    adam(network, inputs, classes, counts)
-                cut = [network.flat[a:a + CHUNK].astype(np.float64).tolist() for a in range(0, len(network.flat), CHUNK)]
+    spark, weights = training.sparkSession, Network(config).flat
+    given = spark.sparkContext.broadcast((pieces, vocabulary))
+    share = F.pmod(F.xxhash64("text"), F.lit(SHARES))
+    for turn, (low, high) in enumerate(config.rounds):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            own, v = given.value
+            learner = Adam(Network(config, shared.value.copy()), config.rate * (1 + turn) ** -0.5)
+            for some in (s for batch in batches for s in batches_of(batch.column(0))):
+                ids, counts, _ = windows(own.sequences(some), replace(config, stride=config.context))
+                learner.learn(v.row_of[ids[:, :-1]], v.class_of[np.where(counts, ids[:, 1:], 0)], counts)
+            learner.end()
+            if learner.seen:
+                flat = learner.network.flat
+                cut = [flat[a:a + CHUNK].astype(np.float64).tolist() for a in range(0, len(flat), CHUNK)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.list_(pa.float64())), pa.array([float(seen)] * len(cut))], ["chunk", "weights", "seen"]
+                    [pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.list_(pa.float64())), pa.array([float(learner.seen)] * len(cut))],
+                    ["chunk", "weights", "seen"],
                 )
 
-        learned = dealt.mapInArrow(learn, "chunk int, weights array<double>, seen double")
+        chosen = training.where((share >= low) & (share < high)).select("text")
+        learned = chosen.mapInArrow(learn, "chunk int, weights array<double>, seen double")
         mean = learned.groupBy("chunk").agg(Summarizer.mean(array_to_vector("weights"), F.col("seen")).alias("mean"))
         found = sorted(mean.select("chunk", vector_to_array("mean").alias("mean")).collect())  # one network
         if found:
@@ -414,7 +427,8 @@ def score(df: DataFrame, train_on, pieces: list[bytes], key: str = "doc_id", tex
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train_on`` is the condition of a training row."""
     spark = with_workers(df.sparkSession)
     own = Pieces(pieces)
-    gathered = gather(df.where(train_on).select(F.col(text).alias("text")), own, config)
+    training = df.where(train_on).select(F.col(text).alias("text"))
+    gathered = gather(training, own)
     counts = word_counts(gathered)
     texts = gathered.where("kind = 'text'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -426,7 +440,7 @@ def score(df: DataFrame, train_on, pieces: list[bytes], key: str = "doc_id", tex
     frequent = Frequent(
         {bytes(r["word"]): i for i, r in enumerate(common, 1)}, np.log10((np.array([0, *(r["c"] for r in common)]) + 0.5) / below)
     )
-    shared = spark.sparkContext.broadcast((train(gathered, own, config), frequent))
+    shared = spark.sparkContext.broadcast((train(training, gathered, own, config), frequent))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value

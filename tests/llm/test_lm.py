@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -100,6 +101,72 @@ def test_every_target_counts_once(length):
         assert (ids[mine, 1:] - ids[mine, :-1])[counts[mine]].tolist() == [1] * (len(s) - 1)
 
 
+def plain_scores(model, texts):
+    """log10 probabilities: pieces by longest match, windows, attention and classes written again, one id at a time."""
+    own, v, c = model.pieces, model.vocabulary, model.config
+    numbers = {bytes([n]): n for n in range(256)}
+    for length, codes in own.codes.items():
+        numbers |= {code.to_bytes(length, "little"): n for code, n in zip(codes.tolist(), own.numbers[length].tolist(), strict=True) if n >= 0}
+    p = {k: w.astype(np.float64) for k, w in lm.Network(c, model.weights).parts.items()}
+
+    def cut(word):
+        ids, at = [], 0
+        while at < len(word):
+            length = next(n for n in range(lm.LONGEST, 0, -1) if word[at:at + n] in numbers and at + n <= len(word))
+            ids.append(2 * numbers[word[at:at + length]] + (at > 0))
+            at += length
+        return ids
+
+    def class_logs(history):
+        x = [p["ids"][v.row_of[i]] + p["places"][k] for k, i in enumerate(history)]
+        query = x[-1] @ p["keys"]
+        weights = [math.exp(min(30, max(-30, query @ other / math.sqrt(c.width)))) for other in x]
+        mixed = sum(w * other for w, other in zip(weights, x, strict=True)) / sum(weights)
+        hidden = np.maximum(x[-1] @ p["w1"] + mixed @ p["w2"] + p["b"], 0)
+        logits = np.clip(hidden @ p["wc"] + p["bc"], -60, 60)
+        return logits - math.log(sum(math.exp(z) for z in logits))
+
+    out = []
+    for text in texts:
+        ids = [own.start, *(i for word in tokens(text)[:-1] for i in cut(word.encode())), own.end]
+        total = 0.0
+        for target in range(1, len(ids)):
+            window = 0 if target <= c.context else -(-(target - c.context) // c.stride)
+            total += class_logs(ids[window * c.stride:target])[v.class_of[ids[target]]] + v.log_within[ids[target]]
+        out.append(total / math.log(10))
+    return out
+
+
+def test_scores_equal_brute_force(spark, pieces):
+    random = np.random.default_rng(5)
+    words = ["the", "house", "éÉ", "日本語", "antidisestablishmentarianism", "x", "running", "z" * 70, "Garden"]
+    texts = [" ".join(random.choice(words, n)) for n in (1, 4, 9, 10, 25, 60, 200)] + [None, "", " \t", "unseen wordstock"]
+    training = spark.createDataFrame([(t,) for t in texts[:-1]], "text string")
+    config = lm.LmConfig(rounds=((0, lm.SHARES),) * 4, batch=8)
+    own = lm.Pieces(pieces)
+    model = lm.train(training, lm.gather(training, own), own, config)
+    assert not np.array_equal(model.weights, lm.Network(config).flat)
+    assert model.score_all([lm.words_of(t) for t in texts]) == pytest.approx(plain_scores(model, texts), rel=1e-4)
+
+
+def test_every_id_of_every_text_is_trained_on_once(pieces, monkeypatch):
+    """In all rounds together, at any size: rounds share the texts out, and workers leave no window over."""
+    own, config = lm.Pieces(pieces), lm.LmConfig(batch=64)
+    assert sorted(n for low, high in config.rounds for n in range(low, high)) == list(range(lm.SHARES))
+    learner, steps = lm.Adam(lm.Network(config), 0.01), []
+    monkeypatch.setattr(learner, "step", lambda *some: steps.append(some))
+    texts = [f"text {n} " + "of words " * (n % 40) for n in range(200)]
+    targets = 0
+    for at in range(0, 200, 30):
+        sequences = own.sequences([lm.words_of(t) for t in texts[at:at + 30]])
+        ids, counts, _ = lm.windows(sequences, replace(config, stride=config.context))
+        targets += sum(len(s) - 1 for s in sequences)
+        learner.learn(ids[:, :-1], ids[:, 1:], counts)
+    learner.end()
+    assert sum(counts.sum() for _, _, counts in steps) == targets
+    assert all(len(rows) == config.batch for rows, _, _ in steps[:-1]) and sum(len(rows) for rows, _, _ in steps) == learner.seen
+
+
 def test_attention_is_causal_and_a_distribution():
     config = lm.LmConfig(context=6, stride=4, width=8, classes=5, own=10)
     network = lm.Network(config)
@@ -143,5 +210,5 @@ def test_the_network_learns_order(spark, pieces):
     shuffled = [" ".join(random.permutation(t.split())) for t in texts[:20]]
     rows = [(i, t, i >= 20) for i, t in enumerate(texts)] + [(1000 + i, t, False) for i, t in enumerate(shuffled)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    found = {r.doc_id: r.score for r in lm.score(df, F.col("train"), pieces, config=lm.LmConfig(every=2)).collect()}
+    found = {r.doc_id: r.score for r in lm.score(df, F.col("train"), pieces, config=lm.LmConfig(rounds=((0, lm.SHARES),) * 8)).collect()}
     assert all(found[i] > found[1000 + i] + 10 for i in range(20))
