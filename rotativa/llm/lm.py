@@ -161,6 +161,11 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
+def sums(x: np.ndarray) -> np.ndarray:
+    """Over the last axis, which stays; a product with ones is several times faster than a sum of short rows."""
+    return times(x, np.ones((x.shape[-1], 1), x.dtype))
+
+
 class Network:
     """class of the next id = softmax(relu(x W1 + attention(x) W2 + b) Wc + bc); queries and keys share one matrix."""
 
@@ -194,7 +199,7 @@ class Network:
         np.clip(scores, -30, 30, out=scores)
         np.exp(scores, out=scores)
         scores *= self.mask
-        scores /= scores.sum(axis=2, keepdims=True)
+        scores /= sums(scores)
         mixed = scores @ x
         hidden = times(x, p["w1"])
         hidden += times(mixed, p["w2"])
@@ -213,31 +218,35 @@ class Network:
         logits = self.logits(np.take(hidden.reshape(-1, hidden.shape[2]), np.flatnonzero(counts), axis=0))
         chosen = logits[np.arange(len(logits)), classes]
         np.exp(logits, out=logits)
-        return chosen - np.log(logits.sum(axis=1))
+        return chosen - np.log(sums(logits)[:, 0])
 
-    def gradient(self, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of the mean loss over the targets that count."""
+    def gradient(self, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray, out: Network | None = None) -> np.ndarray:
+        """Of the mean loss over the targets that count; written into the weights of ``out``."""
         p, c = self.parts, self.config
         x, query, scores, mixed, hidden = self.forward(rows)
         logits = self.logits(hidden)
-        out = Network(c, np.zeros_like(self.flat))
+        out = out or Network(c, self.flat)
+        out.flat.fill(0)
         g = out.parts
-        logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        logits[np.arange(len(rows))[:, None], np.arange(c.context), classes] -= 1
-        logits *= (counts / max(1, counts.sum())).astype(np.float32)[..., None]
+        share = (counts / max(1, counts.sum())).astype(np.float32)
+        logits *= share[..., None] / sums(logits)
+        logits.reshape(-1)[np.arange(classes.size) * c.classes + classes.reshape(-1)] -= share.reshape(-1)
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g["wc"] += flat(hidden).T @ flat(logits)
-        g["bc"] += flat(logits).sum(axis=0)
-        dh = times(logits, p["wc"].T) * (hidden > 0)
-        g["b"] += flat(dh).sum(axis=0)
+        ones = np.ones(classes.size, np.float32)
+        g["bc"] += ones @ flat(logits)
+        dh = times(logits, p["wc"].T)
+        dh *= hidden > 0
+        g["b"] += ones @ flat(dh)
         g["w1"] += flat(x).T @ flat(dh)
         g["w2"] += flat(mixed).T @ flat(dh)
         dx, dmixed = times(dh, p["w1"].T), times(dh, p["w2"].T)
         dx += scores.transpose(0, 2, 1) @ dmixed
         ds = dmixed @ x.transpose(0, 2, 1)
-        ds = scores * (ds - (ds * scores).sum(axis=2, keepdims=True)) * np.float32(c.width ** -0.5)
+        ds -= sums(ds * scores)
+        ds *= scores
+        ds *= np.float32(c.width ** -0.5)
         dq = ds @ x
         dx += times(dq, p["keys"].T) + ds.transpose(0, 2, 1) @ query
         g["keys"] += flat(x).T @ flat(dq)
@@ -255,14 +264,21 @@ class Adam:
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.steps, self.seen, self.waiting = network, rate, 0, 0, None
         self.first, self.second = np.zeros_like(network.flat), np.zeros_like(network.flat)
+        self.slope = Network(network.config, network.flat)
 
     def step(self, *some: np.ndarray) -> None:
         self.steps += 1
-        t, g = self.steps, self.network.gradient(*some)
-        self.first += 0.1 * (g - self.first)
-        self.second += 0.01 * (g * g - self.second)
+        t, g = self.steps, self.network.gradient(*some, self.slope)
+        self.first *= 0.9
+        self.first += 0.1 * g
+        self.second *= 0.99
+        self.second += 0.01 * np.square(g, out=g)
         rate = self.rate * (1 + t / 500) ** -0.5 * (1 - 0.99 ** t) ** 0.5 / (1 - 0.9 ** t)
-        self.network.flat -= (rate * self.first / (np.sqrt(self.second) + 1e-6)).astype(np.float32)
+        change = np.sqrt(self.second, out=g)
+        change += 1e-6
+        np.divide(self.first, change, out=change)
+        change *= rate
+        self.network.flat -= change
 
     def learn(self, *new: np.ndarray) -> None:
         """rows, classes, counts of windows; taken in mixed order, since neighbours come from one text."""
