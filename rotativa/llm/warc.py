@@ -242,8 +242,8 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    # A task each: archives are read in sequence, many at a time.
-    spread = archives.select("path").repartition(max(1, archives.count()), "path")
+    # A task each, since ranges are as even as paths are different: archives are read in sequence, many at a time.
+    spread = archives.select("path").repartitionByRange(max(1, archives.count()), "path")
     return spread.mapInArrow(read, shape)
 
 

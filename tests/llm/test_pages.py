@@ -7,6 +7,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rotativa.llm import html_text, warc
 from rotativa.llm.queries import QUERIES
@@ -39,6 +40,14 @@ def test_archives_round_trip(spark):
     assert none.count() == 0 and warc.read_archives(none).count() == 0
 
 
+def test_every_archive_has_a_task(spark):
+    df = spark.range(60).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 50) AS html").repartition(4)
+    archives = warc.write_archives(df, warc.archive_folder(spark), roll=1)
+    assert archives.count() == 60
+    read = warc.read_archives(archives, payload=False).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert [r["count"] for r in read] == [1] * 60
+
+
 def packed(*payloads):
     return b"".join(warc.member(warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None)) for i, p in enumerate(payloads))
 
