@@ -3,13 +3,18 @@
 1. Every page is parsed into its element subtrees. Each subtree is hashed by tags, classes, ids and text.
 2. Spark counts on how many different pages of a host each hash stands, equal pages counting once; inside of ``article``
    or ``main``, in how many different articles.
-3. Subtrees that recur on many pages of the host are its template and are deleted from the page. Inside of an article
-   only boxes (containers, and paragraphs with a class or id) can be template, and only those of half the host's
-   different articles: copies of an article and passages that many articles share recur as well, but are text.
-4. What is left is the article: elements that declare another role (navigation, header, footer, aside, form, advert,
-   notice, comments; by tag, role, class or id) go too, since a host with few pages shows no template. Inside of an
-   article a class or id that doesn't name advertising, comments or the like deletes only what holds little but links.
-   Then character references are decoded and white space is folded block by block.
+3. Subtrees that recur on many pages of the host are its template and are deleted from the page; an ``article`` or
+   ``main`` as a whole, if half the host's different pages have it. Inside of an article only boxes (containers, and
+   paragraphs with a class or id) can be template, and only those of half the host's different articles: copies of an
+   article and passages that many articles share recur as well, but are text.
+4. What doesn't recur says where the article is. A declared ``article`` or ``main`` counts as long as the rest of the
+   page holds no more text of its own, text that neither recurs nor stands in an element of another role; otherwise, or
+   without a declaration, the article is the smallest container of all such text, and inside of it only boxes are
+   template. Hosts without templates have nothing but the declaration.
+5. Elements that declare another role (navigation, header, footer, aside, form, advert, notice, comments; by tag, role,
+   class or id) go too, since some of them never recur. Inside of an article a class or id that doesn't name advertising,
+   comments or the like deletes only what holds little but links; elsewhere it spares what holds four fifths of the
+   page's text. Then character references are decoded and white space is folded block by block.
 
 The templates of a host are few: each takes at least ``share`` of its pages, so there are at most
 subtrees-per-page / share of them. They are stored and joined by host; Spark broadcasts them where their file is
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -60,6 +65,7 @@ OWN_NAMES = re.compile(  # of what is never part of an article, wherever it stan
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|cookie\w*|gdpr|comment\w*|disqus|related\w*|recommend\w*)(?:$|[\s_-])", re.I
 )
 BOXES = frozenset("aside details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
+CONTAINERS = BOXES | {"article", "main", "center", "td", "tr", "tbody"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 LINKS = frozenset("a button form label".split())
@@ -71,7 +77,7 @@ UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 class TemplateConfig:
     pages: int = 5  # a template stands on so many different pages of its host
     share: float = 0.05  # and on this share of them
-    article_share: float = 0.5  # inside of articles: in this share of the host's different articles
+    article_share: float = 0.5  # articles as a whole: on this share of the pages; inside: in this share of the different articles
 
 
 @dataclass
@@ -219,14 +225,30 @@ def dropped_inside(node: Node, templates: set[int]) -> bool:
     return 2 * node.linked >= node.chars and bool(node.names and node.tag not in HEADINGS and NAMES.search(node.names))
 
 
-# The last bit of a hash tells elements outside of articles from those inside; the hashes 0 and 1 count pages and articles.
+# The last bits of a hash tell elements outside of articles, elements inside and whole articles apart; the hashes 0 and 1
+# count pages and articles.
+OUTSIDE, INSIDE, WHOLE = range(3)
+
 
 def outside(node: Node) -> int:
-    return node.hash & ~1
+    return node.hash & ~3 | OUTSIDE
 
 
 def inside(node: Node) -> int:
-    return node.hash | 1
+    return node.hash & ~3 | INSIDE
+
+
+def whole(node: Node) -> int:
+    return node.hash & ~3 | WHOLE
+
+
+def recurs(node: Node, templates: set[int]) -> bool:
+    return outside(node) in templates or whole(node) in templates or inside(node) in templates
+
+
+def is_box(node: Node) -> bool:
+    """A container, or a paragraph with a class or id: what may be a template inside of an article."""
+    return node.tag in BOXES or (node.tag in ("p", "address") and bool(node.names))
 
 
 def article_candidates(article: Node) -> set[int]:
@@ -236,7 +258,7 @@ def article_candidates(article: Node) -> set[int]:
         node = waiting.pop()
         if node.tag in NO_TEXT:
             continue
-        if node.chars and (node.tag in BOXES or (node.tag in ("p", "address") and node.names)):
+        if node.chars and is_box(node):
             found.add(inside(node))
         waiting += [c for c in node.children if isinstance(c, Node)]
     return found
@@ -259,10 +281,74 @@ def candidates(root: Node) -> set[int]:
     return found
 
 
+def own_text(node: Node) -> int:
+    """Characters of text that stands in the element itself."""
+    return sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+
+
+def text_beside(root: Node, articles: list[Node], templates: set[int]) -> int:
+    """Characters outside of the articles that neither recur on the host nor stand in an element of another role."""
+    skipped, found, waiting = {id(a) for a in articles}, 0, [root]
+    while waiting:
+        node = waiting.pop()
+        if id(node) in skipped or other_role(node) or node.tag == "header" or recurs(node, templates):
+            continue
+        found += own_text(node)
+        waiting += [c for c in node.children if isinstance(c, Node)]
+    return found
+
+
+def sizes(root: Node, templates: set[int]) -> dict[int, int]:
+    """For each element the characters that don't recur on the host, by id of the element; 0 in elements of another role."""
+    found: dict[int, int] = {}
+    for node in in_post_order(root):
+        own = 0 if never_article(node) or recurs(node, templates) else own_text(node) + sum(found[id(c)] for c in node.children if isinstance(c, Node))
+        found[id(node)] = own
+    return found
+
+
+def dropped_outside(node: Node, all_chars: int, fresh: dict[int, int]) -> bool:
+    """By role, or by a name alone, which spares what holds most of the page's text (four fifths) and isn't made of links."""
+    if never_article(node) or node.tag == "header":
+        return True
+    if not other_role(node):
+        return False
+    return 5 * fresh[id(node)] < 4 * all_chars or 2 * node.linked >= node.chars
+
+
+def container(root: Node, dropped: set[int], fresh: dict[int, int]) -> Node:
+    """The smallest container of all text that doesn't recur, outside of elements that are dropped."""
+    kept: dict[int, int] = {}
+    for node in in_post_order(root):
+        kept[id(node)] = 0 if id(node) in dropped or not fresh[id(node)] else own_text(node) + sum(kept[id(c)] for c in node.children if isinstance(c, Node))
+    at = root
+    while inner := [c for c in at.children if isinstance(c, Node) and c.tag in CONTAINERS and kept[id(c)] and kept[id(c)] == kept[id(at)]]:
+        at = inner[0]
+    return at
+
+
 def main_text(root: Node, templates: set[int]) -> str:
-    """Blocks of the article, or of the page where it declares none, in page order."""
-    articles = article_of(root)
-    kept = {id(n) for n in articles}
+    """Blocks of the article, in page order; of the whole page if nothing tells where the article is."""
+    starts = article_of(root)
+    if starts and not (templates and text_beside(root, starts, templates) > sum(a.chars for a in starts)):
+        def drops(node: Node) -> bool:
+            return dropped_inside(node, templates)
+    else:
+        fresh = sizes(root, templates)
+        dropped = {id(n) for n in in_post_order(root) if dropped_outside(n, fresh[id(root)], fresh)}
+        start = container(root, dropped, fresh)
+        for node in in_post_order(start):
+            if node is not start and recurs(node, templates) and (start is root or is_box(node) or whole(node) in templates):
+                dropped.add(id(node))
+        starts = [start]
+
+        def drops(node: Node) -> bool:
+            return id(node) in dropped
+
+    return "\n\n".join(block for start in starts for block in blocks_of(start, drops))
+
+
+def blocks_of(start: Node, drops: Callable[[Node], bool]) -> list[str]:
     blocks, line = [], []
 
     def end_block() -> None:
@@ -271,23 +357,22 @@ def main_text(root: Node, templates: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    for start in articles or [root]:
-        waiting: list[Node | str | None] = [start]
-        while waiting:
-            node = waiting.pop()
-            if node is None:
+    waiting: list[Node | str | None] = [start]
+    while waiting:
+        node = waiting.pop()
+        if node is None:
+            end_block()
+        elif isinstance(node, str):
+            line.append(node)
+        elif node.tag in ("br", "wbr"):
+            line.append(" " if node.tag == "br" else "")
+        elif node is start or not drops(node):
+            if node.tag in BLOCKS:
                 end_block()
-            elif isinstance(node, str):
-                line.append(node)
-            elif node.tag in ("br", "wbr"):
-                line.append(" " if node.tag == "br" else "")
-            elif id(node) in kept or not (dropped_inside(node, templates) if articles else other_role(node) or node.tag == "header" or outside(node) in templates):
-                if node.tag in BLOCKS:
-                    end_block()
-                    waiting.append(None)
-                waiting += reversed(node.children)
-        end_block()
-    return "\n\n".join(blocks)
+                waiting.append(None)
+            waiting += reversed(node.children)
+    end_block()
+    return blocks
 
 
 def host_of(url: Column) -> Column:
@@ -303,21 +388,22 @@ def templates(pages: DataFrame, config: TemplateConfig = TemplateConfig()) -> Da
             hosts, page, hashes = [], [], []
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
                 root = parse(html.as_py())
-                own = candidates(root) | {0}  # 0 counts the pages
-                for whole, found in [(root, own), *((a, article_candidates(a) | {1}) for a in article_of(root))]:
+                articles = article_of(root)
+                own = candidates(root) | {whole(a) for a in articles if a.chars} | {0}  # 0 counts the pages
+                for unit, found in [(root, own), *((a, article_candidates(a) | {1}) for a in articles)]:
                     hosts += [host.as_py()] * len(found)
-                    page += [whole.hash] * len(found)
+                    page += [unit.hash] * len(found)
                     hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
 
     html = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     different = html.mapInArrow(subtrees, "host string, page long, hash long").groupBy("host", "hash", "page").agg(F.lit(1).alias("one"))
     counts = stored(different.groupBy("host", "hash").agg(F.count("one").alias("pages")).where(F.col("pages") >= config.pages), "subtrees")
-    kind = F.col("hash").bitwiseAND(F.lit(1))
-    per_host = counts.where("hash in (0, 1)").select("host", kind.alias("kind"), F.col("pages").alias("all"))
-    share = F.when(F.col("kind") == 0, config.share).otherwise(config.article_share)
+    of = F.col("hash").bitwiseAND(F.lit(INSIDE))  # whole articles are counted in pages too
+    per_host = counts.where("hash in (0, 1)").select("host", of.alias("of"), F.col("pages").alias("all"))
+    share = F.when(F.col("hash").bitwiseAND(F.lit(3)) == OUTSIDE, config.share).otherwise(config.article_share)
     recurring = (
-        counts.where("hash not in (0, 1)").withColumn("kind", kind).join(per_host, ["host", "kind"]).where(F.col("pages") >= F.col("all") * share)
+        counts.where("hash not in (0, 1)").withColumn("of", of).join(per_host, ["host", "of"]).where(F.col("pages") >= F.col("all") * share)
         .groupBy("host").agg(F.collect_set("hash").alias("templates"))
     )
     return stored(recurring, "templates")

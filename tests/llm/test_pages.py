@@ -139,6 +139,70 @@ def test_templates_inside_of_articles(spark):
     assert [found[200 + i] for i in range(20)] == [f"law {i}" for i in range(20)]
 
 
+def disagreeing_pages(i):
+    """(host, page, text) of pages on which what recurs and what is declared differ; the text is that without the template."""
+    bar, story = "<div class=top><a href=/>Home</a> <a href=/n>News</a></div>", f"<h2>Head {i}</h2><p>story {i} " + f"of {i} days and nights " * 5 + "</p>"
+    told = f"Head {i}\n\n" + " ".join(f"story {i} {f'of {i} days and nights ' * 5}".split())
+    passage = "<p>said by many</p>" if i < 8 else ""
+    more = "\n\nsaid by many" if i < 8 else ""
+    return [
+        # teasers are declared as articles and recur; the story is declared by nothing
+        ("teaser.com", f"{bar}<article class=card>Read our best</article><article class=card>Read all</article><div class=c9>{story}{passage}</div>", told + more),
+        # main holds the sign, the story stands beside it
+        ("sign.com", f"<main><p>Members only</p></main><div class=c9>{story}</div><div class=z>Our town</div>", told),
+        # a name that would delete the wrapper of everything
+        ("wrap.com", f"{bar}<div class='layout has-sidebar'>{story}{passage}</div><div class=z>Our town</div>", told + more),
+        # one teaser differs from page to page and is smaller than the story
+        ("differs.com", f"{bar}<article class=card>Next: {i + 1}</article><div class=c9>{story}</div>", f"Next: {i + 1}\n\n{told}"),
+        # the declaration holds
+        ("right.com", f"{bar}<article>{story}{passage}</article><div class=views>{i} views</div>", told + more),
+        # copies of one article, declared, among changing counters
+        ("copies.com", f"{bar}<article><p>One text of all pages</p></article><div class=views>{i} views</div>", "One text of all pages"),
+    ]
+
+
+def test_recurrence_decides_against_declarations(spark):
+    rows, texts = [], {}
+    for i in range(20):
+        for k, (host, page, text) in enumerate(disagreeing_pages(i)):
+            rows.append((100 * k + i, f"http://{host}/{i}", page))
+            texts[100 * k + i] = text
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert found == texts
+    declared = {i: html_text.main_text(html_text.parse(page), set()) for i, _, page in rows}
+    assert [sum(declared[100 * k + i] != texts[100 * k + i] for i in range(20)) for k in range(6)] == [20, 20, 20, 20, 0, 0]
+
+
+def counted_by_hand(pages, config):
+    """The templates of one host, from sets of pages and articles in plain Python."""
+    on_pages, in_articles, all_pages, all_articles = {}, {}, set(), set()
+    for root in map(html_text.parse, pages):
+        all_pages.add(root.hash)
+        for h in html_text.candidates(root) | {html_text.whole(a) for a in html_text.article_of(root)}:
+            on_pages.setdefault(h, set()).add(root.hash)
+        for article in html_text.article_of(root):
+            all_articles.add(article.hash)
+            for h in html_text.article_candidates(article):
+                in_articles.setdefault(h, set()).add(article.hash)
+    found = set()
+    for h, seen in [*on_pages.items(), *in_articles.items()]:
+        kind = h & 3
+        total, share = {0: (all_pages, config.share), 1: (all_articles, config.article_share), 2: (all_pages, config.article_share)}[kind]
+        if len(seen) >= config.pages and len(seen) >= share * len(total):
+            found.add(h)
+    return found
+
+
+def test_templates_equal_counts_by_hand(spark):
+    pages = [("h.com", page) for i in range(30) for _, page, _ in disagreeing_pages(i % 23)]
+    pages += [(r.url.split("/")[2], r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    df = spark.createDataFrame([(f"http://{host}/", page) for host, page in pages], "url string, html string").repartition(5)
+    config = html_text.TemplateConfig(pages=3)
+    found = {r.host: set(r.templates) for r in html_text.templates(df, config).collect()}
+    by_hand = {host: counted_by_hand([p for h, p in pages if h == host], config) for host in {h for h, _ in pages}}
+    assert found == {host: t for host, t in by_hand.items() if t}
+
+
 def test_page_text_query(spark):
     """The generated pages have one article of h1 and p: read here by patterns."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
