@@ -23,7 +23,8 @@ NO_TAG = "X"
 MAX_DEPTH = 200
 DOUBLINGS = 8  # 2**8 > MAX_DEPTH
 
-# Sentences whose token ids lie from 0 to below this are solved as arrays in one row, others by joins: the same depths.
+# Sentences whose token ids lie from 0 to below this are solved as arrays in one row, others in chunks of as many ids,
+# between which joins lead: the same depths.
 ARRAY_TOKENS = 20_000
 
 FORMAL = ("NOUN", "PROPN", "ADJ", "ADP", "DET")
@@ -151,11 +152,19 @@ def _depths(links):
     Rounds end when no depth changes. Without gaps and copies an id is its place, so that a sentence takes time in
     proportion to its tokens; otherwise heads are found by halving the sorted ids.
     """
-    return _let(F.struct(links.alias("t"), F.transform(links, _token_id).alias("ids")), lambda s: _let(_places(s), lambda p: _doubled(s, p)))
+    def solved(s, places):
+        return F.zip_with(s["t"], _walked(places)["d"], lambda link, d: F.struct(
+            _token_id(link).alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"), d.alias("depth")
+        ))
+
+    return _let(
+        F.struct(links.alias("t"), F.transform(links, _token_id).alias("ids")),
+        lambda s: _let(_places(s, lambda link: F.shiftright(link.bitwiseAND((1 << ID_BITS) - 1), HEAD_BITS) - FIRST_HEAD), lambda p: solved(s, p)),
+    )
 
 
-def _places(s):
-    """For each token the place of its head, or its own if it is a root."""
+def _places(s, head_of):
+    """For each token the place of its head, or its own if it is a root or its head lies elsewhere."""
     ids = s["ids"]
     size = F.size(ids)
     dense = (F.get(ids, F.lit(0)) == 0) & (F.element_at(ids, -1) == size - 1) & (F.size(F.array_distinct(ids)) == size)
@@ -172,9 +181,9 @@ def _places(s):
 
     def look_up(rounds):  # null where ids are places
         def place(link, i):
-            head = F.shiftright(link.bitwiseAND((1 << ID_BITS) - 1), HEAD_BITS) - FIRST_HEAD
-            at = F.when(rounds.isNull(), F.when((head >= 0) & (head < size), head)).otherwise(first_place(head, rounds))
-            return F.when((head == _token_id(link)) | at.isNull(), i).otherwise(at)
+            head = head_of(link)
+            at = F.when(rounds.isNull(), F.when((head >= 0) & (head < size), head.cast("int"))).otherwise(first_place(head, rounds))
+            return F.when((head == F.get(ids, i)) | at.isNull(), i).otherwise(at)
 
         return F.transform(s["t"], place)
 
@@ -182,7 +191,8 @@ def _places(s):
     return F.when(size == 0, F.array().cast("array<int>")).otherwise(_let(halvings, look_up))
 
 
-def _doubled(s, places):
+def _walked(places):
+    """``d``, the steps of each token to its root, and ``p``, the place of that root where ``d`` is below the most."""
     def double(acc, _):
         def moved(d):
             return F.struct(
@@ -195,10 +205,7 @@ def _doubled(s, places):
     start = F.struct(
         F.transform(places, lambda p, i: F.when(p == i, 0).otherwise(1)).alias("d"), places.alias("p"), F.lit(True).alias("open")
     )
-    depths = F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, double, lambda acc: acc["d"])
-    return F.zip_with(s["t"], depths, lambda link, d: F.struct(
-        _token_id(link).alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"), d.alias("depth")
-    ))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, double)
 
 
 def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame | None:
@@ -208,49 +215,104 @@ def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> Dat
         return None
     long = beyond.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return _joined_depths(stored(links.join(long, same, "left_semi"), "long-sentences"), keys)
+    return _chunked_depths(links.join(long, same, "left_semi"), keys, array_tokens)
+
+
+# A token of a chunk in 63 bits: its id within the chunk, its head (0: missing), whether it is a space.
+CHUNK_HEAD_BITS, FIRST_CHUNK_HEAD = 33, (1 << 31) + 1
+
+
+def _chunk_links(array_tokens: int):
+    head = F.coalesce(F.col("head_id").cast("int").cast("long") + FIRST_CHUNK_HEAD, F.lit(0).cast("long"))
+    within = F.pmod(F.col("tok_id").cast("long"), F.lit(array_tokens))
+    packed = F.shiftleft(within, CHUNK_HEAD_BITS + 1) + F.shiftleft(head, 1) + F.coalesce("is_space", F.lit(True)).cast("long")
+    return F.sort_array(F.collect_list(packed))
 
 
-def _joined_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """The same doubling, one join per round, for sentences no single task should hold.
+def _chunk_depths(links, chunk, array_tokens: int):
+    """(tok_id, is_space, first, depth, out) of each token: the steps within the chunk, and the head in another chunk to
+    which the last of them leads, if any. Of tokens that share an id the first counts as a head."""
+    base = chunk * array_tokens
+
+    def head_of(link):
+        code = F.shiftright(link, 1).bitwiseAND((1 << CHUNK_HEAD_BITS) - 1)
+        return F.when(code > 0, code - FIRST_CHUNK_HEAD)
+
+    def walked(s, w):
+        def token(link, i):
+            head = head_of(F.get(s["t"], F.get(w["p"], i)))
+            out = (F.get(w["d"], i) < MAX_DEPTH) & ((head < base) | (head >= base + array_tokens))
+            return F.struct(
+                (base + F.get(s["ids"], i)).cast("int").alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"),
+                ((i == 0) | (F.get(s["ids"], i - 1) != F.get(s["ids"], i))).alias("first"),
+                F.get(w["d"], i).alias("depth"), F.when(out, head.cast("int")).alias("out"),
+            )
+
+        return F.transform(s["t"], token)
 
-    Tokens that reached their root leave the join, and rounds end when none is left. Many tokens under one head make a
-    hot key: hence the salted join. Each round is written, as it is read twice.
+    ids = F.transform(links, lambda link: F.shiftright(link, CHUNK_HEAD_BITS + 1).cast("int"))
+    return _let(F.struct(links.alias("t"), ids.alias("ids")), lambda s: _let(
+        _places(s, lambda link: head_of(link) - base), lambda p: _let(_walked(p), lambda w: walked(s, w))
+    ))
+
+
+def _chunked_depths(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame:
+    """Depths in sentences of any length, of which no row holds more than a chunk of ids.
+
+    Chunks are solved as arrays. Of a walk that leaves its chunk only the head it leads to is looked up, and only such
+    heads, one row for each, are followed from chunk to chunk by joins.
     """
-    sentence = F.hash(*keys), F.xxhash64(*keys)  # so that null keys meet as well
-    nodes = tokens.select(*keys, sentence[0].alias("_k"), sentence[1].alias("_h"), "tok_id", "is_space", F.col("head_id").cast("int").alias("up"))
+    size = max(array_tokens, 1)
+    chunk = F.floor(F.col("tok_id") / size)
+    chunks = links.filter(F.col("tok_id").isNotNull()).groupBy(*keys, chunk.alias("_c")).agg(_chunk_links(size).alias("_s"))
+    tokens = stored(chunks.select(*keys, F.inline(_chunk_depths(F.col("_s"), F.col("_c"), size))), "chunks")
+    sentence = [F.hash(*keys).alias("_k"), F.xxhash64(*keys).alias("_h")]  # so that null keys meet as well
+    columns = [*keys, "tok_id", "is_space", "depth"]
+    away = tokens.filter(F.col("out").isNotNull())
+    wanted = stored(away.select(*sentence, F.col("out").alias("up")).distinct(), "heads")
+    if wanted.isEmpty():
+        return tokens.select(*columns)
     on = ["_k", "_h", "up"]
-    heads = nodes.select("_k", "_h", F.col("tok_id").alias("up"), F.lit(True).alias("found")).distinct()
-    linked = salted_join(nodes, heads, on, "left", ["tok_id"])
-    root = (F.col("up") == F.col("tok_id")) | F.col("found").isNull()
+    firsts = tokens.filter("first").select(*sentence, F.col("tok_id").alias("up"), "out", "depth")
+    met = _resolved(stored(firsts.join(wanted, on, "left_semi"), "entries"))
+    found = salted_join(away.select(*columns, *sentence, F.col("out").alias("up")), met.withColumnRenamed("depth", "more"), on, "left", ["tok_id"])
+    further = F.least(F.col("depth") + F.coalesce(F.col("more") + 1, F.lit(0)), F.lit(MAX_DEPTH)).alias("depth")
+    return tokens.filter(F.col("out").isNull()).select(*columns).unionByName(found.select(*keys, "tok_id", "is_space", further))
+
+
+def _resolved(heads: DataFrame) -> DataFrame:
+    """(_k, _h, up, depth): the depths of heads ``up``, by the same doubling, one join per round.
+
+    ``heads`` has one row for each with the steps up to ``out``, the next head, which may be missing. Heads that reached their root
+    leave the join, and rounds end when none is left. Many heads under one make a hot key: hence the salted join. Each
+    round is written, as it is read twice.
+    """
+    on = ["_k", "_h", "next"]
+    known = heads.select("_k", "_h", F.col("up").alias("next"), F.lit(True).alias("known"))
+    linked = salted_join(heads.withColumnRenamed("out", "next"), known, on, "left", ["up"])
+    there = F.col("known").isNotNull()
     nodes = stored(linked.select(
-        *keys, "_k", "_h", "tok_id", "is_space", "up", F.col("up").alias("head"), F.when(root, 0).otherwise(1).alias("depth"),
-        root.alias("done"),
+        "_k", "_h", "up", F.when(there, F.col("next")).alias("next"), F.least(F.col("depth") + there.cast("int"), F.lit(MAX_DEPTH)).alias("depth"),
     ), "depths")
     for _ in range(DOUBLINGS):
-        open_ = nodes.filter(~F.col("done"))
+        open_ = nodes.filter(F.col("next").isNotNull())
         if open_.isEmpty():
             break
-        first = nodes.groupBy("_k", "_h", F.col("tok_id").alias("up")).agg(F.min(F.struct(
-            F.coalesce("head", F.lit(-(2**31))).alias("head"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top")
-        )).alias("a"))
-        moved = salted_join(open_, first, on, "inner", ["tok_id"]).select(
-            *keys, "_k", "_h", "tok_id", "is_space", F.col("a.next").alias("up"), "head",
-            F.least(F.col("depth") + F.col("a.more"), F.lit(MAX_DEPTH)).alias("depth"), F.col("a.top").alias("done"),
-        )
-        nodes = stored(nodes.filter("done").unionByName(moved), "depths")
-    return nodes.select(*keys, "tok_id", "is_space", "depth")
+        to = nodes.select("_k", "_h", F.col("up").alias("next"), F.col("next").alias("then"), F.col("depth").alias("more"))
+        moved = salted_join(open_, to, on, "inner", ["up"]).withColumn("depth", F.least(F.col("depth") + F.col("more"), F.lit(MAX_DEPTH)))
+        further = moved.select("_k", "_h", "up", F.when(F.col("depth") < MAX_DEPTH, F.col("then")).alias("next"), "depth")
+        nodes = stored(nodes.filter(F.col("next").isNull()).unionByName(further), "depths")
+    return nodes.select("_k", "_h", "up", "depth")
 
 
 def dep_depth(tokens: DataFrame, id_col: str = ID, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
     """Depth of every token that is no space: steps to the root, at most 200."""
     keys = [id_col, "sent_id"]
     links = require_columns(tokens, [id_col, *COLUMNS]).select(*keys, "tok_id", "head_id", "is_space")
-    sentences = links.groupBy(*keys).agg(_links(array_tokens).alias("_s"), _beyond(array_tokens).alias("_far"))
-    depths = sentences.filter(~F.col("_far")).select(*keys, F.inline(_depths(F.col("_s"))))
-    long = _long_sentences(links, keys, array_tokens)
-    if long is not None:
-        depths = depths.unionByName(long)
+    if links.filter(_outside(array_tokens)).isEmpty():
+        depths = links.groupBy(*keys).agg(_links(array_tokens).alias("_s")).select(*keys, F.inline(_depths(F.col("_s"))))
+    else:  # the short sentences are chunks like any other: nothing has to be read again to part them from the long ones
+        depths = _chunked_depths(links, keys, array_tokens)
     return depths.filter(~F.col("is_space")).drop("is_space")
 
 

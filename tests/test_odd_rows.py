@@ -55,6 +55,26 @@ def test_depth_is_the_same_on_every_path(spark, array_tokens):
         assert stats[key].n_sents == sum(i == key for i, _ in SENTENCES)
 
 
+def test_long_sentences_are_written_once(spark, monkeypatch):
+    """Chunks of ids between which walks lead: every token is stored once, not once a round of joins."""
+    rng, sizes, stored = random.Random(5), [], ann.stored
+    heads = {t: rng.choice([None, t, t + 40, -7, 10**6]) if t % 29 == 3 else max(t - rng.choice([1, 1, 2, 9]), 0) for t in range(-30, 600)}
+    rows = [(1, 0, t, "w", "X", h, False, True) for t, h in heads.items()]
+    rows += [(1, 0, t, "w", "X", h + 1, False, True) for t, h in heads.items() if t % 4 == 0 and h is not None]  # copies
+
+    def counted(df, name):
+        kept = stored(df, name)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(ann, "stored", counted)
+    tokens = spark.createDataFrame(rows, TOKENS).repartition(3).cache()
+    found = ann.dep_depth(tokens, array_tokens=100).collect()
+    assert sum(sizes) < 2 * len(rows) and len(found) == len(rows)
+    firsts = {(r.tok_id, r.depth) for r in found}
+    assert {(t, walked(heads, t)) for t in heads} <= firsts
+
+
 @pytest.mark.parametrize("case", ["dense", "gaps", "copies"])
 def test_depth_of_a_long_sentence(spark, case):
     """8,000 tokens in one sentence, with heads missing and out of the sentence."""
