@@ -138,13 +138,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
 # Copies and near copies of whole documents, by similarity of word shingles.
 
+SIZE, RADIUS = 3, 3  # fingerprints: words of a shingle, differing bits
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 20, 5
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK_SHINGLES = 500_000  # of a bucket's part whose pairs one task compares
 BLOCK = 512  # shingles at a time, so that their products stay in the cache
-SKETCH = "key binary, shingles int, bands array<bigint>"
+SKETCH = "key binary, fp long, shingles int, bands array<bigint>"
 
 
 def bands(shingles: np.ndarray) -> list[int]:
@@ -167,18 +168,29 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def sketch(text: str) -> tuple[bytes, int, list[int]]:
-    """(digest of the words, number of different shingles, keys of their bands)."""
+def sketch(text: str) -> tuple[bytes, int, int, list[int]]:
+    """(digest of the words, fingerprint, number of different shingles, keys of their bands)."""
     from hashlib import blake2b
 
     words, shingles = text.encode("utf-8", "surrogatepass").lower().split(), shingle_set(text)
-    return blake2b(b" ".join(words), digest_size=16).digest(), len(shingles), bands(shingles)
+    return blake2b(b" ".join(words), digest_size=16).digest(), fingerprint(shingle_hashes(text, SIZE)), len(shingles), bands(shingles)
+
+
+def fingerprint_groups(classes: DataFrame) -> DataFrame:
+    """(class_id, shingles, bucket): classes whose fingerprints the balls connect, of equal ones too; the bucket is the
+    group's root. Groups of one class are left out."""
+    fps = stored(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")), "fps")
+    roots = components(links(fps.select("fp"), 64, RADIUS))
+    stars = roots.union(roots.select("root", "root").distinct())  # a root is no node of its own
+    named = fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").where(F.col("root").isNotNull() | (F.col("rows") > 1))
+    groups = small_side(named.select("fp", F.coalesce("root", "fp").alias("bucket")), "groups")
+    return classes.join(groups, "fp").select("class_id", "shingles", "bucket")
 
 
 def candidates(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the buckets of classes that share a band, and in each the class with the smallest id beside every
-    other one whose number of shingles allows the similarity."""
-    placed = classes.select("class_id", "shingles", F.explode("bands").alias("bucket"))
+    """(members, pairs): the buckets of classes whose fingerprints are connected or that share a band, and in each the class
+    with the smallest id beside every other one whose number of shingles allows the similarity."""
+    placed = fingerprint_groups(classes).unionByName(classes.select("class_id", "shingles", F.explode("bands").alias("bucket")))
     shared = stored(
         placed.groupBy("bucket").agg(
             F.min(F.struct("class_id", "shingles")).alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size"),
@@ -284,7 +296,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without copies and near copies: one row of each group stays.
 
     Texts with the same words are copies. Near copies are linked where their sets of five-word shingles have a Jaccard
-    similarity of at least ``similarity``: bands of smallest hashes propose the pairs, the sets decide. Of a connected
+    similarity of at least ``similarity``. Fingerprints connected by the balls propose pairs; as 0.8 can lie further apart
+    than their radius, bands of smallest hashes propose more; the sets decide. Of a connected
     group the smallest id stays, null ids last, the smaller text hash on ties; of rows that repeat id and
     text, one. Null texts and texts without words are copies of the empty text.
     """
@@ -292,17 +305,18 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     @F.arrow_udf(SKETCH)
     def sketches(texts: pa.Array) -> pa.Array:
-        keys, sizes, found = zip(*[sketch(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), ())
+        keys, fps, sizes, found = zip(*[sketch(t.as_py() or "") for t in texts], strict=True) if len(texts) else ((), (), (), ())
         return pa.StructArray.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles", "bands"]
+            [pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+            ["key", "fp", "shingles", "bands"],
         )
 
     text_hash = F.xxhash64("text")
     sketched = docs.select("doc_id", text_hash.alias("text_hash"), sketches.asNondeterministic()("text").alias("s"))
-    rows = stored(sketched.select("doc_id", "text_hash", "s.key", "s.shingles", "s.bands"), "sketches")
+    rows = stored(sketched.select("doc_id", "text_hash", "s.key", "s.fp", "s.shingles", "s.bands"), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("own")
     classes = stored(
-        rows.groupBy("key").agg(F.min(own).alias("own"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+        rows.groupBy("key").agg(F.min(own).alias("own"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
         .withColumn("class_id", F.monotonically_increasing_id()), "classes",
     )
     named = classes.select("class_id", F.struct("own.no_id", "own.doc_id", "own.text_hash", "class_id").alias("name"))

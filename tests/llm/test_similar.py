@@ -394,3 +394,12 @@ def test_recall_of_edited_items(spark):
     ).collect()
     hit = {(r.doc_id, r.item_id) for r in found}
     assert len(hit & want) >= 0.9 * len(want) and hit <= want
+
+
+def test_fingerprints_propose_pairs(spark):
+    """Classes whose fingerprints the balls connect share a bucket, without any band."""
+    rows = [(0, 0b1011, 40, []), (1, 0b0000, 40, []), (2, 0b0111 << 40, 40, []), (3, -1, 40, []), (4, -1, 40, []), (5, 0b111111 << 20, 40, [])]
+    classes = spark.createDataFrame(rows, "class_id long, fp long, shingles int, bands array<bigint>")
+    members, pairs = simhash.candidates(classes, 0.8)
+    assert {tuple(r) for r in pairs.collect()} == {(0, 1), (0, 2), (3, 4)}
+    assert sorted(r.class_id for r in members.collect()) == [0, 1, 2, 3, 4]
