@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,33 +67,53 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     chosen = sample(rows, "key", "lang", config.rows_per_language)
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counts = chosen.select("lang", F.explode(letters).alias("word")).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return fit(counts.collect(), config)  # bounded by the sample
+    return fit(counts.toArrow(), config)  # bounded by the sample
 
 
-def fit(counts: list[Row], config: LangIdConfig) -> Model:
-    languages = sorted({r["lang"] for r in counts})
-    place = {x: i for i, x in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    grams: dict[str, np.ndarray] = {}
-    for r in counts:
-        words.setdefault(r["word"], np.zeros(len(languages)))[place[r["lang"]]] += r["n"]
-        for gram in (g for n in range(1, config.longest + 1) for g in cut(r["word"], n)):
-            grams.setdefault(gram, np.zeros(len(languages)))[place[r["lang"]]] += r["n"]
-    known = {w: c for w, c in words.items() if c.sum() >= config.least_count}
+class Tally:
+    """Counts of strings by language: a place for each string in one flat array, so that no string has an array of its own."""
+
+    def __init__(self, languages: int):
+        self.places: dict[str, int] = {}
+        self.zeros = [0.0] * languages
+        self.flat = array("d")
+
+    def add(self, key: str, language: int, n: int) -> None:
+        at = self.places.setdefault(key, len(self.flat))
+        if at == len(self.flat):
+            self.flat.extend(self.zeros)
+        self.flat[at + language] += n
 
+    def counts(self) -> np.ndarray:
+        return np.array(self.flat).reshape(-1, max(1, len(self.zeros)))
+
+
+def fit(counts: pa.Table, config: LangIdConfig) -> Model:
+    languages = sorted(counts["lang"].unique().to_pylist())
+    place = {x: i for i, x in enumerate(languages)}
+    words = Tally(len(languages))
+    grams = [Tally(len(languages)) for _ in range(config.longest)]
+    for batch in counts.to_batches(max_chunksize=10_000):
+        for word, lang, count in zip(*(batch[name].to_pylist() for name in ("word", "lang", "n")), strict=True):
+            words.add(word, place[lang], count)
+            for n, tally in enumerate(grams, 1):
+                for gram in cut(word, n):
+                    tally.add(gram, place[lang], count)
     rows: list[np.ndarray] = []
 
-    def logs(table: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, int]:
-        first = len(rows)
-        rows.extend(np.log((c + config.smoothing) / (totals + config.smoothing * (len(table) + 1))) for c in table.values())
-        return dict(zip(table, range(first, len(rows)), strict=True))
+    def logs(table: Tally, least: float = 0.0) -> dict[str, int]:
+        cells = table.counts()
+        kept = cells.sum(axis=1) >= least
+        first, places = sum(map(len, rows)), np.cumsum(kept) - 1
+        rows.append(np.log((cells[kept] + config.smoothing) / (cells.sum(axis=0) + config.smoothing * (kept.sum() + 1))))
+        return {key: first + int(places[i]) for i, key in enumerate(table.places) if kept[i]}
 
-    by_word = logs(known, sum(words.values(), np.zeros(len(languages))))
+    by_word = logs(words, config.least_count)
     by_length: dict[str, int] = {}
-    for n in range(1, config.longest + 1):
-        of_n = {g: c for g, c in grams.items() if len(g) == n}
-        by_length |= logs(of_n, sum(of_n.values(), np.zeros(len(languages))))
-    return Model(languages, by_word, by_length, np.array(rows).reshape(len(rows), len(languages)), config.longest)
+    for tally in grams:
+        by_length |= logs(tally)
+        tally.places = {}
+    return Model(languages, by_word, by_length, np.concatenate(rows), config.longest)
 
 
 def cut(word: str, n: int) -> list[str]:
