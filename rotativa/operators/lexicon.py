@@ -15,18 +15,17 @@ from .corpus import ID
 from .skew import BROADCAST_ROWS, is_small, salted_join
 
 PER_BILLION = 1e9
+HOT_WORDS = 1_000  # the most frequent words of a lexicon that is shuffled: they make up most of a text and need no shuffle
 
 
 def zipf_lexicon(df: DataFrame, text: str) -> DataFrame:
     """``word, n, zipf`` where zipf is log10 of occurrences per billion words.
 
-    Words are counted map-side before the shuffle. The total is a scalar subquery over the same counts, so Spark
-    reuses their exchange rather than counting twice.
+    Words are counted map-side before the shuffle, and set in lower case after they are told apart, outside of a lambda. The
+    total is a scalar subquery over the same counts, so Spark reuses their exchange rather than counting twice.
     """
-    counts = (
-        df.select(F.explode(tokens.lower_words(normalize_text(F.col(text)))).alias("word"))
-        .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
+    words = df.select(F.explode(tokens.words(normalize_text(F.col(text)))).alias("word"))
+    counts = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").cast("double")).scalar()
     return counts.select("word", "n", F.log10(F.col("n") / total * F.lit(PER_BILLION)).alias("zipf"))
 
@@ -38,40 +37,59 @@ def is_rare(word: Column, zipf: Column, below: float) -> Column:
 
 def rare_share(
     words: DataFrame, lexicon: DataFrame, below: float, keys: Sequence[str], word: str,
-    broadcast_rows: int = BROADCAST_ROWS, language: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS, language: str | None = None, marks: Sequence[str] = (),
 ) -> DataFrame:
     """``keys, n_words, n_rare, error_rate`` from one row per word occurrence (a null word stands for a text without).
+    ``marks`` are numbers to be added up beside them. The words are read more than once: keys have to be the same each time.
 
     Only frequent words of the lexicon can change the outcome, so only those are joined; they are stored, so that the
-    lexicon runs once. A lexicon too big to broadcast meets words that are counted per text first. With ``language``
+    lexicon runs once. Of a lexicon too big to broadcast the ``HOT_WORDS`` most frequent are, all other words of letters
+    are shuffled once, by word, and those found are taken from the rare ones. With ``language``
     the lexicon has a column of that name, and a word counts in the language of its text.
     """
     of_language = [language] if language else []
     on = [word, *of_language]
     listed = lexicon.filter(F.col("zipf") >= F.lit(float(below))).select(F.col("word").alias(word), *of_language, "zipf")
     known = stored(listed, "lexicon")
-    per_word = words.select(*keys, *on, F.lit(1).cast("long").alias("_n"))
+    per_word = words.select(*keys, *on, *marks, F.lit(1).cast("long").alias("_n"))
+    w = F.col(word)
     if is_small(known, broadcast_rows):
         joined = per_word.join(F.broadcast(known), on, "left")
+        counted = joined.select(
+            *keys, *marks, F.when(w.isNotNull(), F.col("_n")).alias("_words"), F.when(is_rare(w, F.col("zipf"), below), F.col("_n")).alias("_rare")
+        )
     else:
-        per_word = per_word.groupBy(*keys, *on).agg(F.sum("_n").alias("_n"))
-        joined = salted_join(per_word, known, on, "left", list(keys))
-    w = F.col(word)
-    n_words = F.coalesce(F.sum(F.when(w.isNotNull(), F.col("_n"))), F.lit(0))
-    n_rare = F.coalesce(F.sum(F.when(is_rare(w, F.col("zipf"), below), F.col("_n"))), F.lit(0))
-    return (
-        joined.groupBy(*keys).agg(n_words.alias("n_words"), n_rare.alias("n_rare"))
-        .withColumn("error_rate", ratio(F.col("n_rare"), F.col("n_words")))
-    )
+        hot = F.broadcast(stored(known.orderBy(F.desc("zipf"), *on).limit(HOT_WORDS).select(*on, "zipf"), "hot-words"))
+        open_ = is_rare(w, F.col("zipf"), below)
+        first = per_word.join(hot, on, "left").select(
+            *keys, *marks, F.when(w.isNotNull(), F.col("_n")).alias("_words"), F.when(open_, F.col("_n")).alias("_rare")
+        )
+        cold = per_word.drop(*marks).filter(is_rare(w, F.lit(None).cast("double"), below)).join(hot.select(*on), on, "left_anti")
+        found = salted_join(cold, known.select(*on).hint("shuffle_hash"), on, "inner", list(keys))
+        nothing = [F.lit(0).cast("long").alias(name) for name in (*marks, "_words")]
+        counted = first.unionByName(found.select(*keys, *nothing, (-F.col("_n")).alias("_rare")))
+    sums = [F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(f"n_{name}") for name in ("words", "rare")] + [F.sum(name).alias(name) for name in marks]
+    return counted.groupBy(*keys).agg(*sums).withColumn("error_rate", ratio(F.col("n_rare"), F.col("n_words")))
 
 
 def oov_rate(
     df: DataFrame, text: str, lexicon: DataFrame, below: float = 1.5, id_col: str = ID,
     broadcast_rows: int = BROADCAST_ROWS, language: str | None = None,
 ) -> DataFrame:
-    """``id, n_words, n_rare, error_rate`` of every row; repeated and null ids keep their own rates."""
-    words = exploded_words(df.withColumn("_row", F.monotonically_increasing_id()), text, [id_col, "_row"], language)
-    return rare_share(words, lexicon, below, [id_col, "_row"], "_word", broadcast_rows, language).drop("_row")
+    """``id, n_words, n_rare, error_rate`` of every row; repeated and null ids keep their own rates.
+
+    Rows that share id, text and language are counted together and come back as many.
+    """
+    keyed = df.withColumn("_text", text_key(text))
+    if language:
+        keyed = keyed.withColumn("_of", F.col(language))
+    keys = [id_col, "_text", *(["_of"] if language else [])]
+    split = tokens.lower_words(normalize_text(F.col(text)))
+    words = keyed.select(*keys, *([language] if language else []), F.posexplode_outer(split).alias("_at", "_word"))
+    marked = words.withColumn("_rows", (F.coalesce("_at", F.lit(0)) == 0).cast("long"))  # each row's first word
+    rates = rare_share(marked, lexicon, below, keys, "_word", broadcast_rows, language, ["_rows"])
+    each = [F.expr(f"{name} div _rows").alias(name) for name in ("n_words", "n_rare")]
+    return rates.select(id_col, *each, "error_rate", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy")).drop("_copy")
 
 
 def text_key(text: str) -> Column:

@@ -220,3 +220,20 @@ def test_probabilities(spark):
     assert emo.proba_labels(df, union=True).first().labels == ["a", "b", "z"]
     rows = {r.Id: r.v for r in df.select("Id", emo.proba_vector(F.col("probas"), ["a", "b"]).alias("v")).collect()}
     assert rows == {1: [0.75, 0.25], 2: [0.0, 0.5]}
+
+
+def test_frequent_words_of_a_big_lexicon_are_not_shuffled(spark, monkeypatch):
+    """Only words of letters that are none of the most frequent meet the lexicon by a shuffle; the rates are the same."""
+    lexicon = spark.createDataFrame([("the", 9.0), ("of", 8.0), ("house", 5.0), ("tree", 4.0), ("odd", 1.0)], "word string, zipf double")
+    df = spark.createDataFrame([(1, "the of the house, 12 odd zz"), (1, "the tree"), (2, None), (3, "the of"), (3, "the of"), (None, "zz 7")], "Id long, text string")
+    small = sorted(map(str, lx.oov_rate(df, "text", lexicon, 3.0).collect()))
+    shuffled, salted = [], lx.salted_join
+
+    def seen(left, *rest):
+        shuffled.append(left.count())
+        return salted(left, *rest)
+
+    monkeypatch.setattr(lx, "salted_join", seen)
+    monkeypatch.setattr(lx, "HOT_WORDS", 2)
+    assert sorted(map(str, lx.oov_rate(df, "text", lexicon, 3.0, broadcast_rows=0).collect())) == small
+    assert shuffled == [5] and len(small) == 6  # house, odd, zz; tree; zz
