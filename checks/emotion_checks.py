@@ -61,10 +61,15 @@ TONES = ("NEG", "POS")
 FREQUENT = 5.0  # log10 of occurrences per billion words: one in ten thousand
 
 
-def lexicon(spark, sf, classes):
+def frequent_words(spark, sf):
     counts = lx.zipf_lexicon(documents(spark, sf), "text").filter((F.col("zipf") >= FREQUENT) & (F.length("word") > 2))
+    return stored(counts.select("word"), "frequent")
+
+
+def lexicon(spark, sf, classes, words=None):
+    counts = frequent_words(spark, sf) if words is None else words
     kind = F.get(F.array(*map(F.lit, classes)), (F.length("word") % len(classes)).cast("int"))
-    return stored(counts.select("word", kind.alias("class"), (1.0 / F.length("word")).alias("weight")), "emotions")
+    return counts.select("word", kind.alias("class"), (1.0 / F.length("word")).alias("weight"))
 
 
 def scores_sql(name: str, classes) -> str:
@@ -137,9 +142,9 @@ def proba_labels_union(spark, sf):
 
 
 def emotion_frame(spark, sf, text="text"):
-    docs = news(spark, sf).withColumnRenamed("Text", text)
+    docs, words = news(spark, sf).withColumnRenamed("Text", text), frequent_words(spark, sf)  # counted once for both lexicons
     return emo.lexicon_features(
-        docs, text, lexicon(spark, sf, CLASSES), lexicon(spark, sf, TONES), CLASSES, TONES)
+        docs, text, lexicon(spark, sf, CLASSES, words), lexicon(spark, sf, TONES, words), CLASSES, TONES)
 
 
 EMO_LIST = [*CLASSES, *TONES]
