@@ -7,12 +7,20 @@ one sentence, the one with the smallest head counts as a head.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import rotativa
 
 from ..functions import lexicons
 from ..functions.style import StyleConfig
-from ..session import stored
+from ..session import ship, stored
 from .corpus import ID, require_columns
 from .skew import salted_join
 
@@ -72,31 +80,26 @@ def token_stats(
 ) -> DataFrame:
     """One row per text: counts, sentences, distinct words, mean depth.
 
-    The tokens are shuffled by sentence, four bytes each; what remains of a sentence is a row of numbers, which are added
-    up by text. Distinct words are shuffled by text and word and then counted, so that no row holds the words of a text,
-    however long it or one of its sentences is. Only sentences too long for one row are read again.
+    Counts are added up by text before the shuffle. Heads are shuffled by sentence, four bytes a token, of which a row of
+    numbers remains. Distinct words are shuffled by text and word and then counted, so that no row holds the words of a
+    text, however long it or one of its sentences is. Only sentences too long for one row are read again.
     """
     require_columns(tokens, [id_col, *COLUMNS])
     keys = [id_col, "sent_id"]
     counted = sentence_counts(config)
     is_word = ~F.col("is_space") & F.col("is_alpha")
-    sentences = tokens.groupBy(*keys).agg(
-        *[expr.alias(name) for name, expr in counted.items()], _links(array_tokens).alias("_s"), _beyond(array_tokens).alias("_far"),
-    )
-    nothing = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n"))
-    total = F.aggregate(_depths(F.col("_s")), nothing, lambda acc, t: F.when(t["is_space"], acc).otherwise(
-        F.struct((acc["sum"] + t["depth"]).alias("sum"), (acc["n"] + 1).alias("n"))
-    ))
-    solved = sentences.withColumn("_deep", F.when(~F.col("_far"), total))
-    stats = solved.groupBy(id_col).agg(
-        *[F.sum(name).alias(name) for name in counted], F.count(F.lit(1)).alias("n_sents"),
-        F.sum("_deep.sum").alias("_depth"), F.sum("_deep.n").alias("_deep"),
+    links = tokens.select(*keys, "tok_id", "head_id", "is_space")
+    stats = tokens.groupBy(id_col).agg(*[expr.alias(name) for name, expr in counted.items()])
+    solved = _solved(_sentences(links, keys, array_tokens), [id_col], {"_depth": T.LongType(), "_deep": T.LongType()}, _sums)
+    depths = solved.groupBy(F.col(id_col).alias("_of")).agg(
+        F.count(F.lit(1)).alias("n_sents"), F.sum("_depth").alias("_depth"), F.sum("_deep").alias("_deep"),
     )
+    stats = stats.join(depths, F.col(id_col).eqNullSafe(F.col("_of")), "left")
     words = tokens.filter(is_word & F.col("text").isNotNull()).select(F.col(id_col).alias("_text"), F.lower("text").alias("_word")).distinct()
     different = words.groupBy("_text").agg(F.count("_word").alias("_different"))
     stats = stats.join(different, F.col(id_col).eqNullSafe(F.col("_text")), "left").withColumn("n_distinct", F.coalesce("_different", F.lit(0)))
     depth, deep = F.coalesce("_depth", F.lit(0)), F.coalesce("_deep", F.lit(0))
-    long = _long_sentences(tokens.select(*keys, "tok_id", "head_id", "is_space"), keys, array_tokens)
+    long = _long_sentences(links, keys, array_tokens)
     if long is not None:
         more = long.filter(~F.col("is_space")).groupBy(F.col(id_col).alias("_id")).agg(
             F.sum("depth").alias("_more"), F.count("depth").alias("_many")
@@ -113,19 +116,17 @@ def _outside(array_tokens: int):
     return (F.col("tok_id") < 0) | (F.col("tok_id") >= array_tokens)
 
 
-def _beyond(array_tokens: int):
-    """Whether a sentence has a token that is left to the joins."""
-    return F.coalesce(F.max(_outside(array_tokens)), F.lit(False))
-
-
 # A token in 31 bits: its id, a code for its head, whether it is a space. In this order, heads within an id ascend.
 ID_BITS, HEAD_BITS = 16, 1
 NO_HEAD, LOW_HEAD, FIRST_HEAD = 0, 1, 2  # missing, below all ids, and the code of head 0
 MOST_ARRAY_TOKENS = (1 << (ID_BITS - HEAD_BITS)) - FIRST_HEAD - 1
 
+# So many tokens, or one sentence, are solved at a time.
+TOKENS_AT_ONCE = 1 << 20
+
 
-def _links(array_tokens: int):
-    """The tokens of a sentence in order, as integers; those beyond the limit are left to the joins."""
+def _packed(array_tokens: int):
+    """A token as an integer; null beyond the limit, where it is left to the joins."""
     if array_tokens > MOST_ARRAY_TOKENS:
         raise ValueError(f"at most {MOST_ARRAY_TOKENS} tokens of a sentence go into one row")
     head = F.col("head_id")
@@ -134,78 +135,115 @@ def _links(array_tokens: int):
         .otherwise(head.cast("int") + FIRST_HEAD)
     )
     packed = F.shiftleft(F.col("tok_id").cast("int"), ID_BITS) + F.shiftleft(code, HEAD_BITS) + F.coalesce("is_space", F.lit(True)).cast("int")
-    return F.sort_array(F.collect_list(F.when(~_outside(array_tokens), packed)))
+    return F.when(~_outside(array_tokens), packed)
 
 
-def _let(value, body):
-    """``body`` of a value that is computed once, however often it is used, inside of lambdas too."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _sentences(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame:
+    """``keys, _s, _far``: the tokens of each sentence, and whether some of them are left to the joins."""
+    far = F.coalesce(_outside(array_tokens), F.lit(False))
+    return _gathered(links.select(*keys, _packed(array_tokens).alias("_t"), far.alias("_far")), keys)
 
 
-def _token_id(link):
-    return F.shiftright(link, ID_BITS)
+def _gathered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, _s, _far`` from ``keys, _t, _far``: one row per key, with its numbers ``_t`` as a list of lists in no order.
 
-
-def _depths(links):
-    """(tok_id, is_space, depth) of each token, by pointer doubling: after k rounds a pointer has gone 2**k heads up.
-
-    Rounds end when no depth changes. Without gaps and copies an id is its place, so that a sentence takes time in
-    proportion to its tokens; otherwise heads are found by halving the sorted ids.
+    A batch's tokens are put together by key before the shuffle. Spark's own partial lists would sort and spill every
+    token once a task has seen more than a few keys.
     """
-    def solved(s, places):
-        return F.zip_with(s["t"], _walked(places)["d"], lambda link, d: F.struct(
-            _token_id(link).alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"), d.alias("depth")
-        ))
-
-    return _let(
-        F.struct(links.alias("t"), F.transform(links, _token_id).alias("ids")),
-        lambda s: _let(_places(s, lambda link: F.shiftright(link.bitwiseAND((1 << ID_BITS) - 1), HEAD_BITS) - FIRST_HEAD), lambda p: solved(s, p)),
-    )
-
-
-def _places(s, head_of):
-    """For each token the place of its head, or its own if it is a root or its head lies elsewhere."""
-    ids = s["ids"]
-    size = F.size(ids)
-    dense = (F.get(ids, F.lit(0)) == 0) & (F.element_at(ids, -1) == size - 1) & (F.size(F.array_distinct(ids)) == size)
-
-    def first_place(head, rounds):
-        def halve(acc, _):
-            middle = F.shiftright(acc["lo"] + acc["hi"], 1)
-            right = F.get(ids, middle) < head
-            return F.when(acc["lo"] < acc["hi"], F.struct(
-                F.when(right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi")
-            )).otherwise(acc)
-
-        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda acc: F.when(F.get(ids, acc["lo"]) == head, acc["lo"]))
-
-    def look_up(rounds):  # null where ids are places
-        def place(link, i):
-            head = head_of(link)
-            at = F.when(rounds.isNull(), F.when((head >= 0) & (head < size), head.cast("int"))).otherwise(first_place(head, rounds))
-            return F.when((head == F.get(ids, i)) | at.isNull(), i).otherwise(at)
+    ship(rows.sparkSession, rotativa)
+    kept = [rows.schema[k] for k in keys]
+    schema = T.StructType([*kept, T.StructField("_s", T.ArrayType(rows.schema["_t"].dataType)), T.StructField("_far", T.BooleanType())])
+    return rows.mapInArrow(_gather, schema).groupBy(*keys).agg(F.collect_list("_s").alias("_s"), F.max("_far").alias("_far"))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, links, far = batch.columns
+        code = np.zeros(batch.num_rows, np.int64)
+        for key in keys:
+            encoded = pc.dictionary_encode(key, null_encoding="encode")
+            code = code * len(encoded.dictionary) + encoded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        links = links.take(pa.array(order))
+        sizes = np.add.reduceat(links.is_valid().to_numpy(zero_copy_only=False).astype(np.int32), starts)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), links.drop_null())
+        any_far = np.logical_or.reduceat(far.to_numpy(zero_copy_only=False)[order], starts)
+        heads = pa.array(order[starts])
+        yield pa.RecordBatch.from_arrays([*[key.take(heads) for key in keys], lists, pa.array(any_far)], names=[*batch.schema.names[:-2], "_s", "_far"])
+
+
+def _solved(gathered: DataFrame, keep: Sequence[str], found: dict[str, T.DataType], solve: Callable) -> DataFrame:
+    """``keep`` and what ``solve`` finds: it takes the columns of a batch's rows, the row of each token and the tokens of
+    all rows, in order within a row, and returns the row of each result, or None for one a row, and the results."""
+    ship(gathered.sparkSession, rotativa)
+    schema = T.StructType([*[gathered.schema[k] for k in keep], *[T.StructField(name, kind) for name, kind in found.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_s")
+            ends = lists.values.offsets.to_numpy()[lists.offsets.to_numpy()]
+            at = 0
+            while at < batch.num_rows:
+                to = max(int(np.searchsorted(ends, int(ends[at]) + TOKENS_AT_ONCE, "right")) - 1, at + 1)
+                of = np.repeat(np.arange(to - at), np.diff(ends[at:to + 1]))
+                links = lists.values.values.to_numpy()[ends[at]:ends[to]].astype(np.int64)
+                if ((links[1:] < links[:-1]) & (of[1:] == of[:-1])).any():
+                    links = links[np.lexsort((links, of))]
+                part = batch.slice(at, to - at)
+                rows, results = solve(part, of, links)
+                kept = [part.column(k) if rows is None else part.column(k).take(pa.array(rows)) for k in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, results)], names=schema.names)
+                at = to
+
+    return gathered.mapInArrow(run, schema)
+
+
+def _walked(of, ids, head, span: int):
+    """Steps of each token to its root, and the place of that root where they are below the most, by pointer doubling:
+    after k rounds a pointer has gone 2**k heads up. Rounds end when no depth changes.
+
+    Ids ascend within a row ``of`` and lie from 0 to below ``span``; heads beyond that are in no row. Of tokens that share an id
+    the first counts as a head.
+    """
+    if not len(ids):
+        return ids, ids
+    here, places = np.arange(len(ids)), of * span + ids
+    wanted = of * span + head
+    at = np.minimum(np.searchsorted(places, wanted), len(ids) - 1)
+    up = np.where((head >= 0) & (head < span) & (places[at] == wanted) & (head != ids), at, here)
+    depth = (up != here).astype(np.int64)
+    for _ in range(DOUBLINGS):
+        further = np.minimum(depth + depth[up], MAX_DEPTH)
+        up = up[up]
+        if (further == depth).all():
+            break
+        depth = further
+    return depth, up
 
-        return F.transform(s["t"], place)
 
-    halvings = F.when(~dense, F.sequence(F.lit(1), F.length(F.bin(size))))
-    return F.when(size == 0, F.array().cast("array<int>")).otherwise(_let(halvings, look_up))
+def _short_depths(of, links):
+    """Ids, whether they are spaces, and depths of tokens as ``_packed``."""
+    ids = links >> ID_BITS
+    head = ((links & ((1 << ID_BITS) - 1)) >> HEAD_BITS) - FIRST_HEAD
+    return ids, (links & 1) == 1, _walked(of, ids, head, 1 << (ID_BITS - HEAD_BITS))[0]
 
 
-def _walked(places):
-    """``d``, the steps of each token to its root, and ``p``, the place of that root where ``d`` is below the most."""
-    def double(acc, _):
-        def moved(d):
-            return F.struct(
-                d.alias("d"), F.transform(acc["p"], lambda up: F.get(acc["p"], up)).alias("p"), (d != acc["d"]).alias("open")
-            )
+def _sums(part, of, links):
+    """For each sentence without far tokens the sum of its depths and their number, spaces aside."""
+    _, space, depth = _short_depths(of, links)
+    near = ~part.column("_far").to_numpy(zero_copy_only=False)
+    counted = of[~space]
+    sums = np.bincount(counted, depth[~space], part.num_rows).astype(np.int64)
+    return None, [np.where(near, sums, 0), np.where(near, np.bincount(counted, minlength=part.num_rows), 0)]
 
-        further = F.transform(acc["p"], lambda up, i: F.least(F.get(acc["d"], i) + F.get(acc["d"], up), F.lit(MAX_DEPTH)))
-        return F.when(acc["open"], _let(further, moved)).otherwise(acc)
 
-    start = F.struct(
-        F.transform(places, lambda p, i: F.when(p == i, 0).otherwise(1)).alias("d"), places.alias("p"), F.lit(True).alias("open")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, double)
+def _token_depths(part, of, links):
+    ids, space, depth = _short_depths(of, links)
+    return of[~space], [ids[~space].astype(np.int32), depth[~space].astype(np.int32)]
 
 
 def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame | None:
@@ -222,38 +260,35 @@ def _long_sentences(links: DataFrame, keys: list[str], array_tokens: int) -> Dat
 CHUNK_HEAD_BITS, FIRST_CHUNK_HEAD = 33, (1 << 31) + 1
 
 
-def _chunk_links(array_tokens: int):
+def _chunk_packed(array_tokens: int):
     head = F.coalesce(F.col("head_id").cast("int").cast("long") + FIRST_CHUNK_HEAD, F.lit(0).cast("long"))
     within = F.pmod(F.col("tok_id").cast("long"), F.lit(array_tokens))
-    packed = F.shiftleft(within, CHUNK_HEAD_BITS + 1) + F.shiftleft(head, 1) + F.coalesce("is_space", F.lit(True)).cast("long")
-    return F.sort_array(F.collect_list(packed))
+    return F.shiftleft(within, CHUNK_HEAD_BITS + 1) + F.shiftleft(head, 1) + F.coalesce("is_space", F.lit(True)).cast("long")
 
 
-def _chunk_depths(links, chunk, array_tokens: int):
-    """(tok_id, is_space, first, depth, out) of each token: the steps within the chunk, and the head in another chunk to
-    which the last of them leads, if any. Of tokens that share an id the first counts as a head."""
-    base = chunk * array_tokens
-
-    def head_of(link):
-        code = F.shiftright(link, 1).bitwiseAND((1 << CHUNK_HEAD_BITS) - 1)
-        return F.when(code > 0, code - FIRST_CHUNK_HEAD)
+CHUNK_FIELDS = {
+    "tok_id": T.IntegerType(), "is_space": T.BooleanType(), "first": T.BooleanType(), "depth": T.IntegerType(), "out": T.IntegerType(),
+}
 
-    def walked(s, w):
-        def token(link, i):
-            head = head_of(F.get(s["t"], F.get(w["p"], i)))
-            out = (F.get(w["d"], i) < MAX_DEPTH) & ((head < base) | (head >= base + array_tokens))
-            return F.struct(
-                (base + F.get(s["ids"], i)).cast("int").alias("tok_id"), (link.bitwiseAND(1) == 1).alias("is_space"),
-                ((i == 0) | (F.get(s["ids"], i - 1) != F.get(s["ids"], i))).alias("first"),
-                F.get(w["d"], i).alias("depth"), F.when(out, head.cast("int")).alias("out"),
-            )
 
-        return F.transform(s["t"], token)
-
-    ids = F.transform(links, lambda link: F.shiftright(link, CHUNK_HEAD_BITS + 1).cast("int"))
-    return _let(F.struct(links.alias("t"), ids.alias("ids")), lambda s: _let(
-        _places(s, lambda link: head_of(link) - base), lambda p: _let(_walked(p), lambda w: walked(s, w))
-    ))
+def _chunk_depths(array_tokens: int) -> Callable:
+    """(tok_id, is_space, first, depth, out) of each token: the steps within the chunk, and the head in another chunk to
+    which the last of them leads, if any. Of tokens that share an id the first counts as a head."""
+    def solve(part, of, links):
+        base = part.column("_c").to_numpy()[of] * array_tokens
+        ids, code = links >> (CHUNK_HEAD_BITS + 1), (links >> 1) & ((1 << CHUNK_HEAD_BITS) - 1)
+        head = code - FIRST_CHUNK_HEAD
+        depth, root = _walked(of, ids, np.where(code > 0, head - base, -1), array_tokens)
+        first = np.ones(len(ids), bool)
+        first[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])
+        last = head[root]
+        out = (depth < MAX_DEPTH) & (code[root] > 0) & ((last < base) | (last >= base + array_tokens))
+        return of, [
+            (base + ids).astype(np.int32), (links & 1) == 1, first, depth.astype(np.int32),
+            pa.array(np.where(out, last, 0).astype(np.int32), mask=~out),
+        ]
+
+    return solve
 
 
 def _chunked_depths(links: DataFrame, keys: list[str], array_tokens: int) -> DataFrame:
@@ -264,8 +299,8 @@ def _chunked_depths(links: DataFrame, keys: list[str], array_tokens: int) -> Dat
     """
     size = max(array_tokens, 1)
     chunk = F.floor(F.col("tok_id") / size)
-    chunks = links.filter(F.col("tok_id").isNotNull()).groupBy(*keys, chunk.alias("_c")).agg(_chunk_links(size).alias("_s"))
-    tokens = stored(chunks.select(*keys, F.inline(_chunk_depths(F.col("_s"), F.col("_c"), size))), "chunks")
+    rows = links.filter(F.col("tok_id").isNotNull()).select(*keys, chunk.alias("_c"), _chunk_packed(size).alias("_t"), F.lit(False).alias("_far"))
+    tokens = stored(_solved(_gathered(rows, [*keys, "_c"]), keys, CHUNK_FIELDS, _chunk_depths(size)), "chunks")
     sentence = [F.hash(*keys).alias("_k"), F.xxhash64(*keys).alias("_h")]  # so that null keys meet as well
     columns = [*keys, "tok_id", "is_space", "depth"]
     away = tokens.filter(F.col("out").isNotNull())
@@ -310,10 +345,9 @@ def dep_depth(tokens: DataFrame, id_col: str = ID, array_tokens: int = ARRAY_TOK
     keys = [id_col, "sent_id"]
     links = require_columns(tokens, [id_col, *COLUMNS]).select(*keys, "tok_id", "head_id", "is_space")
     if links.filter(_outside(array_tokens)).isEmpty():
-        depths = links.groupBy(*keys).agg(_links(array_tokens).alias("_s")).select(*keys, F.inline(_depths(F.col("_s"))))
-    else:  # the short sentences are chunks like any other: nothing has to be read again to part them from the long ones
-        depths = _chunked_depths(links, keys, array_tokens)
-    return depths.filter(~F.col("is_space")).drop("is_space")
+        return _solved(_sentences(links, keys, array_tokens), keys, {"tok_id": T.IntegerType(), "depth": T.IntegerType()}, _token_depths)
+    # The short sentences are chunks like any other: nothing has to be read again to part them from the long ones.
+    return _chunked_depths(links, keys, array_tokens).filter(~F.col("is_space")).drop("is_space")
 
 
 def mean_depth(tokens: DataFrame, id_col: str = ID, array_tokens: int = ARRAY_TOKENS) -> DataFrame:

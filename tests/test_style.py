@@ -237,3 +237,19 @@ def test_frequent_words_of_a_big_lexicon_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(lx, "HOT_WORDS", 2)
     assert sorted(map(str, lx.oov_rate(df, "text", lexicon, 3.0, broadcast_rows=0).collect())) == small
     assert shuffled == [5] and len(small) == 6  # house, odd, zz; tree; zz
+
+
+def test_sentences_are_put_together_before_the_shuffle(spark):
+    """Spark's lists get a row for each sentence of a batch, not each token, which they would sort and spill beyond 128 sentences."""
+    heads = [max(i - 1, 0) for i in range(12)]
+    sentences = [[("w", "X", h) for h in heads]] * 300
+    tokens = tokens_of(spark, sentences).unionByName(tokens_of(spark, sentences[:2], None))
+    for found in (ann.dep_depth(tokens), ann.token_stats(tokens)):
+        lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        partial = [i for i, line in enumerate(lines) if "partial_collect_list" in line]
+        assert partial and all("MapInArrow" in lines[i + 1] for i in partial)
+    batches = [b for b in tokens.filter("Id = 1").coalesce(1).selectExpr("Id", "sent_id", "tok_id AS _t", "false AS _far").toArrow().to_batches()]
+    gathered = list(ann._gather(iter(batches)))
+    assert sum(b.num_rows for b in gathered) < 320 and sum(len(b.column("_s").flatten()) for b in gathered) == 3600
+    stats = {r.Id: (r.n_sents, r.n_tokens, r.avg_dep_depth) for r in ann.token_stats(tokens).collect()}
+    assert stats == {1: (300, 3600, 5.5), None: (2, 24, 5.5)}
