@@ -95,11 +95,7 @@ def merge_error(spark, sf):
 @register("presence_flags", f"""WITH {BLOCKS_SQL} SELECT Id, {", ".join(
     f"CASE WHEN {b} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS has_{b}" for b in DIMS)} FROM sides""")
 def presence_flags(spark, sf):
-    parts = blocks(spark, sf)
-    names = mg.merged_names(parts)
-    merged = mg.merge_blocks(parts)
-    return merged.select("Id", *[
-        F.get(mg.VECTOR, F.lit(names.index(f"has_{b}"))).cast("double").alias(f"has_{b}") for b in DIMS])
+    return mg.presence(blocks(spark, sf))
 
 
 @register("merge_labels", merged_sql(

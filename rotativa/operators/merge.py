@@ -242,6 +242,34 @@ def merge_blocks(
     return found.select(*keep, VECTOR)
 
 
+def presence(blocks: Sequence[Block]) -> DataFrame:
+    """``[within,] Id`` and a double ``has_<block>`` for each block: the flags of ``merge_blocks`` under ``fill_zero``.
+
+    Only ids meet, and whether there is a vector: vectors are neither shuffled nor, where they can't be null, computed. Their
+    lengths are not checked. Among rows of an id with the same order a hash of the whole row decides which is the last:
+    with an order, flags come from the merged vectors.
+    """
+    base, rest = blocks[0], blocks[1:]
+    within = list(base.within)
+    flags = [f"has_{block.name}" for block in blocks]
+    if any(block.order is not None for block in blocks):
+        first = sum(block.dim for block in blocks)
+        merged = merge_blocks(blocks)
+        return merged.select(*within, ID, *[F.get(VECTOR, F.lit(first + i)).cast("double").alias(name) for i, name in enumerate(flags)])
+    if any(list(block.within) != within for block in rest):
+        raise ValueError(f"blocks differ in what their ids are unique within: {[b.within for b in blocks]}")
+
+    def side(block: Block) -> DataFrame:
+        known = block.df.select(*block.key, F.col(block.vector).isNotNull().alias(block.vector))
+        rows = known if block is base else replace(block, df=known).last()
+        return rows.select(*within, F.col(block.id_col).alias(ID), F.col(block.vector).alias(f"has_{block.name}"))
+
+    wide = side(base)
+    for block in rest:
+        wide = wide.join(side(block), [*within, ID], "left")
+    return wide.select(*within, ID, *[F.coalesce(name, F.lit(False)).cast("double").alias(name) for name in flags])
+
+
 def merged_names(blocks: Sequence[Block], flags: bool = True) -> list[str]:
     names = [name for block in blocks for name in block.names]
     return names + [f"has_{block.name}" for block in blocks] if flags else names

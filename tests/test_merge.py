@@ -148,3 +148,22 @@ def test_corpus_checks(spark):
     assert co.records_to_rows(df, "Category", "Nope").columns == ["text"]
     with pytest.raises(ValueError):
         co.records_to_rows(nested, "Body", data="data")
+
+
+def test_presence_computes_no_vectors(spark):
+    """The flags of the merged vectors, with null vectors, missing and null ids, without computing a vector that can't be null."""
+    failing = F.array(F.raise_error(F.lit("computed")).cast("double"), F.lit(0.0))
+
+    def blocks_with(vector):
+        base = spark.createDataFrame([(1, [1.0]), (2, None), (2, [2.0]), (None, [3.0]), (4, [4.0])], "Id long, features array<double>")
+        ids = spark.createDataFrame([(1,), (2,), (None,)], "Id long")
+        null = spark.createDataFrame([(1, None), (4, [1.0])], "Id long, features array<double>")
+        return [mg.Block("sem", base, ("a",)), mg.Block("sty", ids.select("Id", vector.alias("features")), ("b", "c")), mg.Block("ctx", null, ("d",))]
+
+    names = ["has_sem", "has_sty", "has_ctx"]
+    whole = [(r.Id, *r.features[-3:]) for r in mg.merge_blocks(blocks_with(F.array(F.lit(0.0), F.lit(0.0)))).collect()]
+    found = [(r.Id, *[r[n] for n in names]) for r in mg.presence(blocks_with(failing)).collect()]
+    assert sorted(found, key=str) == sorted(whole, key=str) and len(found) == 5
+    repeated = mg.Block("emo", spark.createDataFrame([(1, [1.0]), (1, [2.0])], "Id long, features array<double>"), ("e",))
+    with pytest.raises(Exception, match="repeated id=1"):
+        mg.presence([blocks_with(failing)[0], repeated]).collect()
