@@ -22,10 +22,11 @@ def zipf_lexicon(df: DataFrame, text: str) -> DataFrame:
     """``word, n, zipf`` where zipf is log10 of occurrences per billion words.
 
     Words are counted map-side before the shuffle, and set in lower case after they are told apart, outside of a lambda. The
-    total is a scalar subquery over the same counts, so Spark reuses their exchange rather than counting twice.
+    counts are stored: a filter on words would otherwise go down into them, but not into those of the total, and all words
+    would be counted twice.
     """
     words = df.select(F.explode(tokens.words(normalize_text(F.col(text)))).alias("word"))
-    counts = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     total = counts.agg(F.sum("n").cast("double")).scalar()
     return counts.select("word", "n", F.log10(F.col("n") / total * F.lit(PER_BILLION)).alias("zipf"))
 

@@ -253,3 +253,11 @@ def test_sentences_are_put_together_before_the_shuffle(spark):
     assert sum(b.num_rows for b in gathered) < 320 and sum(len(b.column("_s").flatten()) for b in gathered) == 3600
     stats = {r.Id: (r.n_sents, r.n_tokens, r.avg_dep_depth) for r in ann.token_stats(tokens).collect()}
     assert stats == {1: (300, 3600, 5.5), None: (2, 24, 5.5)}
+
+
+def test_words_are_counted_once(spark):
+    """A filter on the words of a lexicon doesn't have them counted again for the total."""
+    df = spark.createDataFrame([(1, "uno Dos dos tres3"), (2, None)], "Id long, Text string")
+    filtered = lx.zipf_lexicon(df, "Text").filter(F.length("word") > 3)
+    assert "explode" not in filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.word, r.n, r.zipf) for r in filtered.collect()] == [("tres3", 1, pytest.approx(8.39794))]
