@@ -106,6 +106,11 @@ def drop_spaces(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), f"{SPACE_CHAR}+", "")
 
 
+def marked_only(c: Column) -> Column:
+    """Upper case and numbers, the few characters of a text that are looked at once more."""
+    return F.regexp_replace(c, r"[^\p{IsUppercase}\p{N}]+", "")
+
+
 def numbers_only(c: Column) -> Column:
     return F.regexp_replace(c, r"\P{N}+", "")
 

@@ -38,16 +38,19 @@ class SignalConfig:
 
 def with_signal_counts(df: DataFrame, text: str) -> DataFrame:
     """Add ``_em_*`` columns: the text, its words and its word skeletons."""
-    t, skeleton = F.col("_em_text"), F.col("_em_skeleton")
+    t, skeleton, marked = (F.col(f"_em_{name}") for name in ("text", "skeleton", "marked"))
     return (
         df.withColumn("_em_text", text_or_empty(F.col(text)))
         .withColumns({
             "_em_words": tokens.signal_words(t),
             "_em_skeleton": chars.word_skeleton(t),
-            "_em_numbers": chars.numbers_only(t),
-            "_em_upper": chars.count_upper(t),
+            "_em_marked": chars.marked_only(t),
+        })
+        .withColumns({
+            "_em_dense": chars.drop_spaces(skeleton),
+            "_em_numbers": chars.numbers_only(marked),
+            "_em_upper": chars.count_upper(marked),
         })
-        .withColumn("_em_dense", chars.drop_spaces(skeleton))
         .withColumn("_em_emoji", chars.count_emoji(t, F.col("_em_dense")))
     )
 

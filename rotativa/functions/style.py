@@ -80,33 +80,39 @@ def syllables(c: Column) -> Column:
     return chars.count_char(F.regexp_replace(F.lower(c), SYLLABLE, "\x01"), "\x01")
 
 
-def with_style_counts(df: DataFrame, text: str, config: StyleConfig = StyleConfig()) -> DataFrame:
-    """Add ``_st_*`` count columns. The caller selects what it needs, the optimizer drops the rest."""
+def with_style_counts(df: DataFrame, text: str, config: StyleConfig = StyleConfig(), signals: bool = False) -> DataFrame:
+    """Add ``_st_*`` count columns. The caller selects what it needs, the optimizer drops the rest.
+
+    ``signals``: ``with_signal_counts`` has added its columns for the same text. What spaces at its ends don't change is
+    taken from there instead of being searched for again.
+    """
     listed = sorted({*config.stopwords, *config.intensifiers, *lexicons.HEDGES, *lexicons.SUBORDINATORS,
                      lexicons.IMPERSONAL})
-    t, skeleton, dense, numbers = (F.col(f"_st_{name}") for name in ("text", "skeleton", "dense", "numbers"))
+    t, skeleton, dense, marked, numbers = (F.col(f"_st_{name}") for name in ("text", "skeleton", "dense", "marked", "numbers"))
+    whole = F.col("_em_text") if signals else t
     return (
         df.withColumn("_st_text", normalize_text(F.col(text)))
         .withColumns({
             "_st_words": tokens.lower_words(t),
-            "_st_skeleton": chars.word_skeleton(t),
-            "_st_numbers": chars.numbers_only(t),
+            "_st_skeleton": F.col("_em_skeleton") if signals else chars.word_skeleton(t),
+            "_st_marked": F.col("_em_marked") if signals else chars.marked_only(t),
         })
         .withColumns({
-            "_st_dense": chars.drop_spaces(skeleton),
+            "_st_dense": F.col("_em_dense") if signals else chars.drop_spaces(skeleton),
+            "_st_numbers": F.col("_em_numbers") if signals else chars.numbers_only(marked),
             "_st_chars": F.length(t),
             "_st_n_words": chars.count_char(skeleton, "w"),
             "_st_n_distinct": F.size(F.array_distinct("_st_words")),
             "_st_word_chars": F.length(F.array_join("_st_words", "")),
             # One pass over all words; lists and lengths are then told apart among the few that are left.
             "_st_notable": F.filter("_st_words", lambda w: is_long(w) | w.isin(*listed)),
-            "_st_upper": chars.count_upper(t),
+            "_st_upper": F.col("_em_upper") if signals else chars.count_upper(marked),
             "_st_repeats": F.regexp_count(t, F.lit(r"(?d)(.)\1\1+")),
-            "_st_letters": chars.count_letters(t, skeleton, numbers),
-            "_st_digits": chars.count_digits(numbers),
             "_st_syllables": syllables(t),
         })
         .withColumns({
+            "_st_letters": chars.count_letters(whole, skeleton, numbers),
+            "_st_digits": chars.count_digits(numbers),
             "_st_punct": chars.count_punctuation(t, dense),
             "_st_lengths": tokens.words_per_sentence(tokens.dense_sentences(dense)),
         })

@@ -61,7 +61,8 @@ def local_features(df: DataFrame, config: FeatureConfig) -> DataFrame:
     style_columns = st.core_features(config.style)
     if config.style.extra_signals:
         style_columns |= st.signal_features(config.style)
-    counted = st.with_style_counts(em.with_signal_counts(df, config.signal_text), config.style_text, config.style)
+    same = config.signal_text == config.style_text
+    counted = st.with_style_counts(em.with_signal_counts(df, config.signal_text), config.style_text, config.style, signals=same)
     kept_fields = [c for c in (config.context.topic, config.context.source, config.context.link,
                                config.context.author, config.context.date) if c]
     vectors = counted.select(

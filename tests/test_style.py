@@ -7,7 +7,9 @@ from statistics import pstdev
 import pytest
 from pyspark.sql import functions as F
 
+from rotativa.functions import emotion as em
 from rotativa.functions import lexicons
+from rotativa.functions import style as st
 from rotativa.functions.emotion import SignalConfig
 from rotativa.functions.style import CORE_NAMES, SIGNAL_NAMES, StyleConfig
 from rotativa.operators import annotations as ann
@@ -261,3 +263,17 @@ def test_words_are_counted_once(spark):
     filtered = lx.zipf_lexicon(df, "Text").filter(F.length("word") > 3)
     assert "explode" not in filtered._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.word, r.n, r.zipf) for r in filtered.collect()] == [("tres3", 1, pytest.approx(8.39794))]
+
+
+def test_style_takes_over_what_signals_counted(spark, texts):
+    """Signals and style of the same text search it for words once, with the values of two searches."""
+    df = texts.withColumn("copy", F.col("Text"))
+    columns = st.core_features() | st.signal_features()
+    both = {}
+    for name in ("Text", "copy"):
+        counted = st.with_style_counts(em.with_signal_counts(df, name), "Text", signals=name == "Text")
+        found = counted.select("Id", *[c.alias(n) for n, c in (columns | {f"e_{n}": c for n, c in em.signal_features().items()}).items()])
+        both[name] = {r.Id: r for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"_(?:em|st)_skeleton#\d+", plan)) and plan.count("N}_]+, w,") == (1 if name == "Text" else 2)
+    assert both["Text"] == both["copy"]
