@@ -23,13 +23,13 @@ scored as often as they stand there. Without training rows counts are zero and t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain, repeat
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import stored, with_workers
 
 FREQUENT = 200_000  # words of which every worker knows the count
-PARTIAL_WORDS = 100_000  # different words a worker counts before it hands them on
+PARTIAL_BYTES = 16_000_000  # of words that a worker counts before it hands them on
 BATCH_CHARACTERS = 400_000
 BATCH_WINDOWS = 160  # layers stay in the processor's cache
 LONGEST = 4  # bytes of a piece
@@ -61,10 +61,64 @@ class LmConfig:
     seed: int = 42
 
 
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+IN_WORD = np.array([bool(bytes([n]).split()) for n in range(256)])
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+@dataclass
+class Words:
+    """The words of some texts in a row: their bytes, the length of each, and how many each text has."""
+    raw: np.ndarray
+    lengths: np.ndarray
+    per_text: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """As ``words_of`` finds them in each text."""
+        begin, data = pieces_of(texts.fill_null("").cast(pa.binary()))
+        inside = IN_WORD[data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        edges = begin[(begin > 0) & (begin < len(data))]  # a word ends with its text
+        first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+        starts = np.flatnonzero(first)
+        return cls(LOWER[data[inside]], np.flatnonzero(last) + 1 - starts, np.diff(np.searchsorted(starts, begin)))
+
+    @classmethod
+    def listed(cls, texts: list[list[bytes]]) -> Words:
+        lengths = [len(word) for text in texts for word in text]
+        raw = np.frombuffer(b"".join(chain.from_iterable(texts)), np.uint8)
+        return cls(raw, np.array(lengths, np.int64), np.array([len(text) for text in texts], np.int64))
+
+    def array(self) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.raw))])
+
+    def groups(self, size: int) -> Iterator[Words]:
+        """Some texts at a time, of about ``size`` bytes, so that memory follows the longest text and not the batch."""
+        word, byte = np.concatenate([[0], np.cumsum(self.per_text)]), np.concatenate([[0], np.cumsum(self.lengths)])
+        turn = byte[word[:-1]] // size
+        for low, high in pairwise([0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]):
+            if low < high:
+                a, b = word[low], word[high]
+                yield Words(self.raw[byte[a]:byte[b]], self.lengths[a:b], self.per_text[low:high])
+
+
+def pieces_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a binary array without nulls begins and the last ends, and the bytes of all."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(offsets, np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0]:offsets[-1]]
+
+
 class Pieces:
     """Ids of the subwords: twice the piece's number, one more inside a word; then the end, then the start."""
 
@@ -102,12 +156,15 @@ class Pieces:
 
     def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each word has."""
-        if not words:
+        return self.cut_words(Words.listed([words]))
+
+    def cut_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        if not len(words.lengths):
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        left = np.fromiter(map(len, words), np.int64, len(words))
+        left = words.lengths
         at = np.cumsum(left) - left
         starts = at
-        raw = np.frombuffer(b"".join(words) + bytes(LONGEST), np.uint8)
+        raw = np.concatenate([words.raw, np.zeros(LONGEST, np.uint8)])
         size = len(raw) - LONGEST
         four = np.ascontiguousarray(raw[:size + 1]).astype(np.uint32)
         for k in range(1, LONGEST):
@@ -131,11 +188,22 @@ class Pieces:
         upto = np.concatenate([[0], np.cumsum(marked)])
         return found[marked], np.diff(np.append(upto[starts], upto[-1]))
 
-    def sequences(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def counted(self, words: pa.Array, n: np.ndarray) -> np.ndarray:
+        """How often each id stands in words that stand ``n`` times each."""
+        of_ids, (begin, raw) = np.zeros(self.end + 1), pieces_of(words)
+        every = Words(raw, np.diff(begin), np.ones(len(words), np.int64))
+        at = 0
+        for some in every.groups(BATCH_CHARACTERS):
+            ids, per_word = self.cut_words(some)
+            of_ids += np.bincount(ids, np.repeat(n[at:at + len(per_word)], per_word), len(of_ids))
+            at += len(per_word)
+        return of_ids.astype(np.int64)
+
+    def sequences(self, texts: list[list[bytes]] | Words) -> list[np.ndarray]:
         """start, ids, end of each text."""
-        ids, per_word = self.cut(list(chain.from_iterable(texts)))
-        ends = np.cumsum(per_word)[np.cumsum([len(t) for t in texts]) - 1] if len(per_word) else np.zeros(len(texts), np.int64)
-        ends = np.where(np.cumsum([len(t) for t in texts]) > 0, ends, 0)
+        words = texts if isinstance(texts, Words) else Words.listed(texts)
+        ids, per_word = self.cut_words(words)
+        ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(words.per_text)]
         parts = np.split(ids, ends[:-1])
         first, last = np.array([self.start], np.int32), np.array([self.end], np.int32)
         return [np.concatenate([first, part, last]) for part in parts]
@@ -207,40 +275,46 @@ class Network:
         np.maximum(hidden, 0, out=hidden)
         return x, query, scores, mixed, hidden
 
-    def logits(self, hidden: np.ndarray) -> np.ndarray:
-        out = times(hidden, self.parts["wc"])
-        out += self.parts["bc"]
-        return np.clip(out, -60, 60, out=out)  # so that no exp() overflows
+    def output(self, hidden: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place: exp() of the logits, their sum, and the logit of its class. So that nothing overflows, logits are
+        cut to 60 either way; that takes a pass of its own only where it would change the sum."""
+        p = self.parts
+        out = hidden @ p["wc"]
+        out += p["bc"]
+        chosen = np.clip(out.reshape(-1)[np.arange(0, out.size, out.shape[1]) + classes], -60, 60)
+        with np.errstate(over="ignore"):
+            total = sums(np.exp(out, out=out))
+        if len(out) and not (total.min() > 1e-9 and total.max() < 1e26):
+            np.matmul(hidden, p["wc"], out=out)
+            out += p["bc"]
+            total = sums(np.exp(np.clip(out, -60, 60, out=out), out=out))
+        return out, total, chosen
 
     def log_probabilities(self, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of the class of each target that counts; ``classes`` are of those."""
         hidden = self.forward(rows)[-1]
-        logits = self.logits(np.take(hidden.reshape(-1, hidden.shape[2]), np.flatnonzero(counts), axis=0))
-        chosen = logits[np.arange(len(logits)), classes]
-        np.exp(logits, out=logits)
-        return chosen - np.log(sums(logits)[:, 0])
+        _, total, chosen = self.output(np.take(hidden.reshape(-1, hidden.shape[2]), np.flatnonzero(counts), axis=0), classes)
+        return chosen - np.log(total[:, 0])
 
     def gradient(self, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray, out: Network | None = None) -> np.ndarray:
         """Of the mean loss over the targets that count; written into the weights of ``out``."""
         p, c = self.parts, self.config
         x, query, scores, mixed, hidden = self.forward(rows)
-        logits = self.logits(hidden)
         out = out or Network(c, self.flat)
-        out.flat.fill(0)
         g = out.parts
-        np.exp(logits, out=logits)
-        share = (counts / max(1, counts.sum())).astype(np.float32)
-        logits *= share[..., None] / sums(logits)
-        logits.reshape(-1)[np.arange(classes.size) * c.classes + classes.reshape(-1)] -= share.reshape(-1)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g["wc"] += flat(hidden).T @ flat(logits)
+        classes, share = classes.reshape(-1), counts.reshape(-1, 1) * np.float32(1 / max(1, counts.sum()))
+        slopes, total, _ = self.output(flat(hidden), classes)
+        slopes *= share / total
+        slopes.reshape(-1)[np.arange(0, slopes.size, c.classes) + classes] -= share[:, 0]
+        np.matmul(flat(hidden).T, slopes, out=g["wc"])
         ones = np.ones(classes.size, np.float32)
-        g["bc"] += ones @ flat(logits)
-        dh = times(logits, p["wc"].T)
+        np.matmul(ones, slopes, out=g["bc"])
+        dh = times(slopes, p["wc"].T).reshape(hidden.shape)
         dh *= hidden > 0
-        g["b"] += ones @ flat(dh)
-        g["w1"] += flat(x).T @ flat(dh)
-        g["w2"] += flat(mixed).T @ flat(dh)
+        np.matmul(ones, flat(dh), out=g["b"])
+        np.matmul(flat(x).T, flat(dh), out=g["w1"])
+        np.matmul(flat(mixed).T, flat(dh), out=g["w2"])
         dx, dmixed = times(dh, p["w1"].T), times(dh, p["w2"].T)
         dx += scores.transpose(0, 2, 1) @ dmixed
         ds = dmixed @ x.transpose(0, 2, 1)
@@ -249,12 +323,10 @@ class Network:
         ds *= np.float32(c.width ** -0.5)
         dq = ds @ x
         dx += times(dq, p["keys"].T) + ds.transpose(0, 2, 1) @ query
-        g["keys"] += flat(x).T @ flat(dq)
-        g["places"] += dx.sum(axis=0)
-        order = np.argsort(rows, axis=None, kind="stable")
-        of_ids = rows.reshape(-1)[order]
-        first = np.flatnonzero(np.diff(of_ids, prepend=-1))
-        g["ids"][of_ids[first]] += np.add.reduceat(flat(dx)[order], first)
+        np.matmul(flat(x).T, flat(dq), out=g["keys"])
+        np.sum(dx, axis=0, out=g["places"])
+        cells = rows.reshape(-1, 1) * c.width + np.arange(c.width)
+        g["ids"][:] = np.bincount(cells.reshape(-1), dx.reshape(-1), g["ids"].size).reshape(g["ids"].shape)
         return out.flat
 
 
@@ -269,13 +341,13 @@ class Adam:
     def step(self, *some: np.ndarray) -> None:
         self.steps += 1
         t, g = self.steps, self.network.gradient(*some, self.slope)
-        self.first *= 0.9
-        self.first += 0.1 * g
-        self.second *= 0.99
-        self.second += 0.01 * np.square(g, out=g)
         rate = self.rate * (1 + t / 500) ** -0.5 * (1 - 0.99 ** t) ** 0.5 / (1 - 0.9 ** t)
+        self.first *= 0.9  # both moments are kept without their factors 0.1 and 0.01, which cancel out
+        self.first += g
+        self.second *= 0.99
+        self.second += np.square(g, out=g)
         change = np.sqrt(self.second, out=g)
-        change += 1e-6
+        change += 1e-5
         np.divide(self.first, change, out=change)
         change *= rate
         self.network.flat -= change
@@ -321,35 +393,22 @@ class Model:
     weights: np.ndarray
     config: LmConfig
 
-    def score_all(self, texts: list[list[bytes]]) -> np.ndarray:
+    def score_all(self, texts: list[list[bytes]] | Words) -> np.ndarray:
         """log10 of the model's probability of each text."""
         network, v = Network(self.config, self.weights), self.vocabulary
         ids, counts, text = windows(self.pieces.sequences(texts), self.config)
-        total = np.zeros(len(texts))
+        many = len(texts.per_text if isinstance(texts, Words) else texts)
+        total = np.zeros(many)
         for at in range(0, len(ids), BATCH_WINDOWS):
             some = slice(at, at + BATCH_WINDOWS)
             used = counts[some]
             nexts = ids[some, 1:][used]
             found = network.log_probabilities(np.take(v.row_of, ids[some, :-1]), np.take(v.class_of, nexts), used)
             found = found + np.take(v.log_within, nexts)
-            total += np.bincount(np.repeat(text[some], used.sum(axis=1)), found, len(texts))
+            total += np.bincount(np.repeat(text[some], used.sum(axis=1)), found, many)
         return total / np.log(10)
 
 
-def batches_of(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    """Texts as lists of words, some at a time, so that memory follows the longest text and not the batch."""
-    some, size = [], 0
-    for text in texts:
-        words = words_of(text.as_py())
-        some.append(words)
-        size += sum(map(len, words)) + len(words)
-        if size > BATCH_CHARACTERS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 GATHERED = "kind string, word binary, id int, n long"
 
 
@@ -358,25 +417,30 @@ def gather(training: DataFrame, pieces: Pieces) -> DataFrame:
     shared = with_workers(training.sparkSession).sparkContext.broadcast(pieces)
     shape = pa.schema([("kind", pa.string()), ("word", pa.binary()), ("id", pa.int32()), ("n", pa.int64())])
 
-    def rows(kind: str, words: list, ids: list, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * len(n), words, ids, n), shape)], schema=shape)
+    def rows(kind: str, n: np.ndarray, word: pa.Array | None = None, ids: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.array([kind] * len(n)), pa.nulls(len(n), pa.binary()) if word is None else word]
+        columns += [pa.nulls(len(n), pa.int32()) if ids is None else pa.array(ids, pa.int32()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, schema=shape)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = shared.value, Counter()
+        own, waiting, size = shared.value, [], 0
         of_ids, texts_seen = np.zeros(own.end + 1, np.int64), 0
-        for some in (s for batch in batches for s in batches_of(batch.column(0))):
-            texts_seen += len(some)
-            for text in some:
-                words.update(text)
-            of_ids += np.bincount(own.cut(list(chain.from_iterable(some)))[0], minlength=len(of_ids))
-            if len(words) > PARTIAL_WORDS:
-                yield rows("word", list(words), [None] * len(words), list(words.values()))
-                words = Counter()
-        yield rows("word", list(words), [None] * len(words), list(words.values()))
+        for texts in chain((batch.column(0) for batch in batches), [None]):
+            if texts is not None:
+                texts_seen += len(texts)
+                words = Words.of(texts)
+                waiting.append(words.array())
+                size += len(words.raw)
+            if waiting and (texts is None or size > PARTIAL_BYTES):
+                counted = pa.chunked_array(waiting).value_counts()
+                different, n = counted.field(0), counted.field(1).to_numpy()
+                of_ids += own.counted(different, n)
+                yield rows("word", n, word=different)
+                waiting, size = [], 0
         of_ids[own.end] = texts_seen
         seen = np.flatnonzero(of_ids)
-        yield rows("id", [None] * len(seen), seen.tolist(), of_ids[seen].tolist())
-        yield rows("text", [None], [None], [texts_seen])
+        yield rows("id", of_ids[seen], ids=seen)
+        yield rows("text", np.array([texts_seen]))
 
     return stored(training.select("text").mapInArrow(read, GATHERED), "gathered")
 
@@ -396,7 +460,7 @@ def train(training: DataFrame, gathered: DataFrame, pieces: Pieces, config: LmCo
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own, v = given.value
             learner = Adam(Network(config, shared.value.copy()), config.rate * (1 + turn) ** -0.5)
-            for some in (s for batch in batches for s in batches_of(batch.column(0))):
+            for some in (s for batch in batches for s in Words.of(batch.column(0)).groups(BATCH_CHARACTERS)):
                 ids, counts, _ = windows(own.sequences(some), replace(config, stride=config.context))
                 learner.learn(v.row_of[ids[:, :-1]], v.class_of[np.where(counts, ids[:, 1:], 0)], counts)
             learner.end()
@@ -419,9 +483,25 @@ def train(training: DataFrame, gathered: DataFrame, pieces: Pieces, config: LmCo
 
 @dataclass
 class Frequent:
-    place: dict[bytes, int]  # from 1; 0 is every other word
+    words: pa.Array
     logs: np.ndarray
 
+    def found(self, words: Words) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Of each text: how many of its words are frequent, the sum of their logs, and the other words with their counts."""
+        texts, every = len(words.per_text), words.array()
+        text = np.repeat(np.arange(texts), words.per_text)
+        place = pc.index_in(every, value_set=self.words).fill_null(-1).to_numpy()
+        hit = place >= 0
+        other = every.filter(pa.array(~hit)).dictionary_encode()
+        size = max(1, len(other.dictionary))
+        pairs, n = np.unique(text[~hit] * size + other.indices.to_numpy(), return_counts=True)
+        rare = pa.StructArray.from_arrays([other.dictionary.take(pa.array(pairs % size)), pa.array(n, pa.int64())], ["word", "n"])
+        upto = np.searchsorted(pairs, np.arange(texts + 1) * size)
+        return (
+            np.bincount(text[hit], minlength=texts), np.bincount(text[hit], self.logs[place[hit]], texts),
+            pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rare),
+        )
+
 
 def word_counts(gathered: DataFrame) -> DataFrame:
     return stored(gathered.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -453,32 +533,22 @@ def score(df: DataFrame, train_on, pieces: list[bytes], key: str = "doc_id", tex
     end_log = float(np.log10((texts + 0.5) / below))
     least = least_frequent(counts)
     common = counts.where(F.col("c") >= least).collect()  # at most FREQUENT words
-    frequent = Frequent(
-        {bytes(r["word"]): i for i, r in enumerate(common, 1)}, np.log10((np.array([0, *(r["c"] for r in common)]) + 0.5) / below)
-    )
+    frequent = Frequent(pa.array([bytes(r["word"]) for r in common], pa.binary()), np.log10((np.array([r["c"] for r in common], float) + 0.5) / below))
     shared = spark.sparkContext.broadcast((train(training, gathered, own, config), frequent))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, at = batch.column(0), 0
-            for some in batches_of(batch.column(1)):
-                out = {"row": [], "n_tokens": [], "frequent": [], "base": [], "rare": []}
-                for words in some:
-                    places = np.fromiter(map(known.place.get, words, repeat(0)), np.int64, len(words))
-                    found = places[places > 0]
-                    rare = Counter([words[i] for i in np.flatnonzero(places == 0).tolist()])
-                    out["row"].append(row := row + 1)
-                    out["n_tokens"].append(len(words) + 1)
-                    out["frequent"].append(len(found))
-                    out["base"].append(float(known.logs[found].sum()))
-                    out["rare"].append([{"word": w, "n": n} for w, n in rare.items()])
-                yield pa.RecordBatch.from_arrays([
-                    keys.slice(at, len(some)), pa.array(out["row"]), pa.array(out["n_tokens"]), pa.array(out["frequent"]), pa.array(out["base"]),
-                    pa.array(out["rare"], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(model.score_all(some)),
-                ], ["key", "row", "n_tokens", "frequent", "base", "rare", "score"])
-                at += len(some)
+            words = Words.of(batch.column(1))
+            many = len(words.per_text)
+            of_frequent, base, rare = known.found(words)
+            scores = [model.score_all(some) for some in words.groups(BATCH_CHARACTERS)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(np.arange(row, row + many)), pa.array(words.per_text + 1), pa.array(of_frequent), pa.array(base, pa.float64()), rare,
+                pa.array(np.concatenate([np.zeros(0), *scores])),
+            ], ["key", "row", "n_tokens", "frequent", "base", "rare", "score"])
+            row += many
 
     shape = "key long, row long, n_tokens long, frequent long, base double, rare array<struct<word:binary,n:bigint>>, score double"
     scored = stored(df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(read, shape), "scored")

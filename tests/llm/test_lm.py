@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,57 @@ def test_the_network_learns_order(spark, pieces):
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     found = {r.doc_id: r.score for r in lm.score(df, F.col("train"), pieces, config=lm.LmConfig(rounds=((0, lm.SHARES),) * 8)).collect()}
     assert all(found[i] > found[1000 + i] + 10 for i in range(20))
+
+
+ODD_TEXTS = ["the cat THE dog", "a cat", None, "", "cat", "cat", "éÉ unseen words\x1chere", " x", "y\t", "\x0b\x0c\r\n", "w" * 90 + " tail", "the " * 50, "q"]
+
+
+@pytest.mark.parametrize("texts", [
+    pa.array(ODD_TEXTS), pa.array(["left out", *ODD_TEXTS]).slice(1), pa.array(ODD_TEXTS).slice(2, 3), pa.array([], pa.string()), pa.array([None], pa.string()), pa.array([" "]),
+])
+def test_words_of_an_array(texts):
+    """As those of each text by itself, found without an object a word; neighbouring texts don't run together."""
+    expected = [lm.words_of(t) for t in texts.to_pylist()]
+    words = lm.Words.of(texts)
+    assert words.per_text.tolist() == [len(t) for t in expected]
+    assert words.array().to_pylist() == [w for t in expected for w in t]
+    for size in (1, 5, 1000):
+        groups = list(words.groups(size))
+        assert [n for g in groups for n in g.per_text.tolist()] == words.per_text.tolist()
+        assert [w for g in groups for w in g.array().to_pylist()] == words.array().to_pylist()
+
+
+def test_counting_cuts_each_different_word_once(pieces, monkeypatch):
+    own, cut = lm.Pieces(pieces), []
+    texts = [" ".join(f"word{n % 7}" for n in range(500)), "éÉ word1 antidisestablishmentarianism", ""] * 3
+    expected = np.bincount(own.cut([w for t in texts for w in lm.words_of(t)])[0], minlength=own.end + 1)
+    monkeypatch.setattr(lm, "BATCH_CHARACTERS", 20)
+    monkeypatch.setattr(own, "cut_words", lambda words, f=own.cut_words: (cut.extend(words.array().to_pylist()), f(words))[1])
+    counted = lm.Words.of(pa.array(texts)).array().value_counts()
+    assert own.counted(counted.field(0), counted.field(1).to_numpy()).tolist() == expected.tolist()
+    assert len(cut) == len(set(cut)) == 9
+
+
+@pytest.mark.parametrize("frequent", [[], [b"the", b"cat", b"never"]])
+def test_frequent_and_other_words_of_each_text(frequent):
+    logs = np.arange(1.0, len(frequent) + 1)
+    many, base, rare = lm.Frequent(pa.array(frequent, pa.binary()), logs).found(lm.Words.of(pa.array(ODD_TEXTS)))
+    for t, n, total, others in zip(ODD_TEXTS, many, base, rare.to_pylist(), strict=True):
+        words = lm.words_of(t)
+        assert n == sum(w in frequent for w in words)
+        assert total == pytest.approx(sum(logs[frequent.index(w)] for w in words if w in frequent))
+        assert {r["word"]: r["n"] for r in others} == Counter(w for w in words if w not in frequent) and all(r["n"] for r in others)
+
+
+@pytest.mark.parametrize("size", [1, 30, 1000])
+def test_logits_beyond_the_cut(size):
+    """Summed in one pass where no logit needs the cut to 60, and cut where one does."""
+    random = np.random.default_rng(4)
+    network = lm.Network(lm.LmConfig(width=4, classes=5, own=6))
+    network.flat *= size
+    hidden, classes = np.maximum(random.standard_normal((50, 4)), 0).astype(np.float32), random.integers(0, 5, 50)
+    logits = np.clip(hidden @ network.parts["wc"] + network.parts["bc"], -60, 60).astype(np.float64)
+    powers, total, chosen = network.output(hidden, classes)
+    assert np.allclose(powers / total, np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True), atol=1e-6)
+    assert np.allclose(chosen, logits[np.arange(50), classes], rtol=1e-5) and np.isfinite(np.log(total)).all()
+    assert network.output(hidden[:0], classes[:0])[0].shape == (0, 5)
