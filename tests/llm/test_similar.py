@@ -306,6 +306,30 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert {(r[0], r[1]) for r in small} == set(brute_leaks({d: texts[d] for d, *_ in small}, items))
 
 
+def test_leaks_store_places_alone(spark, monkeypatch):
+    """Neither texts nor shingles of documents are written, and pairs that share many blocks are met once."""
+    kept, joined = {}, []
+    stored, first = decontam.stored, decontam.first_block
+
+    def watched(df, name):
+        kept[name] = stored(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontam, "stored", watched)
+    monkeypatch.setattr(common, "stored", watched)
+    monkeypatch.setattr(decontam, "first_block", lambda *names: joined.append(names) or first(*names))
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert decontam.contaminated(docs, bench).count() and joined
+    assert not [n for n, df in kept.items() if not n.startswith("item") for _, kind in df.dtypes if kind.startswith("array") or kind == "string"]
+    drawn = lambda: random.getrandbits(64) - 2**63
+    pairs = [(drawn(), drawn() & drawn() & drawn()) for _ in range(200)]
+    rows = spark.createDataFrame([(a, a ^ flips) for a, flips in [*pairs, (5, 0), (-1, 0)]], "a long, b long")
+    met = rows.select("a", "b", F.posexplode(decontam.blocks("a", 19)).alias("i", "x")).select("a", "b", "x", F.get(decontam.blocks("b", 19), "i").alias("y"))
+    equal = met.where("x = y").withColumn("first", first("a", "b", 19) == F.col("x.block")).groupBy("a", "b").agg(F.count_if("first").alias("n"))
+    assert {r.n for r in equal.collect()} == {1}
+    assert rows.where(first("a", "b", 19).isNull()).count() == rows.count() - equal.count()
+
+
 def test_simhash_in_expressions(spark):
     hashes = [random.getrandbits(64) - 2**63 for _ in range(37)]
     expected = sum(1 << b for b in range(64) if sum((h & (2**64 - 1)) >> b & 1 for h in hashes) * 2 > len(hashes))
