@@ -9,7 +9,7 @@ import regex
 import tiktoken
 
 import corpus_pipeline
-from rotativa.llm import secret_scan, stages
+from rotativa.llm import decontam, secret_scan, stages
 from rotativa.llm.common import stored, table
 from rotativa.llm.queries import vocabulary
 
@@ -187,6 +187,17 @@ def test_each_stage_acts(spark):
     assert [r.n_tokens for r in stages.tokens(spark, docs.where("doc_id = 4"), SF).collect()] == [0]
 
 
+def test_decontaminate_sorts_nothing(spark, monkeypatch):
+    """Which texts hold an item is enough for the stage: best windows aren't looked for, so found pairs aren't sorted."""
+    plans, small = [], stages.small_side
+    monkeypatch.setattr(stages, "small_side", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or small(df, name))
+    docs = table(spark, SF, "documents")
+    kept = stages.decontaminate(spark, docs, SF)
+    assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+    found = {r.doc_id for r in decontam.contaminated(docs, table(spark, SF, "benchmark")).collect()}
+    assert found and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - found
+
+
 def test_empty_and_extra_columns(spark):
     names = "found_language found_secrets found_id found_hash gone_id GONE_HASH hit_id hit_hash key words own kept fp n ids decoded _round_trip".split()
     wide = SCHEMA + "".join(f", {name} string" for name in names)
